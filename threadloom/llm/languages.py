@@ -256,7 +256,7 @@ def language_segments(docs: DataFrame, model: LanguageModel, id_col: str = "id",
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=SEGMENT_SCHEMA.names)
 
     src = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("t"), unit_offsets(F.col(text_col)).alias("u"))
-    return src.filter(F.size("u") > 0).mapInArrow(run, SEGMENT_SCHEMA)
+    return src.mapInArrow(run, SEGMENT_SCHEMA)
 
 
 def document_languages(segments: DataFrame) -> DataFrame:

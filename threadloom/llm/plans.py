@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.llm.languages import document_languages, fit_model, language_segments
+from threadloom.llm.lookalikes import normalized, same_look_pairs
+from threadloom.llm.names import entity_mentions, link_names, variant_pairs
 from threadloom.llm.sentences import sentence_units
 from threadloom.session import ship
 from threadloom.sources.tables import latest_delivery, table
@@ -29,9 +32,43 @@ def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     return document_languages(p1_segments(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    rows = None
+    for name in ("entities", "source_documents"):
+        t = table(spark, d, name).select(F.concat_ws(":", F.lit(name), "intake_id").alias("scope"), "id", F.col("raw_text").alias("text")).filter("intake_id IS NOT NULL")
+        rows = t if rows is None else rows.unionByName(t)
+    pairs = same_look_pairs(rows)
+    return pairs.select(F.substring_index("scope", ":", 1).alias("src_table"), "id_a", "id_b")
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every mention."""
+    ship(spark)
+    rows = latest_delivery(table(spark, d, "entities").select("id", "raw_text", "ingested_at"))
+    return normalized(rows, "raw_text").select("id", "consistent_text")
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return entity_mentions(table(spark, d, "entities").filter("entity_type IN ('PERSON', 'ORGANIZATION')"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _mentions(spark, d)
+    return variant_pairs(link_names(rows), rows)
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each named row with the entity it belongs to and how many rows that has."""
+    links = link_names(_mentions(spark, d))
+    sizes = links.groupBy("scope", "kind", "entity").agg(F.count("*").alias("n_rows"))
+    return links.join(sizes, ["scope", "kind", "entity"]).select(F.col("scope").alias("intake_id"), "kind", "id", "entity", "n_rows")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(_texts(spark, d)).select("document_id", "start_char", "end_char")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p3_found, p3_entities, p4_found, p4_entities, p6_found)}
 ORACLES: dict[str, str] = {}
