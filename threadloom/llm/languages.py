@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.chars import ZERO_WIDTH, plain
+from threadloom.llm.chars import PLAIN, PLAIN_FROM, ZERO_WIDTH
 from threadloom.llm.sentences import unit_offsets
 
 #: Languages of each family; a family of one needs no classifier.
@@ -32,7 +32,7 @@ _KEPT_WORDS = 200_000
 
 _ADDRESS = re.compile(r"\S+@\S+|\S+ ?[\[(](?:at|AT)[\])] ?\S+(?: ?\[(?:dot|DOT)\] ?\w+)*|https?://\S+|www\.\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’़-्ऀ-ः॑-ॗঁ-ঃ়-্ัิ-ฺ็-๎ً-ٰٕ]+[^\W\d_]*)*")
-_DROP = {ord(c): None for c in ZERO_WIDTH}
+_ZERO = re.compile(f"[{ZERO_WIDTH}]")
 
 
 def family_of(ch: str) -> str | None:
@@ -52,11 +52,18 @@ def family_of(ch: str) -> str | None:
     return None
 
 
+_ODD = re.compile("[" + "".join(map(re.escape, PLAIN_FROM)) + ZERO_WIDTH + "]")
+_JOIN = str.maketrans("", "", ZERO_WIDTH)
+
+
+def tidy(text: str) -> str:
+    """Look-alikes made ordinary; only texts that have any are rewritten. The length is kept."""
+    return text if text.isascii() or not _ODD.search(text) else text.translate(PLAIN)
+
+
 def words_of(text: str) -> list[str]:
-    """Words of a unit without net addresses, numbers and invisible signs; look-alike letters made ordinary."""
-    t = plain(text)
-    if not t.isascii():
-        t = t.translate(_DROP)
+    """Words of a tidied unit, without net addresses, numbers and invisible signs."""
+    t = text if text.isascii() else text.translate(_JOIN) if _ZERO.search(text) else text
     if "@" in t or "[" in t or "(" in t or "://" in t:
         t = _ADDRESS.sub(" ", t)
     return _WORD.findall(t)
@@ -109,7 +116,7 @@ class LanguageModel:
         by: dict[str, list[np.ndarray]] = {}
         for lang, text in samples:
             v = np.zeros(N_FEATURES)
-            for w in scored_words(words_of(text or "")):
+            for w in scored_words(words_of(tidy(text or ""))):
                 for i in features(w):
                     v[i] += 1
             if n := np.linalg.norm(v):
@@ -131,38 +138,30 @@ class LanguageModel:
 
     def word(self, w: str) -> tuple:
         """(family, weight of the word in the choice of the family, scores of the family's pairs)."""
-        hit = self._cache.get(w)
-        if hit is None:
-            fam = family_of(w[0])
-            if fam == "han":
-                weight = 0.5 * len(w)
-            elif fam == "thai":
-                weight = len(w) / 4
-            else:
-                weight = 0.25 if fam == "latin" and w[0].isupper() else 1.0
-            score = None
-            if fam in self._stack:
-                score = self._stack[fam][:, features(w)].sum(1).tolist()
-            if len(self._cache) >= _KEPT_WORDS:
-                self._cache.clear()
-            hit = self._cache[w] = (fam, weight, score)
-        return hit
+        fam = family_of(w[0])
+        weight = 0.5 * len(w) if fam == "han" else len(w) / 4 if fam == "thai" else 0.25 if fam == "latin" and w[0].isupper() else 1.0
+        score = self._stack[fam][:, features(w)].sum(1).tolist() if fam in self._stack else None
+        if score is not None and len(self._cache) < _KEPT_WORDS:
+            self._cache[w] = (fam, weight, score)
+        return fam, weight, score
 
     def unit(self, text: str) -> tuple[str | None, list[float] | None, int]:
         """(family, summed pair scores, number of words of the family) of a sentence unit; None without words."""
+        cache, word = self._cache, self.word
+        found = [cache.get(w) or word(w) for w in words_of(text)]
         weights: dict[str, float] = {}
-        words = words_of(text)
-        found = [self.word(w) for w in words]
-        for fam, weight, _ in found:
-            if fam:
-                weights[fam] = weights.get(fam, 0.0) + weight
+        for f, weight, _ in found:
+            if f:
+                weights[f] = weights.get(f, 0.0) + weight
         if not weights:
             return None, None, 0
         fam = max(weights, key=weights.get) if len(weights) > 1 else next(iter(weights))
-        scores = [s for f, _, s in found if f == fam and s is not None]
-        if fam == "latin" and (small := [s for (f, _, s), w in zip(found, words) if f == fam and not w[0].isupper()]):
-            scores = small
-        return fam, [sum(c) for c in zip(*scores)] if scores else None, sum(f == fam for f, _, _ in found)
+        if fam not in self._stack:
+            return fam, None, len(found)
+        own = [x for x in found if x[0] == fam]
+        # Capitalised words (mostly names) have less weight and speak for a language only where there are no others.
+        scores = [x[2] for x in own if x[1] == 1.0] or [x[2] for x in own]
+        return fam, list(map(sum, zip(*scores))), len(own)
 
     def decide(self, fam: str, scores: list[float] | None) -> tuple[str, float]:
         """Language of a family by the votes of its machines, with a confidence between 0.5 and 1."""
@@ -245,7 +244,8 @@ def language_segments(docs: DataFrame, model: LanguageModel, id_col: str = "id",
                 lo, hi = ends[i], ends[i + 1]
                 if lo == hi:
                     continue
-                labels = label_units(model, [text[s[k] : e[k]] for k in range(lo, hi)])
+                plain = tidy(text)
+                labels = label_units(model, [plain[s[k] : e[k]] for k in range(lo, hi)])
                 k = lo
                 for no, (lang, group) in enumerate(groupby(labels, key=lambda x: x[0]), 1):
                     sure = [x[1] for x in group]

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.chars import BLANKS, BREAKS, PLAIN_FROM, PLAIN_TO, ZERO_WIDTH
 
-QUOTE_FIRST, IN_QUOTE, SPOKEN, MASKED, CUT = "", "", "", "", ""
-_PRIVATE = QUOTE_FIRST + IN_QUOTE + SPOKEN + MASKED + CUT
+IN_QUOTE, FULL, SPOKEN, MASKED, CUT = map(chr, (0xE001, 0xE002, 0xE003, 0xE004, 0xE005))
+OPEN, OPEN_2, OPEN_FIRST, CLOSE, CLOSE_2 = map(chr, (0xE006, 0xE007, 0xE008, 0xE009, 0xE00A))  # “ « (“ at the start of a unit) ” »
+_PRIVATE = "".join(map(chr, range(0xE000, 0xE00B)))
+#: Terminators of the scripts, all read as one sign.
+SCRIPT_STOPS = "।॥۔؟。｡！？"
 
 #: Abbreviations that are followed by more of the sentence.
 NEVER_LAST = (
@@ -33,55 +36,66 @@ _Z = f"[{ZERO_WIDTH}]{{0,2}}"
 _UP = "A-ZÀ-ÖØ-Þ"
 _LOW = "a-zß-öø-ÿ"
 _DIGIT = "0-9०-९০-৯۰-۹"
-_TERMINATORS = "!?।॥۔؟。"
+_TERMINATORS = "!?" + FULL
 
 
-def _spelled(words: list[str]) -> str:
-    """Alternatives of the words, longest first, with invisible signs allowed between the letters of Latin ones."""
-    return "|".join(_Z.join(w) if w.isascii() else w for w in sorted(words, key=len, reverse=True))
+def _after(words: list[str], tail: str = "") -> str:
+    """Look-behinds for a full stop after one of the words, one for each length, so each is tried at one place only.
+
+    Invisible signs inside a Latin word are allowed for by a second, slower set that is tried near such a sign only.
+    """
+    head = r"(?<![\p{L}\p{M}&&[^\p{IsHan}]])"
+    by: dict[int, list[str]] = {}
+    for w in words:
+        by.setdefault(len(w), []).append(w)
+    fast = "|".join(rf"(?<={head}(?i:{'|'.join(ws)})\.)" for _, ws in sorted(by.items()))
+    slow = "|".join(_Z.join(w) for w in words if w.isascii() and len(w) > 1)
+    return rf"(?:{fast}|(?<=[{ZERO_WIDTH}].{{0,8}}\.)(?<={head}(?i:{slow}){_Z}\.)){tail}"
 
 
 def _masks() -> str:
     """Full stops that end no sentence; the pattern looks at full stops only."""
     word = r"(?<![\p{L}\p{M}&&[^\p{IsHan}]])"
     letter = rf"\p{{L}}\p{{M}}{{0,2}}{_Z}"
-    capital = rf"(?=[ ]+[\"“«‘(]?[{_UP}])(?![ ]+(?:{'|'.join(GOES_ON)})\b)"
+    capital = rf"(?=[ ]+[\"‘({OPEN}-{OPEN_FIRST}]?[{_UP}])(?![ ]+(?:{'|'.join(GOES_ON)})\b)"
+    end = r"[ ]*+(?:\n|$)"
     surname = rf"(?:(?<![{_UP}][{_LOW}]{{2,20}} \p{{L}}\.)|(?<=(?:{'|'.join(ROLES)}) \p{{L}}\.))"  # or the initial of one: no end
-    return r"\.(?:" + "|".join(
+    return r"\.(?<![a-z]{8}\.(?=[ \n]|$))(?:" + "|".join(
         [
-            rf"(?<=[{_DIGIT}]{_Z}\.)(?={_Z}[{_DIGIT}])",
-            rf"(?<=[a-zA-Z0-9_+\-]{_Z}\.)(?={_Z}[a-z0-9])",
-            r"(?=[A-Za-z0-9._+\-]{1,64} ?(?:@|[\[(](?i:at)[\])]))",
-            r"(?<=[@)\]] ?[A-Z0-9.\-]{1,40}\.)(?=[A-Z]{2})",
+            rf"(?={_Z}[{_DIGIT}])(?<=[{_DIGIT}]{_Z}\.)",
+            rf"(?={_Z}[a-z0-9])(?<=[a-zA-Z0-9_+\-]{_Z}\.)",
+            r"(?=[A-Z0-9._+\-]{1,64} ?(?:@|[\[(](?i:at)[\])]))",
+            r"(?=[A-Z]{2})(?<=[@)\]] ?[A-Z0-9.\-]{1,40}\.)",
             # Initials: more of them, or a name, or more of the sentence follows.
-            rf"(?<={word}{letter}\.)(?:(?={letter}\.)|(?<=\p{{L}}{_Z}\.{letter}\.)(?![ ]*+(?:\n|$))|(?<!\p{{L}}\.{letter}\.)(?:(?![ ]++[{_UP}]|[ ]*+(?:\n|$))|(?=[ ]++[{_UP}]){surname}))",
-            rf"(?<={word}(?i:[ap]{_Z}\.{_Z}m)\.)(?!{capital})(?![ ]*+(?:\n|$))",
-            rf"(?<={word}(?i:e\.g|i\.e)\.)",
-            rf"(?<={word}(?i:{_spelled(NEVER_LAST)}){_Z}\.)",
-            rf"(?<={word}(?i:{_spelled(MAYBE_LAST)}){_Z}\.)(?!{capital})(?![ ]*+(?:\n|$))",
-            rf"(?<={word}(?<![0-9] )(?i:k{_Z}m)\.)(?=[ ]+\p{{L}})",
+            rf"(?<={word}{letter}\.)(?:(?={letter}\.)|(?<=\p{{L}}{_Z}\.{letter}\.)(?!{end})|(?<!\p{{L}}\.{letter}\.)(?:(?![ ]++[{_UP}]|{end})|(?=[ ]++[{_UP}]){surname}))",
+            rf"(?<={word}(?i:[ap]{_Z}\.{_Z}m)\.)(?!{capital})(?!{end})",
+            r"(?<=(?i:e\.g|i\.e)\.)",
+            _after(NEVER_LAST),
+            _after(MAYBE_LAST, rf"(?!{capital})(?!{end})"),
+            rf"(?<={word}(?<![0-9] )(?i:km)\.)(?=[ ]+\p{{L}})",
         ]
     ) + ")"
 
 
 def _cuts() -> str:
-    close = r"(?:[”\")\]'’" + SPOKEN + r"]|[ ]?»)*+"
-    speech = rf"{IN_QUOTE}[ ]?[”»](?![ ]*+(?:[{_LOW},;:，]|(?:{'|'.join(AFTER_SPEECH)})[ ]?))"
-    thai = "[ก-๛]"
-    return "|".join(
+    close = rf"(?:[{CLOSE}\")\]'’{SPOKEN}]|[ ]?{CLOSE_2})*+"
+    speech = rf"{IN_QUOTE}[ ]?[{CLOSE}{CLOSE_2}](?![ ]*+(?:[{_LOW},;:，]|(?:{'|'.join(AFTER_SPEECH)})[ ]?))"
+    ways = "|".join(
         [
-            r"\r?\n|\r",
-            rf"(?<!\.)\.{{3,}}+(?![ ]*+(?:[{_LOW},;:]|(?:{'|'.join(GOES_ON)})\b)){close}",
+            rf"\.{{3,}}+(?![ ]*+(?:[{_LOW},;:]|(?:{'|'.join(GOES_ON)})\b)){close}",
             rf"(?<!\.)(?!\.{{3}})[.{_TERMINATORS}]++{close}(?![.,;]|{SPOKEN})",
-            rf"(?<=[ऀ-৿][ ]?)\|(?![|])",
+            r"(?=\n)",
+            r"\|(?<=[ऀ-৿][ ]?\|)(?![|])",
             speech,
-            rf"(?<={thai}[{ZERO_WIDTH}]?)[ ]++(?=[{ZERO_WIDTH}]?{thai}|[ऀ-৿؀-ۿ]|[\"“]?[A-Z][^฀-๿\n]{{40}})(?!ๆ)",
         ]
     )
+    # The end of a unit and the blanks after it are two groups, so that both can be cut.
+    return rf"(?=[.\n|!?{IN_QUOTE}-{FULL}])({ways})([ \n]*+)"
 
 
-def _sql(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_THAI = "[ก-๛]"
+#: Blanks between Thai words end a sentence; those beside other letters only before a long stretch of these.
+_THAI_CUT = rf" (?<=[฀-๿\xad\u2000-\u206f\ufeff] )(?<={_THAI}[{ZERO_WIDTH}]? )[ ]*+(?=[{ZERO_WIDTH}]?{_THAI}|[ऀ-৿؀-ۿ]|[\"{OPEN}-{OPEN_FIRST}]?[A-Z][^฀-๿\n]{{40}})(?!ๆ)"
 
 
 def unit_offsets(text: Column) -> Column:
@@ -89,32 +103,26 @@ def unit_offsets(text: Column) -> Column:
 
     A line break always ends a unit. A unit keeps its closing marks and quotes and has no white space around it.
     """
-    from_, to = PLAIN_FROM + BREAKS + _PRIVATE, PLAIN_TO + "\n" * len(BREAKS) + " " * len(_PRIVATE)
+    stops = [c for c in SCRIPT_STOPS if c not in PLAIN_FROM]
+    from_ = PLAIN_FROM + BREAKS + "\r" + _PRIVATE + "".join(stops) + "“«”»"
+    to = PLAIN_TO + "\n" * (len(BREAKS) + 1) + " " * len(_PRIVATE) + FULL * len(stops) + OPEN + OPEN_2 + CLOSE + CLOSE_2
     m = F.translate(text, from_, to)
-    # Speech that opens a unit goes on after its quotes; marks inside any closed quotes are masked.
-    m = F.when(
-        m.rlike("[“«]"),
-        F.regexp_replace(
-            F.regexp_replace(
-                F.regexp_replace(m, r"(^|[\n.!?।॥۔؟。|”][ ]*+)“(?=[^”\n]*+”)", f"$1{QUOTE_FIRST}"),
-                rf"((?:[“{QUOTE_FIRST}](?=[^”\n]*+”)|«(?=[^»\n]*+»)|(?!^)\G)[^”»\n.!?।॥۔؟。]*+)[.!?।॥۔؟。]",
-                f"$1{IN_QUOTE}",
-            ),
-            rf"{QUOTE_FIRST}([^”\n]*+)”",
-            f"{QUOTE_FIRST}$1{SPOKEN}",
-        ),
-    ).otherwise(m)
+    # Speech that opens a unit goes on after its quotes; marks inside closed quotes are masked.
+    m = F.regexp_replace(m, rf"{OPEN}(?=[^{CLOSE}\n]*+{CLOSE})(?<=(?:^|[\n.!?{FULL}|{CLOSE}])[ ]{{0,3}}{OPEN})", OPEN_FIRST)
+    m = F.regexp_replace(m, rf"((?:[{OPEN}-{OPEN_FIRST}](?=[^{CLOSE}-{CLOSE_2}\n]*+[{CLOSE}-{CLOSE_2}])|\G(?!^))[^{CLOSE}-{CLOSE_2}\n.!?{FULL}]*+)[.!?{FULL}]", f"$1{IN_QUOTE}")
+    m = F.regexp_replace(m, rf"{OPEN_FIRST}([^{CLOSE}\n]*+){CLOSE}", f"{OPEN_FIRST}$1{SPOKEN}")
     m = F.regexp_replace(m, _masks(), MASKED)
-    m = F.regexp_replace(m, _cuts(), f"$0{CUT}")
-    pieces = F.split(m, CUT)
+    m = F.regexp_replace(m, _cuts(), f"$1{CUT}$2{CUT}")
+    m = F.regexp_replace(m, _THAI_CUT, f"{CUT}$0{CUT}")
+    pieces = F.split(m, CUT)  # units and the blanks between them in turn
     zero = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,e:int>>").alias("u"))
 
     def step(a: Column, x: Column) -> Column:
         n = F.length(x)
-        left = n - F.length(F.ltrim(x, F.lit(" \n\r")))
-        right = F.length(F.rtrim(x, F.lit(" \n\r")))
+        right = F.length(F.rtrim(x))
+        left = right - F.length(F.ltrim(F.rtrim(x)))
         unit = F.struct((a["p"] + left).cast("int").alias("s"), (a["p"] + right).cast("int").alias("e"))
-        return F.struct((a["p"] + n).cast("int").alias("p"), F.when(left < n, F.array_append(a["u"], unit)).otherwise(a["u"]).alias("u"))
+        return F.struct((a["p"] + n).cast("int").alias("p"), F.when(x.rlike("[^ \n]"), F.array_append(a["u"], unit)).otherwise(a["u"]).alias("u"))
 
     units = F.aggregate(pieces, zero, step, lambda a: a["u"])
     return F.coalesce(units, F.array().cast("array<struct<s:int,e:int>>"))
