@@ -32,6 +32,7 @@ _KEPT_WORDS = 200_000
 
 _ADDRESS = re.compile(r"\S+@\S+|\S+ ?[\[(](?:at|AT)[\])] ?\S+(?: ?\[(?:dot|DOT)\] ?\w+)*|https?://\S+|www\.\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’़-्ऀ-ः॑-ॗঁ-ঃ়-্ัิ-ฺ็-๎ً-ٰٕ]+[^\W\d_]*)*")
+_ASCII_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
 _ZERO = re.compile(f"[{ZERO_WIDTH}]")
 
 
@@ -63,10 +64,11 @@ def tidy(text: str) -> str:
 
 def words_of(text: str) -> list[str]:
     """Words of a tidied unit, without net addresses, numbers and invisible signs."""
-    t = text if text.isascii() else text.translate(_JOIN) if _ZERO.search(text) else text
+    ascii_only = text.isascii()
+    t = text if ascii_only or not _ZERO.search(text) else text.translate(_JOIN)
     if "@" in t or "[" in t or "(" in t or "://" in t:
         t = _ADDRESS.sub(" ", t)
-    return _WORD.findall(t)
+    return _ASCII_WORD.findall(t) if ascii_only else _WORD.findall(t)
 
 
 def scored_words(words: list[str]) -> list[str]:
@@ -149,19 +151,24 @@ class LanguageModel:
         """(family, summed pair scores, number of words of the family) of a sentence unit; None without words."""
         cache, word = self._cache, self.word
         found = [cache.get(w) or word(w) for w in words_of(text)]
-        weights: dict[str, float] = {}
-        for f, weight, _ in found:
-            if f:
-                weights[f] = weights.get(f, 0.0) + weight
-        if not weights:
+        fams = {x[0] for x in found}
+        fams.discard(None)
+        if not fams:
             return None, None, 0
-        fam = max(weights, key=weights.get) if len(weights) > 1 else next(iter(weights))
+        if len(fams) == 1:
+            (fam,) = fams
+        else:
+            weights = dict.fromkeys(fams, 0.0)
+            for f, weight, _ in found:
+                if f:
+                    weights[f] += weight
+            fam = max(sorted(weights), key=weights.get)
+            found = [x for x in found if x[0] == fam]
         if fam not in self._stack:
             return fam, None, len(found)
-        own = [x for x in found if x[0] == fam]
         # Capitalised words (mostly names) have less weight and speak for a language only where there are no others.
-        scores = [x[2] for x in own if x[1] == 1.0] or [x[2] for x in own]
-        return fam, list(map(sum, zip(*scores))), len(own)
+        scores = [x[2] for x in found if x[1] == 1.0] or [x[2] for x in found if x[2]]
+        return fam, list(map(sum, zip(*scores))), len(found)
 
     def decide(self, fam: str, scores: list[float] | None) -> tuple[str, float]:
         """Language of a family by the votes of its machines, with a confidence between 0.5 and 1."""

@@ -26,7 +26,7 @@ NICKNAMES = {
     "zia": "ziauddin", "jaggi": "jagmohan", "jeetu": "jitendra", "jitu": "jitendra", "vijju": "vijendra", "biju": "vijendra", "bijender": "vijendra", "bijendra": "vijendra", "vijender": "vijendra",
     "chandi": "chandrika", "mohd": "mohammad", "md": "mohammad", "muhammad": "mohammad", "mohammed": "mohammad", "mohamed": "mohammad", "kk": "krishnakant", "krishan": "krishnakant", "krishna": "krishnakant",
     "mahender": "mahendra", "mahinder": "mahendra", "jitender": "jitendra", "dharam": "dharmveer", "dharmendra": "dharmendra", "raju": "rajendra", "rajinder": "rajendra", "surinder": "surendra",
-    "pappu": "pappu", "sunny": "sunil", "guddi": "guddi", "abhi": "abhinav", "dev": "devansh", "lucky": "lakhan", "bhanu": "bhanwar", "nandu": "nandlal", "savi": "savita", "sushi": "sushila", "tej": "tejpal", "bob": "robert", "bill": "william",
+    "bhanu": "bhanwar", "nandu": "nandlal", "ziauddeen": "ziauddin",
 }
 #: Given names that differ in one or two letters only and are not spellings of each other.
 GIVEN = frozenset(
@@ -40,9 +40,9 @@ _LATIN_EXTRA = str.maketrans({"ß": "ss", "ø": "o", "đ": "d", "ł": "l", "æ":
 _INDIC_CONSONANTS = "k kh g gh n ch chh j jh n t th d dh n t th d dh n n p ph b bh m y r r l l l v sh sh s h".split()  # in the order of the code charts
 _INDIC_VOWELS = {0x05: "a", 0x06: "aa", 0x07: "i", 0x08: "ee", 0x09: "u", 0x0A: "oo", 0x0B: "ri", 0x0F: "e", 0x0D: "e", 0x10: "ai", 0x11: "o", 0x13: "o", 0x14: "au"}
 _INDIC_SIGNS = {0x3E: "aa", 0x3F: "i", 0x40: "ee", 0x41: "u", 0x42: "oo", 0x43: "ri", 0x45: "e", 0x47: "e", 0x48: "ai", 0x49: "o", 0x4B: "o", 0x4C: "au"}
-_NUKTA = {"k": "q", "kh": "kh", "g": "g", "j": "z", "d": "r", "dh": "rh", "ph": "f", "y": "y"}
+_NUKTA = {"k": "q", "kh": "kh", "g": "g", "j": "z", "ph": "f"}
 _ARABIC = {
-    "ا": "a", "آ": "a", "أ": "a", "ب": "b", "پ": "p", "ت": "t", "ٹ": "t", "ث": "s", "ج": "j", "چ": "ch", "ح": "h", "خ": "kh", "د": "d", "ڈ": "d", "ذ": "z", "ر": "r", "ڑ": "r", "ز": "z", "ژ": "z",
+    "ا": "a", "آ": "a", "أ": "a", "ب": "b", "پ": "p", "ت": "t", "ٹ": "t", "ث": "s", "ج": "j", "چ": "ch", "ح": "h", "خ": "kh", "د": "d", "ڈ": "d", "ذ": "z", "ر": "r", "ڑ": "d", "ز": "z", "ژ": "z",
     "س": "s", "ش": "sh", "ص": "s", "ض": "z", "ط": "t", "ظ": "z", "ع": "a", "غ": "g", "ف": "f", "ق": "q", "ک": "k", "گ": "g", "ل": "l", "م": "m", "ن": "n", "ں": "n", "و": "v", "ؤ": "v", "ہ": "h",
     "ۃ": "h", "ھ": "h", "ی": "y", "ے": "e", "ئ": "y", "ء": "",
 }
@@ -91,6 +91,8 @@ def script_of(token: str) -> str:
 @lru_cache(200_000)
 def roman(token: str) -> str:
     """A lower-case token in plain Latin letters."""
+    if not token:
+        return ""
     s = script_of(token)
     if s == "devanagari":
         return _indic(token, 0x900)
@@ -183,20 +185,34 @@ def _by_code(drop: str) -> dict[str, str]:
 @lru_cache(200_000)
 def known_given(token: str, script: str) -> str | None:
     """The given name of the tables that a Roman token spells, if any."""
-    t = NICKNAMES.get(token, token)
+    t = token.replace("-", "")
+    t = NICKNAMES.get(t, t)
     if t in GIVEN:
         return t
     for a, b in _LONG:
         t = t.replace(a, b)
     t = NICKNAMES.get(t, t)
-    if t in GIVEN:
-        return t
+    if t in _GIVEN_SHORT:
+        return _GIVEN_SHORT[t]
     if script == "arabic":
+        c = code(token)
+        if len(c) >= 3 and c in _GIVEN_CODES:
+            return _GIVEN_CODES[c]
         c = re.sub(r"(.)\1+", r"\1", code(token).replace("v", ""))
-        return _GIVEN_NO_V.get(c) if len(c) >= 3 else None
+        return _GIVEN_NO_V.get(c) if len(c) >= 3 or c in ("md", "sd") else None
+    if script != "latin":
+        for g in _GIVEN_BY_CODE.get(code(t).replace("v", "b"), ()):
+            if jaro_winkler(_plain_sounds(t), _plain_sounds(g)) >= 0.85:
+                return g
     return None
 
 
+def _plain_sounds(word: str) -> str:
+    for a, b in (("w", "v"), ("v", "b"), ("z", "j"), ("q", "k"), ("ph", "f"), ("y", "i"), ("ii", "i"), ("h", "")):
+        word = word.replace(a, b)
+    return re.sub(r"(.)\1+", r"\1", word)
+
+
 @lru_cache(200_000)
 def compound_given(joined: str, script: str) -> bool:
     """Whether parts written together spell one longer given name."""
@@ -406,8 +422,17 @@ def link_persons(texts: list[str], phones: list[frozenset], groups: list[frozens
     return [comp.find(i) for i in range(len(names))]
 
 
+_GIVEN_SHORT: dict[str, str] = {}
+for _g in sorted(GIVEN):
+    _s = _g
+    for _a, _b in _LONG:
+        _s = _s.replace(_a, _b)
+    _GIVEN_SHORT[_s] = _g
 _GIVEN_CODES = _by_code("")
 _GIVEN_NO_V = _by_code("v")
+_GIVEN_BY_CODE: dict[str, list[str]] = {}
+for _g in sorted(GIVEN):
+    _GIVEN_BY_CODE.setdefault(code(_g).replace("v", "b"), []).append(_g)
 
 LEGAL = frozenset("pvt private ltd limited p inc llp llc plc co corp corporation".split())
 KINDS = {

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from threadloom.llm.languages import document_languages, fit_model, language_segments
 from threadloom.llm.lookalikes import normalized, same_look_pairs
 from threadloom.llm.names import entity_mentions, link_names, variant_pairs
+from threadloom.llm.personal import fit_model as fit_span_model
+from threadloom.llm.personal import masked_texts, personal_spans
 from threadloom.llm.sentences import sentence_units
 from threadloom.session import ship
 from threadloom.sources.tables import latest_delivery, table
@@ -32,6 +34,20 @@ def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     return document_languages(p1_segments(spark, d))
 
 
+def p2_spans(spark: SparkSession, d: str) -> DataFrame:
+    model = fit_span_model(table(spark, d, "source_documents"))
+    return personal_spans(_texts(spark, d), model)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_spans(spark, d).drop("probability")
+
+
+def p2_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders in place of what identifies a person."""
+    return masked_texts(_texts(spark, d), fit_span_model(table(spark, d, "source_documents")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     rows = None
@@ -70,5 +86,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(_texts(spark, d)).select("document_id", "start_char", "end_char")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p3_found, p3_entities, p4_found, p4_entities, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p2_found, p2_spans, p2_masked, p3_found, p3_entities, p4_found, p4_entities, p6_found)}
 ORACLES: dict[str, str] = {}
