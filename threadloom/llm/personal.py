@@ -48,7 +48,7 @@ _EMAIL = re.compile(
     rf"[A-Za-z0-9](?:[A-Za-z0-9._+\-]|{_ZW})*(?:{_ZW}*@{_ZW}*|\s?[\[(]{_ZW}*(?i:a{_ZW}*t){_ZW}*[\])]\s?)(?:[A-Za-z0-9\-]|{_ZW})+(?:(?:{_ZW}*\.{_ZW}*|\s?[\[(]{_ZW}*(?i:d{_ZW}*o{_ZW}*t){_ZW}*[\])]\s?)(?:(?![A-Z][a-z]|{_ZW}*[A-Z][a-z])[A-Za-z0-9\-]|{_ZW}(?=[A-Za-z0-9]))+)+"
 )
 _DIGIT = r"[0-9०-९০-৯۰-۹]"
-_NUMBER = re.compile(rf"(?:\(\+?91\)|\+)?(?:[ \-]?{_ZW}*{_DIGIT}{_ZW}*)+")
+_NUMBER = re.compile(rf"(?:\(\+?91\)|\+)?[0-9०-९০-৯۰-۹ \-{ZERO_WIDTH}]{{10,}}")
 _ID_ALNUM = re.compile(rf"{_NOT_WORD}(?:[A-Z]{_ZW}*[0-9](?:{_ZW}*[0-9]){{6}}|(?:[A-Z]{_ZW}*){{3}}[0-9](?:{_ZW}*[0-9]){{6}}|(?:[A-Z]{_ZW}*){{5}}(?:[0-9]{_ZW}*){{4}}[A-Z]|(?:[A-Z]{_ZW}*){{2}}[0-9]{_ZW}*[0-9]{_ZW}*[ \-]?(?:{_ZW}*[0-9]){{11}})(?![A-Za-z0-9])")
 _ASCII_DIGITS = {ord(c): str(i % 10) for i, c in enumerate("०१२३४५६७८९০১২৩৪৫৬৭৮৯۰۱۲۳۴۵۶۷۸۹")}
 _ID_CUE = re.compile(r"(?:identity|licen[cs]e|card|passport|aadha+r|voter|pan|epic|पहचान पत्र|ओळखपत्र|पासपोर्ट|आधार|परिचय|পরিচয়পত্র|শনাক্তকরণ|شناختی|carte|identité|identidad|pièce|documento|dni|身份证|证件|บัตร)\W*(?:no|number|id|सं|क्र|नं|নং|نمبر|n°|núm|号|号码|หมายเลข|d'identité)?[.:°]?\s*$", re.I)
@@ -183,8 +183,10 @@ def _trim_zero_width(t: str, s: int, e: int) -> tuple[int, int]:
 def _numbers(t: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
     for m in _NUMBER.finditer(t):
         s, e = _trim_zero_width(t, m.start(), m.end())
-        while s < e and t[s] in "- ":
+        while s < e and (t[s] in "- " or t[s] in ZERO_WIDTH):
             s += 1
+        while s < e and (t[e - 1] in "- " or t[e - 1] in ZERO_WIDTH):
+            e -= 1
         raw = t[s:e]
         digits = re.sub(r"[^0-9]", "", raw.translate(_ASCII_DIGITS))
         if len(digits) < 10 or any(a < e and s < b for a, b in taken):
@@ -432,6 +434,7 @@ class SpanModel:
 
     def __init__(self, weights: dict[str, np.ndarray], accuracy: dict[str, dict[str, float]]):
         self.weights, self.accuracy = {k: w.tolist() for k, w in weights.items()}, accuracy
+        self._by_name = {k: dict(zip(LABELERS[k], w[1:])) for k, w in self.weights.items()}
 
     @staticmethod
     def row(sp: Span) -> list[float]:
@@ -464,7 +467,12 @@ class SpanModel:
         return w
 
     def score(self, sp: Span) -> float:
-        z = sum(a * b for a, b in zip(self.weights[sp.kind], self.row(sp)))
+        w, by = self.weights[sp.kind], self._by_name[sp.kind]
+        z = w[0]
+        for name, vote in sp.votes.items():
+            z += by[name] * vote
+        for a, b in zip(w[1 + len(by) :], sp.shape):
+            z += a * b
         return 1 / (1 + float(np.exp(-z)))
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from threadloom.llm.languages import document_languages, fit_model, language_segments
 from threadloom.llm.lookalikes import normalized, same_look_pairs
 from threadloom.llm.names import entity_mentions, link_names, variant_pairs
+from threadloom.llm.packing import fill_report, pack
 from threadloom.llm.personal import fit_model as fit_span_model
 from threadloom.llm.personal import masked_texts, personal_spans
+from threadloom.llm.quality import load_common_words, text_statistics
 from threadloom.llm.sentences import sentence_units
+from threadloom.llm.tokens import encode_corpus, token_counts
 from threadloom.session import ship
 from threadloom.sources.tables import latest_delivery, table
 
@@ -86,5 +89,43 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(_texts(spark, d)).select("document_id", "start_char", "end_char")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p2_found, p2_spans, p2_masked, p3_found, p3_entities, p4_found, p4_entities, p6_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each document, and its characters to a token."""
+    ship(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return token_counts(docs)
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    profiles = [(r[0], r[1]) for r in table(spark, d, "pack_capacities").select("profile_id", "capacity_tokens").limit(100).collect()]
+    docs = table(spark, d, "documents")
+    return pack(token_counts(docs), profiles, "doc_id", "n_tokens", docs.count())
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnsRenamed({"item_id": "doc_id", "start_unit": "start_token", "n_units": "n_tokens"})
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(_packed(spark, d))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    return text_statistics(table(spark, d, "documents"), load_common_words(table(spark, d, "common_words")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_statistics(spark, d).filter(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
+
+
+_ALL = (p1_found, p1_segments, p1_documents, p2_found, p2_spans, p2_masked, p3_found, p3_entities, p4_found, p4_entities, p6_found)
+_ALL += (p8_ids, p8_counts, p9_containers, p9_report, p10_found, p10_statistics)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
