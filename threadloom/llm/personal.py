@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.chars import ZERO_WIDTH
-from threadloom.llm.languages import _JOIN, tidy
+from threadloom.llm.languages import _JOIN, _ZERO, tidy
 from threadloom.llm.names import _LONG, GIVEN, KIND_WORDS, MIDDLE, TITLES, _plain_sounds, code, edits, jaro_winkler, known_given, roman, script_of
 
 TYPES = ("NAME", "PHONE", "EMAIL", "ID_NUMBER", "ADDRESS")
@@ -68,6 +68,11 @@ _HOUSE_NUMBER = re.compile(rf"{_DIGIT}[A-Z0-9०-९/\-{ZERO_WIDTH}]{{0,9}}, ")
 _ID_TOKEN = re.compile(rf"[A-Z][A-Z0-9{ZERO_WIDTH}]{{3,14}}(?:[ \-][0-9{ZERO_WIDTH}]{{11,16}})?")
 
 
+def bare(text: str) -> str:
+    """Text without invisible signs."""
+    return text if text.isascii() or not _ZERO.search(text) else text.translate(_JOIN)
+
+
 def _deletes(w: str) -> set[str]:
     return {w[:i] + w[i + 1 :] for i in range(len(w))} | {w}
 
@@ -88,7 +93,7 @@ NOT_NAMES = frozenset("सवारी लोगों لوگوں लोका
 @lru_cache(200_000)
 def part_of_name(token: str) -> str:
     """G for a given name, S for a family name, M for a middle name, N for a street name, else empty."""
-    t = token.translate(_JOIN).casefold().strip("'’-")
+    t = bare(token).casefold().strip("'’-")
     if not t:
         return ""
     s = script_of(t)
@@ -150,6 +155,19 @@ for _w in SURNAMES:
         _SOUNDS.setdefault(_d, set()).add(_w)
 
 
+_parts: dict[str, str] = {}
+
+
+def _part(token: str) -> str:
+    """As ``part_of_name``, through a plain dictionary, which is bounded like its cache."""
+    hit = _parts.get(token)
+    if hit is None:
+        if len(_parts) > 200_000:
+            _parts.clear()
+        hit = _parts[token] = part_of_name(token)
+    return hit
+
+
 class Span:
     """A proposed span with its votes: label name to +1 or -1, and numeric shape features."""
 
@@ -188,12 +206,12 @@ def _numbers(t: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
         while s < e and (t[e - 1] in "- " or t[e - 1] in ZERO_WIDTH):
             e -= 1
         raw = t[s:e]
-        digits = re.sub(r"[^0-9]", "", raw.translate(_ASCII_DIGITS))
+        digits = re.sub(r"[^0-9]", "", (raw if raw.isascii() else raw.translate(_ASCII_DIGITS)))
         if len(digits) < 10 or any(a < e and s < b for a, b in taken):
             continue
         if s and (t[s - 1].isascii() and (t[s - 1].isalnum() or t[s - 1] in "/@")) or e < len(t) and (t[e].isascii() and t[e].isalpha() or t[e] == "/"):
             continue
-        before = t[max(0, s - 40) : s].translate(_JOIN)
+        before = bare(t[max(0, s - 40) : s])
         yield from _split_number(t, s, e, before)
 
 
@@ -206,20 +224,22 @@ _ID_FORM = re.compile(r"\d{4}[ \-]\d{4}[ \-]\d{4}(?!\d)|\d{12}(?!\d)")
 def _split_number(t: str, s: int, e: int, before: str) -> Iterator[Span]:
     """Phones and identity numbers within a run of digits and blanks; positions count the invisible signs out."""
     at = [i for i in range(s, e) if t[i] not in ZERO_WIDTH]
-    bare = "".join(t[i] for i in at).translate(_ASCII_DIGITS)
+    number = "".join(t[i] for i in at)
+    if not number.isascii():
+        number = number.translate(_ASCII_DIGITS)
     pos = 0
-    while pos < len(bare):
-        if pos and bare[pos - 1].isdigit() or bare[pos] in " -":
+    while pos < len(number):
+        if pos and number[pos - 1].isdigit() or number[pos] in " -":
             pos += 1
             continue
         ctx = before if pos == 0 else ""
         a, b = bool(_ACCOUNT_CUE.search(ctx)), bool(_ID_CUE.search(ctx))
-        m = _ID_FORM.match(bare, pos)
-        if m and (b or not _PHONE_FORM.match(bare, pos)):
+        m = _ID_FORM.match(number, pos)
+        if m and (b or not _PHONE_FORM.match(number, pos)):
             yield Span("ID_NUMBER", at[pos], at[m.end() - 1] + 1, {"shape": 1} | ({"id_cue": 1} if b else {"id_cue": -1}) | ({"account_cue": -1} if a else {}), (0.0,))
             pos = m.end()
             continue
-        m = _PHONE_FORM.match(bare, pos)
+        m = _PHONE_FORM.match(number, pos)
         if m:
             votes = {"shape": 1}
             if _PHONE_CUE.search(ctx):
@@ -234,7 +254,7 @@ def _split_number(t: str, s: int, e: int, before: str) -> Iterator[Span]:
             yield Span("PHONE", at[pos], at[m.end() - 1] + 1, votes, (float(m.end() - pos > 10),))
             pos = m.end()
             continue
-        while pos < len(bare) and bare[pos].isdigit():
+        while pos < len(number) and number[pos].isdigit():
             pos += 1
 
 
@@ -251,14 +271,14 @@ def propose(text: str) -> list[Span]:
                 while t[e - 1] in ".-":
                     e -= 1
                 taken.append((s, e))
-                out.append(Span("EMAIL", s, e, {"shape": 1, "domain": 1 if re.search(r"(?i)(\.|dot\s?[\])]\s?)[a-z]{2,}$", t[s:e].translate(_JOIN)) else -1}))
+                out.append(Span("EMAIL", s, e, {"shape": 1, "domain": 1 if re.search(r"(?i)(\.|dot\s?[\])]\s?)[a-z]{2,}$", bare(t[s:e])) else -1}))
     for at in _HOUSE_NUMBER.finditer(t):
         lo, hi = max(0, at.start() - 24), min(len(t), at.end() + 200)
         part = t[lo:hi]
         for s, e in _spans_without_zero_width(_ADDRESS, part):
             s, e = s + lo, e + lo
             if s <= at.start() + 9 and at.start() < e and not any(a < e and s < b for a, b in taken):
-                body = t[s:e].translate(_JOIN)
+                body = bare(t[s:e])
                 if ", " in body:
                     taken.append((s, e))
                     out.append(Span("ADDRESS", s, e, {"shape": 1, "parts": 1} | ({"postal_code": 1} if re.search(r"[0-9०-९]{3}$", body) else {})))
@@ -267,7 +287,7 @@ def propose(text: str) -> list[Span]:
         if not m or t[m.end() : m.end() + 1].isalnum():
             continue
         s, e = m.span()
-        ctx = t[max(0, s - 40) : s].translate(_JOIN)
+        ctx = bare(t[max(0, s - 40) : s])
         votes = {"shape": 1, "id_cue": 1 if _ID_CUE.search(ctx) else -1}
         if _ACCOUNT_CUE.search(ctx):
             votes["account_cue"] = -1
@@ -279,22 +299,21 @@ def propose(text: str) -> list[Span]:
 
 
 def _spans_without_zero_width(pattern: re.Pattern, t: str) -> list[tuple[int, int]]:
+    if t.isascii() or not _ZERO.search(t):
+        return [m.span() for m in pattern.finditer(t)]
     at = [i for i, c in enumerate(t) if c not in ZERO_WIDTH]
-    bare = "".join(t[i] for i in at)
-    return [(at[m.start()], at[m.end() - 1] + 1) for m in pattern.finditer(bare)]
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in pattern.finditer("".join(t[i] for i in at))]
 
 
 def _names(t: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
-    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(t)]
-    if not words:
-        return
-    parts = [part_of_name(w) for _, _, w in words]
+    words = [(*m.span(), m[0]) for m in _WORD.finditer(t)]
+    parts = [_part(w[2]) for w in words]
     n = len(words)
     i = 0
-    while i < n:
-        if parts[i] not in ("G", "S"):
-            i += 1
+    for at in [k for k, p in enumerate(parts) if p == "G" or p == "S"]:
+        if at < i:
             continue
+        i = at
         lo = hi = i
         # To the right and left: other parts, middle names and initials, with one blank, comma or full stop between.
         while hi + 1 < n and _gap(t, words[hi], words[hi + 1]) and (parts[hi + 1] in ("G", "S", "M") or _initial(t, words[hi + 1]) or _apart(words[hi + 1][2])):
@@ -310,12 +329,12 @@ def _names(t: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
         if parts[hi] == "M":
             hi -= 1
         s, e = words[lo][0], words[hi][1]
-        if len(words[hi][2].translate(_JOIN)) == 1 and t[e : e + 1] == ".":
+        if len(bare(words[hi][2])) == 1 and t[e : e + 1] == ".":
             e += 1
         nxt = i = hi + 1
         for lo2, hi2 in _persons(t, words, parts, lo, hi):
             s, e = words[lo2][0], words[hi2][1]
-            if len(words[hi2][2].translate(_JOIN)) == 1 and t[e : e + 1] == ".":
+            if len(bare(words[hi2][2])) == 1 and t[e : e + 1] == ".":
                 e += 1
             s, e = _trim_zero_width(t, s, e)
             if not any(a < e and s < b for a, b in taken):
@@ -333,7 +352,7 @@ def _gap(t: str, a: tuple, b: tuple, dot: bool = False) -> bool:
     g = t[a[1] : b[0]]
     if g in (" ", "  ", "-") or dot and g in (".", ". "):
         return True
-    if g == ". " and (len(a[2].translate(_JOIN)) == 1 or a[2].translate(_JOIN).casefold() in ("md", "mohd")) or g == "." and len(a[2].translate(_JOIN)) <= 2:
+    if g == ". " and (len(bare(a[2])) == 1 or bare(a[2]).casefold() in ("md", "mohd")) or g == "." and len(bare(a[2])) <= 2:
         return True
     return g == ", " and _comma_name(t, a, b)
 
@@ -346,8 +365,8 @@ def _comma_name(t: str, a: tuple, b: tuple) -> bool:
 def _initial(t: str, w: tuple) -> bool:
     if w[1] - w[0] > 3:
         return False
-    bare = w[2].translate(_JOIN)
-    return len(bare) == 1 and bare.isalpha() and t[w[1] : w[1] + 1] == "."
+    letter = bare(w[2])
+    return len(letter) == 1 and letter.isalpha() and t[w[1] : w[1] + 1] == "."
 
 
 _APART = frozenset("kant veer mohan lal ali wal wala singh وال والا پوری علی کانت ویر موہن لال الدین".split())
@@ -355,7 +374,7 @@ _APART = frozenset("kant veer mohan lal ali wal wala singh وال والا پو
 
 def _apart(word: str) -> bool:
     """A part of a compound name that is written apart."""
-    return len(word) < 9 and word.translate(_JOIN).casefold() in _APART
+    return len(word) < 9 and bare(word).casefold() in _APART
 
 
 def _persons(t: str, words: list, parts: list, lo: int, hi: int) -> list[tuple[int, int]]:
@@ -381,14 +400,14 @@ def _name_votes(t: str, words: list, parts: list, lo: int, hi: int) -> tuple[dic
         votes["family"] = 1
     if hi > lo:
         votes["two_parts"] = 1
-    left = words[lo - 1][2].translate(_JOIN).casefold() if lo else ""
+    left = bare(words[lo - 1][2]).casefold() if lo else ""
     before = t[max(0, words[lo][0] - 2) : words[lo][0]]
     if left in TITLES or left in ("श्री", "श्रीमती", "डॉ", "कु", "सौ", "ডা", "শ্রী", "ڈاکٹر", "جناب"):
         votes["title"] = 1
     elif left in ROLE_WORDS:
         votes["role"] = 1
     after = words[hi + 1] if hi + 1 < len(words) else None
-    right = after[2].translate(_JOIN).casefold() if after and t[words[hi][1] : after[0]].strip(" .,") == "" else ""
+    right = bare(after[2]).casefold() if after and t[words[hi][1] : after[0]].strip(" .,") == "" else ""
     if right in RIGHT_WORDS:
         votes["right"] = 1
     kind = roman(right) if right else ""
@@ -399,7 +418,7 @@ def _name_votes(t: str, words: list, parts: list, lo: int, hi: int) -> tuple[dic
         votes["organisation"] = -1
     if near and kind in PLACE_WORDS or lo and roman(left) in PLACE_WORDS and before.endswith(" ") and t[words[lo - 1][1] : words[lo][0]] == " " and words[lo - 1][2][:1].isupper():
         votes["place"] = -1
-    upper = words[lo][2].translate(_JOIN)[:1]
+    upper = bare(words[lo][2])[:1]
     latin_lower = upper.isascii() and upper.islower()
     return votes, (float(latin_lower), float(hi - lo))
 
