@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 #: Letters of other scripts that look like Latin letters, in the order of LATIN_OF. Fixed values (Unicode confusables).
-LOOKALIKE = "АВЕЅІЈКМНОРСТУХҮԌԛԝавеѕіјкмнорстухһԁɑɡΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιονρυϲІѵҺΡԜԚᴏ"
-LATIN_OF = "ABESIJKMHOPCTYXYGqwabesijkmhopctyxhdagABEZHIKMNOPTYXaiovpucIvhPWQo"
+LOOKALIKE = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝѵɑɡᴏΑΒΕΖΗΙΚΜΝΟΡΤΥΧΥαιονρυϲ"
+LATIN_OF = "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwvagoABEZHIKMNOPTYXYaiovpuc"
 assert len(LOOKALIKE) == len(LATIN_OF)
 
 #: Every kind of blank but the line breaks.
