@@ -1 +1 @@
-"""Package streaming of threadloom."""
+"""Structured Streaming operators; each has a batch twin with the same result."""
