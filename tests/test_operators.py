@@ -137,7 +137,7 @@ def test_stream_lockouts_equal_batch(spark, small):
     from threadloom.plans.streams import QUERIES
 
     got = {r.user_id: r.n_locks for r in QUERIES["stream_lockouts"](spark, small).collect()}
-    rows = spark.read.parquet(f"{small}/events.parquet").selectExpr("user_id % 5 AS k", "unix_micros(cast(ts AS timestamp)) / 1e6 AS t", "event_type AS e").collect()
+    rows = spark.read.parquet(f"{small}/events.parquet").selectExpr("0 AS k", "unix_micros(cast(ts AS timestamp)) / 1e6 AS t", "if(event_type = 'signup', 'signup', 'error') AS e").collect()
     by = defaultdict(list)
     for r in rows:
         by[r.k].append((float(r.t), r.e))
