@@ -68,11 +68,12 @@ def adamic_adar(edges: DataFrame, most_middle: int | None = None) -> DataFrame:
     return score.join(pairs, ["a", "b"], "left_anti")
 
 
-def connected_components(pairs: DataFrame, every: int = 3) -> DataFrame:
+def connected_components(pairs: DataFrame, every: int = 1) -> DataFrame:
     """(id, component) of the undirected graph of ``pairs`` (a, b): the smallest id of each component.
 
     Alternating large-star and small-star rounds, which halve the depth of the trees each time, until the edges stay
-    the same; every round is one shuffle on the vertex and nothing is collected but a count and a checksum.
+    the same. Every round uses its edges several times, so each is checkpointed; nothing is collected but a count and
+    a checksum.
     """
     e = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     loops = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -93,13 +94,16 @@ def connected_components(pairs: DataFrame, every: int = 3) -> DataFrame:
     return loops.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, rounds: int = 10, every: int = 5) -> DataFrame:
-    """(id, rank) of the simple directed graph after ``rounds`` power iterations; dangling mass is spread evenly."""
+def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, rounds: int = 10, every: int = 1) -> DataFrame:
+    """(id, rank) of the simple directed graph after ``rounds`` power iterations; dangling mass is spread evenly.
+
+    A round reads the ranks twice, so they are checkpointed every round; that keeps the plan from doubling.
+    """
     e = edges.filter("src <> dst").select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("out"))
-    e = e.join(out, "src")
-    v = vertices.select("id").join(out.withColumnRenamed("src", "id"), "id", "left")
-    n = vertices.count()
+    e = checkpoint(e.join(out, "src").repartition("src"))
+    v = checkpoint(vertices.select("id").join(out.withColumnRenamed("src", "id"), "id", "left"))
+    n = v.count()
     r = v.withColumn("rank", F.lit(1.0 / max(1, n)))
     for k in range(rounds):
         flow = e.join(r.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
