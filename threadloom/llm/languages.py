@@ -28,7 +28,7 @@ N_FEATURES = 1 << 15
 MAX_SAMPLES = 5000
 #: Times that the whole word counts as a feature beside its n-grams.
 WHOLE = 3
-_KEPT_WORDS = 200_000
+_KEPT_WORDS, _KEPT_UNITS = 200_000, 50_000
 
 _ADDRESS = re.compile(r"\S+@\S+|\S+ ?[\[(](?:at|AT)[\])] ?\S+(?: ?\[(?:dot|DOT)\] ?\w+)*|https?://\S+|www\.\S+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’़-्ऀ-ः॑-ॗঁ-ঃ়-্ัิ-ฺ็-๎ً-ٰٕ]+[^\W\d_]*)*")
@@ -104,6 +104,7 @@ class LanguageModel:
     def __init__(self, pairs: dict[tuple[str, str], np.ndarray]):
         self.pairs = {k: v.astype(np.float32) for k, v in pairs.items()}
         self._cache: dict[str, tuple] = {}
+        self._units: dict[str, tuple] = {}  # of short units, many of which come again
         self._stack = {f: np.stack([self.pairs[p] for p in combinations(ls, 2)]) for f, ls in FAMILIES.items() if len(ls) > 1}
 
     def __getstate__(self):
@@ -149,6 +150,16 @@ class LanguageModel:
 
     def unit(self, text: str) -> tuple[str | None, list[float] | None, int]:
         """(family, summed pair scores, number of words of the family) of a sentence unit; None without words."""
+        hit = self._units.get(text)
+        if hit is None:
+            hit = self._unit(text)
+            if len(text) <= 160:
+                if len(self._units) >= _KEPT_UNITS:
+                    self._units.clear()
+                self._units[text] = hit
+        return hit
+
+    def _unit(self, text: str) -> tuple[str | None, list[float] | None, int]:
         cache, word = self._cache, self.word
         found = [cache.get(w) or word(w) for w in words_of(text)]
         fams = {x[0] for x in found}

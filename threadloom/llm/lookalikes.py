@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.chars import BLANKS, FULL_WIDTH, HALF_OF, INVISIBLE, LATIN_OF, LOOKALIKE
+from threadloom.llm.chars import BLANKS, BREAKS, FULL_WIDTH, HALF_OF, INVISIBLE, LATIN_OF, LOOKALIKE
 
 _TO_LATIN = {}
 for _a, _b in zip(LOOKALIKE, LATIN_OF):
@@ -126,7 +126,7 @@ def same_look_pairs(rows: DataFrame, scope: str = "scope", key: str = "id", text
     one spelling are joined, so copies of one text never meet; the result holds nothing but true pairs.
     """
     src = rows.select(F.col(scope).alias("scope"), F.col(key).alias("id"), F.col(text).alias("text")).filter(
-        F.col("scope").isNotNull() & F.col("id").isNotNull() & (F.length(F.trim(F.col("text"))) > 0)
+        F.col("scope").isNotNull() & F.col("id").isNotNull() & not_blank(F.col("text"))
     )
     k = src.select("scope", "id", look_and_raw("text").alias("k")).select("scope", "id", "k.look", "k.raw").dropDuplicates(["scope", "id"])
     several = k.groupBy("scope", "look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo <> hi").select("scope", "look")
@@ -135,6 +135,6 @@ def same_look_pairs(rows: DataFrame, scope: str = "scope", key: str = "id", text
     return a.join(b, ["scope", "look"]).filter("id_a < id_b AND raw_a <> raw_b").select("scope", "id_a", "id_b")
 
 
-def blank_free(c: Column) -> Column:
+def not_blank(c: Column) -> Column:
     """Whether a text has anything but blanks of any kind."""
-    return F.length(F.translate(c, BLANKS + " \n\r　", "")) > 0
+    return F.length(F.translate(c, BLANKS + BREAKS + " \n\r", "")) > 0

@@ -211,7 +211,7 @@ def _numbers(t: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
             continue
         if s and (t[s - 1].isascii() and (t[s - 1].isalnum() or t[s - 1] in "/@")) or e < len(t) and (t[e].isascii() and t[e].isalpha() or t[e] == "/"):
             continue
-        before = bare(t[max(0, s - 40) : s])
+        before = bare(t[max(0, s - 32) : s])
         yield from _split_number(t, s, e, before)
 
 
@@ -232,17 +232,22 @@ def _split_number(t: str, s: int, e: int, before: str) -> Iterator[Span]:
         if pos and number[pos - 1].isdigit() or number[pos] in " -":
             pos += 1
             continue
+        m, phone = _ID_FORM.match(number, pos), _PHONE_FORM.match(number, pos)
+        if not m and not phone:
+            while pos < len(number) and number[pos].isdigit():
+                pos += 1
+            pos += pos < len(number) and not number[pos].isdigit()
+            continue
         ctx = before if pos == 0 else ""
-        a, b = bool(_ACCOUNT_CUE.search(ctx)), bool(_ID_CUE.search(ctx))
-        m = _ID_FORM.match(number, pos)
-        if m and (b or not _PHONE_FORM.match(number, pos)):
+        a, b = bool(ctx and _ACCOUNT_CUE.search(ctx)), bool(ctx and _ID_CUE.search(ctx))
+        if m and (b or not phone):
             yield Span("ID_NUMBER", at[pos], at[m.end() - 1] + 1, {"shape": 1} | ({"id_cue": 1} if b else {"id_cue": -1}) | ({"account_cue": -1} if a else {}), (0.0,))
             pos = m.end()
             continue
-        m = _PHONE_FORM.match(number, pos)
+        m = phone
         if m:
             votes = {"shape": 1}
-            if _PHONE_CUE.search(ctx):
+            if ctx and _PHONE_CUE.search(ctx):
                 votes["phone_cue"] = 1
             if a:
                 votes["account_cue"] = -1
