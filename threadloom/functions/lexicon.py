@@ -9,7 +9,7 @@ ROLE_WORDS = frozenset("accused complainant witness informant suspect victim".sp
 ALIAS_WORDS = frozenset(["alias", "urf", "@", "उर्फ"])
 NOT_NAMES = frozenset(
     "the a an and or but on in at to of for from by with he she it they his her this that was were is are as if then during later both girls vehicle notice receipt copy call room bus case number statement further nothing "
-    "who did please stop according vide identity accused complainant mother father police fir sector plot house flat block ward monday tuesday wednesday thursday friday saturday sunday".split()
+    "who did please stop according vide identity accused complainant mother father police fir plot house flat block ward monday tuesday wednesday thursday friday saturday sunday".split()
 )
 #: Cues of relations in the words between or around two mentions; fixed values.
 CALL_CUES, OWN_CUES, PRESENT_CUES, WORK_CUES = ["call", "phone", "mob", "number", "contact"], ["own", "drive", "vehicle", "plate", "gaadi"], ["seen", "at", "near", "reached", "from"], ["works", "owner", "runs", "office", "employ"]
