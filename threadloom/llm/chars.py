@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 #: Letters of other scripts that look like Latin letters, in the order of LATIN_OF. Fixed values (Unicode confusables).
 LOOKALIKE = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝѵɑɡᴏΑΒΕΖΗΙΚΜΝΟΡΤΥΧΥαιονρυϲ"
 LATIN_OF = "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwvagoABEZHIKMNOPTYXYaiovpuc"
@@ -22,9 +24,12 @@ DASHES, DASH_OF = "‐‑‒–−﹘﹣", "-------"
 #: For matching only: full-width forms, look-alikes, blanks and dashes to the ordinary sign, one for one.
 PLAIN_FROM = FULL_WIDTH + LOOKALIKE + BLANKS + DASHES + "’ʼ"
 PLAIN_TO = HALF_OF + LATIN_OF + " " * len(BLANKS) + DASH_OF + "''"
-PLAIN = {ord(a): b for a, b in zip(PLAIN_FROM, PLAIN_TO)}
+
+
+_RARE = re.compile("[" + re.escape(PLAIN_FROM) + "]")
+_PLAIN_SIGN = dict(zip(PLAIN_FROM, PLAIN_TO))
 
 
 def plain(text: str) -> str:
     """Text of the same length with full-width forms, look-alikes, blanks and dashes made ordinary."""
-    return text if text.isascii() and "\t" not in text else text.translate(PLAIN)
+    return text if text.isascii() and "\t" not in text else _RARE.sub(lambda m: _PLAIN_SIGN[m[0]], text)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations, groupby
+from math import exp
 from zlib import crc32
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.chars import PLAIN, PLAIN_FROM, ZERO_WIDTH
+from threadloom.llm.chars import ZERO_WIDTH
+from threadloom.llm.chars import plain as tidy
 from threadloom.llm.sentences import unit_offsets
 
 #: Languages of each family; a family of one needs no classifier.
@@ -53,19 +55,12 @@ def family_of(ch: str) -> str | None:
     return None
 
 
-_ODD = re.compile("[" + "".join(map(re.escape, PLAIN_FROM)) + ZERO_WIDTH + "]")
-_JOIN = str.maketrans("", "", ZERO_WIDTH)
-
-
-def tidy(text: str) -> str:
-    """Look-alikes made ordinary; only texts that have any are rewritten. The length is kept."""
-    return text if text.isascii() or not _ODD.search(text) else text.translate(PLAIN)
 
 
 def words_of(text: str) -> list[str]:
     """Words of a tidied unit, without net addresses, numbers and invisible signs."""
     ascii_only = text.isascii()
-    t = text if ascii_only or not _ZERO.search(text) else text.translate(_JOIN)
+    t = text if ascii_only else _ZERO.sub("", text)
     if "@" in t or "[" in t or "(" in t or "://" in t:
         t = _ADDRESS.sub(" ", t)
     return _ASCII_WORD.findall(t) if ascii_only else _WORD.findall(t)
@@ -148,11 +143,12 @@ class LanguageModel:
             self._cache[w] = (fam, weight, score)
         return fam, weight, score
 
-    def unit(self, text: str) -> tuple[str | None, list[float] | None, int]:
-        """(family, summed pair scores, number of words of the family) of a sentence unit; None without words."""
+    def unit(self, text: str) -> tuple[str | None, list[float] | None, int, str | None, float]:
+        """(family, summed pair scores, words of the family, language, confidence) of a unit; None without words."""
         hit = self._units.get(text)
         if hit is None:
-            hit = self._unit(text)
+            fam, scores, n = self._unit(text)
+            hit = (fam, scores, n, *(self.decide(fam, scores) if fam else (None, 0.0)))
             if len(text) <= 160:
                 if len(self._units) >= _KEPT_UNITS:
                     self._units.clear()
@@ -186,16 +182,19 @@ class LanguageModel:
         ls = FAMILIES[fam]
         if len(ls) == 1 or scores is None:
             return ls[0], 1.0
-        votes, margin = dict.fromkeys(ls, 0), dict.fromkeys(ls, 0.0)
-        for (a, b), s in zip(combinations(ls, 2), scores):
-            votes[a if s >= 0 else b] += 1
-            margin[a] += s
-            margin[b] -= s
-        best = max(ls, key=lambda x: (votes[x], margin[x]))
-        low = min(abs(s) for (a, b), s in zip(combinations(ls, 2), scores) if best in (a, b))
-        return best, 1 / (1 + float(np.exp(-low)))
-
-
+        wins, n = [0] * len(ls), len(ls)
+        for (i, j), s in zip(_PAIRS[n], scores):
+            wins[i if s >= 0 else j] += 1
+        best = wins.index(max(wins))
+        if wins.count(wins[best]) > 1:  # a circle of votes: the larger margin
+            margin = [sum(s if i == k else -s for (i, j), s in zip(_PAIRS[n], scores) if k in (i, j)) for k in range(n)]
+            best = max((k for k in range(n) if wins[k] == max(wins)), key=margin.__getitem__)
+        low = min(abs(scores[k]) for k in _OWN_PAIRS[n][best])
+        return ls[best], 1 / (1 + exp(-low))
+
+
+_PAIRS = {n: list(combinations(range(n), 2)) for n in (2, 3, 4)}
+_OWN_PAIRS = {n: [[k for k, p in enumerate(ps) if i in p] for i in range(n)] for n, ps in _PAIRS.items()}
 #: A unit whose machines are less sure takes part in the choice of a neighbour of its family. Short ones need more.
 SHORT_WORDS = 4
 SURE, SURE_SHORT = 0.975, 0.975
@@ -205,11 +204,10 @@ def label_units(model: LanguageModel, units: list[str]) -> list[tuple[str, float
     """(language, confidence) of successive units. Units without words go with the unit before, else after them."""
     raw = [model.unit(u) for u in units]
     out: list[tuple[str, float] | None] = []
-    for i, (fam, scores, n) in enumerate(raw):
+    for i, (fam, scores, n, lang, sure) in enumerate(raw):
         if fam is None:
             out.append(None)
             continue
-        lang, sure = model.decide(fam, scores)
         if scores is not None and sure < (SURE_SHORT if n <= SHORT_WORDS else SURE):
             near = [raw[j][1] for j in (i + 1, i - 1) if 0 <= j < len(raw) and raw[j][0] == fam and raw[j][1] is not None]
             if near:

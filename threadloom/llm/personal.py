@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.chars import ZERO_WIDTH
-from threadloom.llm.languages import _JOIN, _ZERO, tidy
+from threadloom.llm.chars import plain as tidy
 from threadloom.llm.names import _LONG, GIVEN, KIND_WORDS, MIDDLE, TITLES, _plain_sounds, code, edits, jaro_winkler, known_given, roman, script_of
 
 TYPES = ("NAME", "PHONE", "EMAIL", "ID_NUMBER", "ADDRESS")
@@ -43,6 +43,7 @@ RIGHT_WORDS = frozenset(
 )
 
 _ZW = f"[{ZERO_WIDTH}]"
+_ZERO = re.compile(_ZW)
 _NOT_WORD = r"(?<![A-Za-z0-9])"
 _EMAIL = re.compile(
     rf"[A-Za-z0-9](?:[A-Za-z0-9._+\-]|{_ZW})*(?:{_ZW}*@{_ZW}*|\s?[\[(]{_ZW}*(?i:a{_ZW}*t){_ZW}*[\])]\s?)(?:[A-Za-z0-9\-]|{_ZW})+(?:(?:{_ZW}*\.{_ZW}*|\s?[\[(]{_ZW}*(?i:d{_ZW}*o{_ZW}*t){_ZW}*[\])]\s?)(?:(?![A-Z][a-z]|{_ZW}*[A-Z][a-z])[A-Za-z0-9\-]|{_ZW}(?=[A-Za-z0-9]))+)+"
@@ -70,7 +71,7 @@ _ID_TOKEN = re.compile(rf"[A-Z][A-Z0-9{ZERO_WIDTH}]{{3,14}}(?:[ \-][0-9{ZERO_WID
 
 def bare(text: str) -> str:
     """Text without invisible signs."""
-    return text if text.isascii() or not _ZERO.search(text) else text.translate(_JOIN)
+    return text if text.isascii() else _ZERO.sub("", text)
 
 
 def _deletes(w: str) -> set[str]:
