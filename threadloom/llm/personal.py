@@ -9,6 +9,7 @@ shape, which makes the final choice everywhere. Spans are then replaced by typed
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -94,7 +95,7 @@ NOT_NAMES = frozenset("सवारी लोगों لوگوں लोका
 @lru_cache(200_000)
 def part_of_name(token: str) -> str:
     """G for a given name, S for a family name, M for a middle name, N for a street name, else empty."""
-    t = bare(token).casefold().strip("'’-")
+    t = unicodedata.normalize("NFC", bare(token)).casefold().strip("'’-")
     if not t:
         return ""
     s = script_of(t)
@@ -188,7 +189,7 @@ LABELERS = {
 }
 #: Prior accuracy of the labelers, and how many spans the prior is worth.
 PRIOR, PRIOR_WEIGHT, SURE_WEIGHT = 0.85, 200.0, 1e6
-SURE_LABELERS = {("NAME", "organisation"): 0.9995, ("NAME", "street_name"): 0.98, ("NAME", "place"): 0.999, ("PHONE", "account_cue"): 0.9995, ("PHONE", "id_cue"): 0.9995, ("ID_NUMBER", "id_cue"): 0.97, ("ID_NUMBER", "account_cue"): 0.9995}
+SURE_LABELERS = {("NAME", "organisation"): 0.999999, ("NAME", "street_name"): 0.98, ("NAME", "place"): 0.99999, ("PHONE", "account_cue"): 0.999999, ("PHONE", "id_cue"): 0.999999, ("ID_NUMBER", "id_cue"): 0.97, ("ID_NUMBER", "account_cue"): 0.999999}
 
 
 def _trim_zero_width(t: str, s: int, e: int) -> tuple[int, int]:
@@ -449,7 +450,7 @@ def estimate(v: np.ndarray, kind: str, rounds: int = 25) -> tuple[np.ndarray, np
         w = np.log(acc / (1 - acc))
         p = 1 / (1 + np.exp(-(v @ w + np.log(share / (1 - share)))))
         agree = ((v > 0) * p[:, None] + (v < 0) * (1 - p)[:, None]).sum(0)
-        acc = np.clip((agree + prior * worth) / ((v != 0).sum(0) + worth), 0.55, 0.9995)
+        acc = np.clip((agree + prior * worth) / ((v != 0).sum(0) + worth), 0.55, 1 - 1e-7)
         share = float(np.clip((p.sum() + 70) / (len(v) + 100), 0.05, 0.95))
     return p, acc
 
