@@ -143,3 +143,12 @@ def test_stream_lockouts_equal_batch(spark, small):
         by[r.k].append((float(r.t), r.e))
     want = {k: len(lockouts_of(sorted(v), [], -1.0)[0]) for k, v in by.items()}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_text_functions():
+    assert sim.recase_shouting("THE FIR OF RAVI NAIR WAS LOST") == "The FIR Of Ravi Nair Was Lost"
+    assert sim.recase_shouting("The FIR of Ravi Nair") == "The FIR of Ravi Nair"
+    names = frozenset(["ramesh", "kavita"])
+    assert sim.fuzzy_name("Rameesh", names) == "ramesh" and sim.fuzzy_name("Kavi", names) is None and sim.fuzzy_name("Kavitha", names) == "kavita"
+    assert sim.canonical_json('{"b":1,"a":"é"}') == '{"a": "\\u00e9", "b": 1}' and sim.canonical_json("{") is None
+    assert sim.roman_devanagari("रमेश 12") == "ramesh 12"
