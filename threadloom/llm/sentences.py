@@ -57,7 +57,7 @@ def _masks() -> str:
     """Full stops that end no sentence; the pattern looks at full stops only."""
     word = r"(?<![\p{L}\p{M}&&[^\p{IsHan}]])"
     letter = rf"\p{{L}}\p{{M}}{{0,2}}{_Z}"
-    capital = rf"(?=[ ]+[\"‘({OPEN}-{OPEN_FIRST}]?[{_UP}])(?![ ]+(?:{'|'.join(GOES_ON)})\b)"
+    capital = rf"(?=[ ]*[\"‘({OPEN}-{OPEN_FIRST}]?[{_UP}])(?![ ]*(?:{'|'.join(GOES_ON)})\b)"
     end = r"[ ]*+(?:\n|$)"
     surname = rf"(?:(?<![{_UP}][{_LOW}]{{2,20}} \p{{L}}\.)|(?<=(?:{'|'.join(ROLES)}) \p{{L}}\.))"  # or the initial of one: no end
     return r"\.(?<![a-z]{8}\.(?=[ \n]|$))(?:" + "|".join(
