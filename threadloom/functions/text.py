@@ -82,10 +82,11 @@ def entry_hash(sequence: Column, kind: Column, payload: Column, previous: Column
     return F.sha2(F.concat_ws("|", sequence.cast("string"), kind, payload, previous), 256)
 
 
-def combine_evidence(scores: Column) -> Column:
-    """Noisy-or of independent evidence, four digits."""
+def combine_evidence(scores: Column, digits: int | None = 4) -> Column:
+    """Noisy-or of independent evidence, rounded to ``digits`` if these are given."""
     clamped = F.transform(scores, lambda s: F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
-    return F.round(F.lit(1.0) - F.aggregate(clamped, F.lit(1.0), lambda a, s: a * (F.lit(1.0) - s)), 4)
+    score = F.lit(1.0) - F.aggregate(clamped, F.lit(1.0), lambda a, s: a * (F.lit(1.0) - s))
+    return score if digits is None else F.round(score, digits)
 
 
 def merge_tier(score: Column) -> Column:

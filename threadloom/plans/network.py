@@ -171,8 +171,8 @@ def ledger_chains(spark, d):
     return _chains(spark, d)
 
 
-@query(_CHAIN + " SELECT chain, chain <> 2 AS intact, CASE WHEN chain = 2 THEN 3 END AS first_broken, CASE WHEN chain = 2 THEN 4 ELSE count(*) END AS entries_checked FROM c GROUP BY chain")
+@query(_CHAIN + " SELECT chain, chain <> 2 AS intact, CASE WHEN chain = 2 THEN 3 ELSE -1 END AS first_broken, CASE WHEN chain = 2 THEN 4 ELSE count(*) END AS entries_checked FROM c GROUP BY chain")
 def ledger_verification(spark, d):
     """Chains of which one was tampered with: its fourth payload differs from what was hashed."""
     t = (F.col("chain") == 2) & (F.col("sequence_number") == 3)
-    return ledger.verify_chains(_chains(spark, d).withColumn("payload", F.when(t, F.lit("other")).otherwise(F.col("payload"))))
+    return ledger.verify_chains(_chains(spark, d).withColumn("payload", F.when(t, F.lit("other")).otherwise(F.col("payload")))).fillna(-1, ["first_broken"])

@@ -216,11 +216,11 @@ def asof_previous(spark, d):
     return e.filter("event_type = 'purchase'").join(before, ["user_id", "ts"]).select("event_id", "last_signup")
 
 
-@query("SELECT event_id, user_id, event_type, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS next_event FROM events")
+@query("SELECT event_id, user_id, event_type, lead(event_id, 1, -1) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS next_event FROM events")
 def consecutive_pairs(spark, d):
-    """Each event with the next one of the same user and type."""
+    """Each event with the next one of the same user and type, -1 for the last."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", "user_id", "event_type", F.lead("event_id").over(w).alias("next_event"))
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", F.lead("event_id", 1, -1).over(w).alias("next_event"))
 
 
 # Aggregations --------------------------------------------------------------------------------------------------------
