@@ -12,8 +12,10 @@ RULES = {
     "PHONE": ("calls", CALL_CUES, 0.85, 0.70), "VEHICLE": ("owns", OWN_CUES, 0.80, 0.60), "LOCATION": ("present-at", PRESENT_CUES, 0.80, 0.60),
     "ORGANIZATION": ("associated-with", WORK_CUES, 0.75, 0.55), "ACCOUNT": ("transacts-with", MONEY_CUES, 0.75, 0.70),
 }
-#: Characters up to which an identifier counts as near, and persons with and without a cue.
+#: Characters up to which an identifier counts as near, behind a person that are searched for a cue, between persons without one, and between identifiers.
 NEAR, PERSON_CUE_GAP, PERSON_GAP, CHAIN_GAP = 110, 160, 60, 160
+#: Begins a sentence that goes on about the person before it.
+PRONOUN_START = r"(?iU)^\s*(he|she|they|his|her|their|the[^\S\n]+(accused|suspect))\b"
 
 
 def with_sentences(mentions: DataFrame, docs: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -31,6 +33,10 @@ def _centre(p: str) -> Column:
     return (F.col(f"{p}.start_char") + F.col(f"{p}.end_char")) / 2
 
 
+def _middle() -> Column:
+    return F.expr("(start_char + end_char) div 2")
+
+
 def nearest_person(m: DataFrame, most: int | None = NEAR) -> DataFrame:
     """For each other mention the nearest person of its sentence; the first person wins a tie."""
     p, o = m.filter("entity_type = 'PERSON'").alias("p"), m.filter("entity_type <> 'PERSON'").alias("o")
@@ -43,11 +49,24 @@ def nearest_person(m: DataFrame, most: int | None = NEAR) -> DataFrame:
     return g.agg(F.min_by(F.col("p.mention_id"), F.struct("gap", "p.start_char", "p.mention_id")).alias("person_id"), F.min("gap").alias("gap"))
 
 
+def carried_person(m: DataFrame) -> DataFrame:
+    """For each other mention of a sentence without persons that begins with a pronoun, the last person before that sentence."""
+    head = F.expr("length(substring_index(translate(substring(doc_text, 1, start_char), '.?!।', '\\n\\n\\n\\n'), '\\n', -1))")
+    x = m.withColumn("is_person", F.col("entity_type") == "PERSON").withColumn("begin", F.col("start_char") - head)
+    x = x.withColumn("pronoun", ~F.col("is_person") & F.expr("substring(doc_text, begin + 1)").rlike(PRONOUN_START)).drop("doc_text")
+    x = x.withColumn("alone", ~F.max("is_person").over(Window.partitionBy("doc_id", "sentence"))).withColumn("pos", F.when(F.col("is_person"), _middle()).otherwise(F.col("begin")))
+    # A mention stands at the begin of its sentence, before persons of the same position.
+    w = Window.partitionBy("doc_id").orderBy("pos", "is_person", "start_char", "mention_id").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("person_id", F.last(F.when(F.col("is_person"), F.col("mention_id")), True).over(w))
+    return x.filter("pronoun AND alone AND person_id IS NOT NULL").select("doc_id", F.col("mention_id").alias("other_id"), "entity_type", "person_id")
+
+
 def person_relations(m: DataFrame) -> DataFrame:
-    """(doc_id, a, b, relation_type, confidence) of persons with the other mentions of their sentence."""
-    near = nearest_person(m, None)
-    spans = m.select(F.col("mention_id").alias("other_id"), "start_char", "end_char", "doc_text")
-    x = near.join(spans, "other_id").withColumn("around", F.expr("substring(doc_text, greatest(1, start_char - 60), end_char - start_char + 120)"))
+    """(doc_id, a, b, relation_type, confidence) of persons with the other mentions of their sentence, or of one that a pronoun carries on."""
+    near = nearest_person(m, None).drop("gap").unionByName(carried_person(m))
+    # Only the words around a mention are shuffled, not the whole text.
+    spans = m.filter("entity_type <> 'PERSON'").select(F.col("mention_id").alias("other_id"), F.expr("substring(doc_text, greatest(1, start_char - 60), end_char - start_char + 120)").alias("around"))
+    x = near.join(spans, "other_id")
     kind, conf = F.lit(None).cast("string"), F.lit(None).cast("double")
     for t, (name, cues, strong, weak) in RULES.items():
         cue = has_cue(F.col("around"), cues)
@@ -58,21 +77,25 @@ def person_relations(m: DataFrame) -> DataFrame:
 
 
 def person_pairs(m: DataFrame) -> DataFrame:
-    """Successive persons of a sentence: transacts-with or associated-with by the cue between, else by nearness."""
-    w = Window.partitionBy("doc_id", "sentence").orderBy("start_char", "mention_id")
-    p = m.filter("entity_type = 'PERSON'").withColumn("b", F.lead("mention_id").over(w)).withColumn("to", F.lead("start_char").over(w)).filter("b IS NOT NULL")
-    p = p.withColumn("gap", F.col("to") - F.col("end_char")).withColumn("between", F.expr("substring(doc_text, end_char + 1, greatest(0, to - end_char))"))
-    near = F.col("gap") <= PERSON_CUE_GAP
-    kind = F.when(near & has_cue(F.col("between"), MONEY_CUES), "transacts-with").when(near & has_cue(F.col("between"), FAMILY_CUES), "associated-with").when(F.col("gap") <= PERSON_GAP, "associated-with")
-    conf = F.when(near & (has_cue(F.col("between"), MONEY_CUES) | has_cue(F.col("between"), FAMILY_CUES)), 0.80).otherwise(0.55)
-    return p.withColumn("relation_type", kind).filter("relation_type IS NOT NULL").select("doc_id", F.col("mention_id").alias("a"), "b", "relation_type", conf.alias("confidence"))
+    """All pairs of persons of a sentence but those of one alias group: transacts-with or associated-with by a cue in the words behind the first, else by nearness."""
+    p = m.filter("entity_type = 'PERSON'").withColumn("at", F.struct(_middle(), "start_char", "mention_id"))
+    p = p.select("doc_id", "sentence", "mention_id", "at", "start_char", "end_char", F.expr("nullif(alias_group, '')").alias("alias"), F.expr(f"substring(doc_text, end_char + 1, {PERSON_CUE_GAP})").alias("behind"))
+    x, y = p.alias("x"), p.drop("behind", "end_char").alias("y")
+    j = x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.sentence") == F.col("y.sentence")) & (F.col("x.at") < F.col("y.at")) & ~F.coalesce(F.col("x.alias") == F.col("y.alias"), F.lit(False)))
+    gap = F.greatest(F.col("y.start_char") - F.col("x.end_char"), F.lit(0))
+    between = F.substring(F.col("behind"), F.lit(1), gap)
+    money, family = has_cue(between, MONEY_CUES), has_cue(between, FAMILY_CUES)
+    kind = F.when(money, "transacts-with").when(family | (gap <= PERSON_GAP), "associated-with")
+    conf = F.when(money | family, 0.80).otherwise(0.55)
+    return j.select(F.col("x.doc_id").alias("doc_id"), F.col("x.mention_id").alias("a"), F.col("y.mention_id").alias("b"), kind.alias("relation_type"), conf.alias("confidence")).filter("relation_type IS NOT NULL")
 
 
 def identifier_chains(m: DataFrame) -> DataFrame:
     """Successive phones or accounts of a sentence with a cue between them and at most CHAIN_GAP characters."""
     w = Window.partitionBy("doc_id", "sentence", "entity_type").orderBy("start_char", "mention_id")
-    x = m.filter("entity_type IN ('PHONE', 'ACCOUNT')").withColumn("b", F.lead("mention_id").over(w)).withColumn("to", F.lead("start_char").over(w)).filter("b IS NOT NULL")
-    x = x.withColumn("between", F.expr("substring(doc_text, end_char + 1, greatest(0, to - end_char))")).filter(F.col("to") - F.col("end_char") <= CHAIN_GAP)
+    x = m.filter("entity_type IN ('PHONE', 'ACCOUNT')").withColumn("behind", F.expr(f"substring(doc_text, end_char + 1, {CHAIN_GAP})")).drop("doc_text")
+    x = x.withColumn("b", F.lead("mention_id").over(w)).withColumn("to", F.lead("start_char").over(w)).filter("b IS NOT NULL")
+    x = x.withColumn("between", F.expr("substring(behind, 1, greatest(0, to - end_char))")).filter(F.col("to") - F.col("end_char") <= CHAIN_GAP)
     cue = F.when(F.col("entity_type") == "PHONE", has_cue(F.col("between"), [*CALL_CUES, "and", "again"])).otherwise(has_cue(F.col("between"), [*MONEY_CUES, "to"]))
     kind = F.when(F.col("entity_type") == "PHONE", "calls").otherwise("transacts-with")
     return x.filter(cue).select("doc_id", F.col("mention_id").alias("a"), "b", kind.alias("relation_type"), F.lit(0.90).alias("confidence"))
