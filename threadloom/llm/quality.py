@@ -1,7 +1,7 @@
 """Per-document statistics that tell prose from lists, tables and junk.
 
-Tables show in delimiters that stand in as many fields, or at the same columns, on successive lines; lists in markers
-that return with a period and in lines without sentences; hard-wrapped prose in lines of even length. Each line gets a
+Tables show in delimiters that stand in as many fields, or at the same columns, on successive lines; lists in markers,
+in indentation or lengths of lines that return with a period, and in lines without sentences; hard-wrapped prose in lines of even length. Each line gets a
 form from these and from its words, symbols and punctuation; the form with more than half of the characters is that of
 the document.
 """
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Bound of the common words that reach the driver.
 MAX_WORDS = 5000
+#: Periodicity from which lines count as entries that return.
+PERIODIC = 0.8
 
 _MARKER = re.compile(r"\s*(?:[-•*–·‣▪]\s+|\(?(?:\d{1,4}|[०-९]{1,4}|[a-z]|[ivxlc]{1,6})[.)]\s+|\((?:[A-Z]|[a-z]{2})\)\s+)")
 #: Bars that part fields; after a letter of an Indic script a bar is a full stop.
@@ -69,6 +71,12 @@ def autocorrelation(values: list[int], lag: int) -> float:
     return sum((values[i] - mean) * (values[i + lag] - mean) for i in range(n - lag)) / var
 
 
+def periodicity(values: list[int]) -> float:
+    """Strongest autocorrelation at lags of two to four lines, per pair of lines; 0 with fewer than three periods."""
+    n = len(values)
+    return max((min(1.0, autocorrelation(values, k) * n / (n - k)) for k in (2, 3, 4) if n >= 3 * k), default=0.0)
+
+
 class Form:
     """Forms of the lines of a text and the statistics of the whole."""
 
@@ -88,11 +96,13 @@ class Form:
         self.common = sum(share * len(ws) for share, ws in zip(self.shares, per)) / len(words) if words else 0.0
         self.mashed = self.common < 0.06 and len(_MASHED.findall(text)) > 0.12 * len(words) and len(_LATIN.findall(text)) > 0.4 * len(words)
         lengths = [len(x) for x in lines]
-        self.auto = max(autocorrelation(lengths, k) for k in (1, 2, 3)) if len(lines) > 2 else 0.0
+        self.auto = periodicity(lengths)
         indents = [len(x) - len(x.lstrip()) for x in lines]
         marks = [1 if _MARKER.match(x) else 0 for x in lines]
         self.marked = sum(marks) / len(lines) if lines else 0.0
-        self.indent_period = max(autocorrelation(indents, 1), autocorrelation(marks, 1)) if len(lines) > 2 else 0.0
+        self.indent_period = max(periodicity(indents), periodicity(marks))
+        # Lengths return by chance in short sentences, so they count only where most lines end without a stop.
+        self.periodic = self.indent_period >= PERIODIC or self.auto >= PERIODIC and self.ended <= 0.5
         self.aligned = self._aligned(lines)
         self.table = sum(len(x) for x, a in zip(lines, self.aligned) if a) / max(1, sum(lengths))
         counts = Counter(x.strip() for x in lines)
@@ -121,8 +131,8 @@ class Form:
                     if d in ",;" and (_STOP.search(lines[i]) or ", " in lines[i] and d == "," or "; " in lines[i]):
                         continue
                     out[i] = True
-        # Fields that start at the same columns.
-        cols = [tuple(m.end() for m in re.finditer(r" {2,}", x)) if "  " in x else () for x in lines]
+        # Fields that start at the same columns; blanks before a line are its indentation.
+        cols = [tuple(m.end() for m in re.finditer(r"(?<=[^ ]) {2,}", x)) if "  " in x else () for x in lines]
         for i in range(len(lines)):
             near = [cols[j] for j in (i - 1, i + 1) if 0 <= j < len(lines) and cols[j]]
             if cols[i] and any(len(set(cols[i]) & set(c)) >= max(1, len(cols[i]) // 2) for c in near):
@@ -161,6 +171,8 @@ class Form:
             # A marker with a sentence behind it in a text without other markers is prose.
             if sum(marks) >= 2 or len(x) < 60 and not _STOP.search(x[4:]):
                 return "list"
+        if self.periodic and not wrapped and self.shares[i] < 0.2:
+            return "list"
         parts = [p for p in x.split(";") if p.strip()]
         if len(parts) >= 4 and sum(1 for p in parts if len(p) < 60 and not _STOP.search(p.strip()[:-1] if len(p) > 3 else "")) > 0.8 * len(parts):
             return "list"
