@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +26,8 @@ ALIAS_SAME_DOC, ALIAS_DECLARED, SAME_DOC_FULL, SAME_DOC_PARTIAL = 0.97, 0.62, 0.
 SHARED_ID, SHARED_ACCOUNT, DOC_ID, CONTEXT, CONTEXT_MOST = 0.65, 0.70, 0.04, 0.03, 2
 CONTEXT_FROM, DAMPING = 0.55, 0.85
 AUTO, REVIEW = 0.80, 0.60
-#: Mentions under one blocking key beyond which the key makes no pairs; such keys are reported.
-BLOCK_MOST = 400
+#: Cities say too little to join the documents that name them.
+CITIES = frozenset("delhi,new delhi,mumbai,kolkata,chennai,bengaluru,bangalore,hyderabad,pune,ahmedabad,jaipur,lucknow,kanpur,nagpur,patna,bhopal,indore,surat,agra,varanasi,noida,gurgaon,gurugram,ghaziabad,faridabad,chandigarh,ranchi,guwahati".split(","))
 
 
 @dataclass
@@ -37,6 +39,7 @@ class Mention:
     alias_group: str | None = None
     alias_role: str | None = None
     nearby: frozenset = frozenset()
+    around: frozenset = frozenset()
     tokens: tuple = field(default=())
 
     def __post_init__(self):
@@ -52,8 +55,43 @@ def blocking_keys(m: Mention, kind: str) -> set[str]:
     return keys
 
 
-def pair_score(a: Mention, b: Mention, kind: str, context: dict[str, set]) -> tuple[float, str, bool]:
-    """(score, reason, veto) of two mentions of a kind. ``context``: identifiers of each document."""
+@lru_cache(1 << 18)
+def _evidence(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, str, bool]:
+    return name_evidence(a, b)
+
+
+def candidate_pairs(mentions: list[Mention], kind: str) -> set[tuple[int, int]]:
+    """Pairs of one block that can have a score. Blocks have no bound: a block by name compares each two distinct
+    forms once, as only an identifier or alias group, which have blocks of their own, joins what names don't."""
+    blocks: dict[str, dict] = defaultdict(lambda: defaultdict(list))
+    for i, m in enumerate(mentions):
+        for k in blocking_keys(m, kind):
+            blocks[k][m.tokens if kind == "PERSON" else m.text].append(i)
+    known: dict[tuple, bool] = {}
+
+    def joins(x: int, y: int, key: tuple) -> bool:
+        if key not in known:
+            if kind == "PERSON":
+                score, _, veto = _evidence(mentions[x].tokens, mentions[y].tokens)
+            else:
+                score, _, veto = pair_score(mentions[x], mentions[y], kind, {})
+            known[key] = score > 0 and not veto
+        return known[key]
+
+    pairs: set[tuple[int, int]] = set()
+    for k, forms in blocks.items():
+        fs = sorted(forms)
+        for x, f in enumerate(fs):
+            pairs.update(combinations(forms[f], 2))
+            for g in fs[x + 1 :]:
+                if k[0] in "ig" or joins(forms[f][0], forms[g][0], (f, g)):
+                    pairs.update((i, j) if i < j else (j, i) for i in forms[f] for j in forms[g])
+    return pairs
+
+
+def pair_score(a: Mention, b: Mention, kind: str, context: dict[str, set], primaries: dict[str, Mention] | None = None) -> tuple[float, str, bool]:
+    """(score, reason, veto) of two mentions of a kind. ``context``: identifiers of each document; ``primaries``: the
+    primary mention of each alias group."""
     if kind != "PERSON":
         if kind == "LOCATION" and place_veto(a.text, b.text):
             return 0.0, "number differs", True
@@ -61,7 +99,11 @@ def pair_score(a: Mention, b: Mention, kind: str, context: dict[str, set]) -> tu
         return (0.95, "same text", False) if r >= 99.99 else (0.85, "near text", False) if r >= 92 else (0.70, "similar text", False) if r >= 82 else (0.0, "", False)
     if a.doc == b.doc and a.alias_group and a.alias_group == b.alias_group:
         return ALIAS_SAME_DOC, "alias in one document", False
-    p, how, veto = name_evidence(a.tokens, b.tokens)
+    p, how, veto = _evidence(a.tokens, b.tokens)
+    if a.alias_group and b.alias_group and a.alias_group != b.alias_group and primaries:
+        one, two = primaries.get(a.alias_group), primaries.get(b.alias_group)
+        if one and two and _evidence(one.tokens, two.tokens)[2]:
+            return 0.0, "alias of different people", True
     if veto:
         return 0.0, "names differ", True
     if a.doc == b.doc:
@@ -80,6 +122,11 @@ def pair_score(a: Mention, b: Mention, kind: str, context: dict[str, set]) -> tu
     if p >= CONTEXT_FROM and (context.get(a.doc, set()) & context.get(b.doc, set())) - shared:
         parts.append(DOC_ID)
         reasons.append("documents share an identifier")
+    if p >= CONTEXT_FROM:
+        for what in ("LOCATION", "ORGANIZATION"):
+            for key in sorted(x for x in a.around & b.around if x.startswith(what))[:CONTEXT_MOST]:
+                parts.append(CONTEXT)
+                reasons.append(f"both documents name {key}")
     if not parts:
         return 0.0, "", False
     score = noisy_or(parts)
@@ -94,20 +141,20 @@ def resolve_group(mentions: list[Mention], kind: str, never: set[tuple[str, str]
     context: dict[str, set] = defaultdict(set)
     for m in mentions:
         context[m.doc] |= set(m.nearby)
+    primaries: dict[str, Mention] = {}
+    for m in mentions:
+        if m.alias_group and (m.alias_group not in primaries or m.alias_role == "primary" and primaries[m.alias_group].alias_role != "primary"):
+            primaries[m.alias_group] = m
     known: dict[tuple[int, int], tuple[float, str, bool]] = {}
 
     def decide(i: int, j: int) -> tuple[float, str, bool]:
         key = (i, j) if i < j else (j, i)
         if key not in known:
             ids = (mentions[key[0]].id, mentions[key[1]].id)
-            known[key] = (0.0, "kept apart", True) if ids in never else (1.0, "joined by hand", False) if ids in force else pair_score(mentions[key[0]], mentions[key[1]], kind, context)
+            known[key] = (0.0, "kept apart", True) if ids in never else (1.0, "joined by hand", False) if ids in force else pair_score(mentions[key[0]], mentions[key[1]], kind, context, primaries)
         return known[key]
 
-    blocks: dict[str, list[int]] = defaultdict(list)
-    for i, m in enumerate(mentions):
-        for k in blocking_keys(m, kind):
-            blocks[k].append(i)
-    pairs = {(b[x], b[y]) for b in blocks.values() if len(b) <= BLOCK_MOST for x in range(len(b)) for y in range(x + 1, len(b))}
+    pairs = candidate_pairs(mentions, kind)
     at = {m.id: i for i, m in enumerate(mentions)}
     pairs |= {tuple(sorted((at[a], at[b]))) for a, b in force if a in at and b in at}
     edges = [(s, i, j, why) for i, j in sorted(pairs) for s, why, veto in [decide(i, j)] if not veto and s >= REVIEW]
@@ -164,7 +211,12 @@ def resolve_names(mentions: DataFrame, overrides: DataFrame | None = None) -> Da
     ``overrides``: scope, mention_a, mention_b, action, created_at (the newest decision on a pair counts).
     """
     m = mentions.filter(F.col("entity_type").isin("PERSON", "LOCATION", "ORGANIZATION") & (F.length(F.trim("text")) > 0)).withColumn("action", F.lit(None).cast("string")).withColumn("other", F.lit(None).cast("string"))
-    cols = ["scope", "entity_type", "id", "text", "doc", "confidence", "alias_group", "alias_role", "nearby", "action", "other"]
+    cols = ["scope", "entity_type", "id", "text", "doc", "confidence", "alias_group", "alias_role", "nearby", "around", "action", "other"]
+    # Places and organisations that a document names, for the persons in it.
+    key = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+", " "))
+    named = m.filter("entity_type <> 'PERSON' AND doc IS NOT NULL").select("scope", "doc", "entity_type", key.alias("key")).filter((F.col("key") != "") & ~F.col("key").isin(*CITIES))
+    named = named.groupBy("scope", "doc").agg(F.array_sort(F.collect_set(F.concat_ws(":", "entity_type", "key"))).alias("around"))
+    m = m.join(named, ["scope", "doc"], "left").withColumn("around", F.when(F.col("entity_type") == "PERSON", F.col("around")))
     rows = m.select(*cols)
     if overrides is not None:
         o = overrides.groupBy("scope", F.least("mention_a", "mention_b").alias("id"), F.greatest("mention_a", "mention_b").alias("other")).agg(F.max_by("action", "created_at").alias("action"))
@@ -177,7 +229,7 @@ def resolve_names(mentions: DataFrame, overrides: DataFrame | None = None) -> Da
         kind, scope = g["entity_type"].iloc[0], g["scope"].iloc[0]
         own = g[g["action"].isna()].drop_duplicates("id")
         ms = [
-            Mention(r.id, r.text, r.doc or "", float(r.confidence) if r.confidence == r.confidence and r.confidence is not None else 0.5, r.alias_group or None, r.alias_role or None, frozenset(r.nearby if r.nearby is not None else ()))
+            Mention(r.id, r.text, r.doc or "", float(r.confidence) if r.confidence == r.confidence and r.confidence is not None else 0.5, r.alias_group or None, r.alias_role or None, frozenset(r.nearby if r.nearby is not None else ()), frozenset(r.around if r.around is not None else ()))
             for r in own.itertuples()
         ]
         acts = g[g["action"].notna()]
