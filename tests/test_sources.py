@@ -43,3 +43,18 @@ def test_planted_truth(spark):
     s = {x.document_id for x in findings.structuring_by_document(pay).collect()}
     assert s == {x.document_id for x in pay.filter("structured").select("document_id").distinct().collect()}
     assert {x.sender for x in findings.structuring_by_sender(pay).collect()} == {x.sender for x in pay.filter("structured").select("sender").distinct().collect()}
+
+
+def test_latest_wide(spark):
+    import datetime as dt
+
+    from threadloom.sources.tables import latest_delivery, latest_wide
+
+    at = lambda n: dt.datetime(2026, 1, n) if n else None
+    rows = [("a", at(1), "old"), ("a", at(2), "new"), ("b", at(1), "one"), (None, at(1), "x"), (None, at(1), "y"), ("c", at(3), "same"), ("c", at(3), "same"), ("d", None, "n"), ("d", None, "n"), ("e", None, "p"), ("e", at(1), "q")]
+    df = spark.createDataFrame(rows, "id string, ingested_at timestamp_ntz, text string")
+    want = sorted(map(str, latest_delivery(df).collect()))
+    assert sorted(map(str, latest_wide(df).collect())) == want
+    assert sorted(map(str, latest_wide(df, most=1).collect())) == want  # beyond the bound
+    assert latest_wide(df.limit(0)).count() == 0
+    assert latest_wide(df.filter("id = 'b'")).count() == 1

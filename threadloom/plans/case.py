@@ -105,7 +105,7 @@ def normalised_confidence(spark, d):
 
 def _nodes(spark, d) -> DataFrame:
     ship(spark)
-    return flatten_payloads(latest_delivery(table(spark, d, "source_documents").select("id", "ingested_at", "structured").filter("structured IS NOT NULL")))
+    return flatten_payloads(docs(spark, d, "structured").filter("structured IS NOT NULL"))
 
 
 @query()
