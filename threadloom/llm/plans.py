@@ -15,14 +15,14 @@ from threadloom.llm.quality import load_common_words, text_statistics
 from threadloom.llm.sentences import sentence_units
 from threadloom.llm.tokens import encode_corpus, token_counts
 from threadloom.session import ship
-from threadloom.sources.tables import latest_delivery, table
+from threadloom.sources.tables import latest_delivery, latest_wide, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """(id, raw_text) of the source documents, each once."""
     ship(spark)
-    docs = table(spark, d, "source_documents").select("id", "ingested_at", "raw_text").filter("raw_text IS NOT NULL")
-    return latest_delivery(docs).select("id", "raw_text")
+    docs = latest_wide(table(spark, d, "source_documents").select("id", "ingested_at", "raw_text"))
+    return docs.filter("raw_text IS NOT NULL").select("id", "raw_text")
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    profiles = [(r[0], r[1]) for r in table(spark, d, "pack_capacities").select("profile_id", "capacity_tokens").limit(100).collect()]
+    profiles = [(r[0], r[1]) for r in table(spark, d, "pack_capacities").select("profile_id", "capacity_tokens").collect()]
     docs = table(spark, d, "documents")
     return pack(token_counts(docs), profiles, "doc_id", "n_tokens", docs.count())
 
