@@ -1,9 +1,10 @@
 """Per-document statistics that tell prose from lists, tables and junk.
 
-Tables show in delimiters that stand in as many fields, or at the same columns, on successive lines; lists in markers,
-in indentation or lengths of lines that return with a period, and in lines without sentences; hard-wrapped prose in lines of even length. Each line gets a
-form from these and from its words, symbols and punctuation; the form with more than half of the characters is that of
-the document.
+Three signals are vertical. Delimiters that stand in as many fields, or at the same columns, on successive lines are
+alignment, which shows tables. Markers and indentation that return with a period show lists. The autocorrelation of the
+line lengths tells lines of one make (entries, hard-wrapped prose) from lines of chance; without it no line is an entry
+for being short, nor prose for being broken. Each line gets a form from these and from its words, symbols and
+punctuation; the form with more than half of the characters is that of the document.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bound of the common words that reach the driver.
-MAX_WORDS = 5000
-#: Periodicity from which lines count as entries that return.
+#: Periodicity from which lines count as entries that return, of the centred series.
 PERIODIC = 0.8
+#: Share of markers that return with a period, and line-length autocorrelation, from which lines belong together.
+RETURNS, EVEN, ALIKE = 0.5, 0.75, 0.5
 
 _MARKER = re.compile(r"\s*(?:[-•*–·‣▪]\s+|\(?(?:\d{1,4}|[०-९]{1,4}|[a-z]|[ivxlc]{1,6})[.)]\s+|\((?:[A-Z]|[a-z]{2})\)\s+)")
 #: Bars that part fields; after a letter of an Indic script a bar is a full stop.
@@ -77,6 +78,18 @@ def periodicity(values: list[int]) -> float:
     return max((min(1.0, autocorrelation(values, k) * n / (n - k)) for k in (2, 3, 4) if n >= 3 * k), default=0.0)
 
 
+def echo(values: list[int], lags: tuple[int, ...] = (1, 2, 3, 4)) -> float:
+    """Strongest autocorrelation of a series as it stands (not centred), per pair of values: 1 for a constant one.
+
+    Of marks (0 and 1) it is the share of them that return with a period; of line lengths it is high where neighbours
+    are of one length. 0 for a single value and for no marks.
+    """
+    n, power = len(values), sum(v * v for v in values)
+    if n < 2 or not power:
+        return 0.0
+    return min(1.0, max(sum(a * b for a, b in zip(values, values[k:])) / power * n / (n - k) for k in lags if k == 1 or n >= 2 * k))
+
+
 class Form:
     """Forms of the lines of a text and the statistics of the whole."""
 
@@ -96,13 +109,13 @@ class Form:
         self.common = sum(share * len(ws) for share, ws in zip(self.shares, per)) / len(words) if words else 0.0
         self.mashed = self.common < 0.06 and len(_MASHED.findall(text)) > 0.12 * len(words) and len(_LATIN.findall(text)) > 0.4 * len(words)
         lengths = [len(x) for x in lines]
-        self.auto = periodicity(lengths)
+        self.auto, self.even = periodicity(lengths), echo(lengths)
         indents = [len(x) - len(x.lstrip()) for x in lines]
         marks = [1 if _MARKER.match(x) else 0 for x in lines]
         self.marked = sum(marks) / len(lines) if lines else 0.0
-        self.indent_period = max(periodicity(indents), periodicity(marks))
+        self.indent_period = max(echo(marks), periodicity(indents), periodicity(marks))
         # Lengths return by chance in short sentences, so they count only where most lines end without a stop.
-        self.periodic = self.indent_period >= PERIODIC or self.auto >= PERIODIC and self.ended <= 0.5
+        self.periodic = max(periodicity(indents), periodicity(marks)) >= PERIODIC or self.auto >= PERIODIC and self.ended <= 0.5
         self.aligned = self._aligned(lines)
         self.table = sum(len(x) for x, a in zip(lines, self.aligned) if a) / max(1, sum(lengths))
         counts = Counter(x.strip() for x in lines)
@@ -143,10 +156,10 @@ class Form:
         """Prose broken at a width: lines of even length, most of them with common words or a sentence's end inside."""
         if len(lines) < 2:
             return False
-        widest = max(lengths)
-        even = sum(1 for n in lengths[:-1] if n >= 0.6 * widest) / max(1, len(lines) - 1)
+        # The last line ends anywhere; of two lines the first alone is the width.
+        even = echo(lengths[:-1], (1,)) if len(lines) > 2 else float(lengths[0] >= 0.6 * lengths[1])
         inner = sum(1 for i, x in enumerate(lines) if self.shares[i] > 0.08 or _STOP.search(x[:-2]) or _RUN.search(x)) / len(lines)
-        return even >= 0.6 and inner >= 0.5 and self.marked < 0.5
+        return even >= EVEN and inner >= 0.5 and self.marked < 0.5
 
     def _line(self, x: str, i: int, words: list[str], marks: list[int], counts: Counter, wrapped: bool, n_lines: int) -> str:
         """Form of one line."""
@@ -168,8 +181,8 @@ class Form:
         if odd > 0.1 and len(solid) > 20 and "@" not in x:
             return "junk"
         if marks[i]:
-            # A marker with a sentence behind it in a text without other markers is prose.
-            if sum(marks) >= 2 or len(x) < 60 and not _STOP.search(x[4:]):
+            # Markers make a list where they return; a single one with a sentence behind it is prose.
+            if self.indent_period >= RETURNS:
                 return "list"
         if self.periodic and not wrapped and self.shares[i] < 0.2:
             return "list"
@@ -183,7 +196,7 @@ class Form:
             return "prose"
         if self.shares[i] >= 0.2 and len(words) >= 4:
             return "prose"
-        if not stops and len(x) <= 80 and n_lines >= 3 and sum(1 for k in (i - 1, i + 1) if 0 <= k < n_lines) >= 1:
+        if not stops and len(x) <= 80 and n_lines >= 3 and self.even >= ALIKE:
             return "list"
         parts = [p for p in re.split(r"[,،、]", x) if p.strip()]
         if len(parts) >= 5 and not stops and self.shares[i] < 0.04 and len(x) / len(parts) < 40:
@@ -206,12 +219,19 @@ class Form:
 STATS_SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("kind", T.StringType())]
     + [T.StructField(n, T.IntegerType()) for n in ("n_chars", "n_lines", "n_words")]
-    + [T.StructField(n, T.DoubleType()) for n in ("mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "marker_share", "aligned_share", "line_autocorrelation", "indent_period")]
+    + [T.StructField(n, T.DoubleType()) for n in ("mean_word_length", "symbol_ratio", "ended_line_share", "common_word_share", "marker_share", "aligned_share", "line_autocorrelation", "line_evenness", "indent_period")]
 )
 
 
-def load_common_words(words: DataFrame, limit: int = MAX_WORDS) -> frozenset[str]:
-    rows = words.select("word").filter("word IS NOT NULL").limit(limit).collect()
+#: Common words that fit the driver and every task; more are refused, none is left out.
+MOST_WORDS = 1_000_000
+
+
+def load_common_words(words: DataFrame, most: int = MOST_WORDS) -> frozenset[str]:
+    """The common words, a small fixed table; raises where it has more than ``most`` rows."""
+    rows = words.select("word").filter("word IS NOT NULL").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} common words")
     return frozenset(r[0].casefold() for r in rows if len(r[0]) > 1 or not r[0].isascii())
 
 
@@ -223,9 +243,9 @@ def text_statistics(docs: DataFrame, common: frozenset[str], id_col: str = "doc_
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 f = Form(t or "", common)
-                rows.append((i, f.kind, f.n_chars, f.n_lines, f.n_words, *(round(v, 4) for v in (f.mean_word, f.symbols, f.ended, f.common, f.marked, f.table, f.auto, f.indent_period))))
+                rows.append((i, f.kind, f.n_chars, f.n_lines, f.n_words, *(round(v, 4) for v in (f.mean_word, f.symbols, f.ended, f.common, f.marked, f.table, f.auto, f.even, f.indent_period))))
             cols = list(zip(*rows)) or [[]] * len(STATS_SCHEMA)
-            types = [pa.int64(), pa.string(), *[pa.int32()] * 3, *[pa.float64()] * 8]
+            types = [pa.int64(), pa.string(), *[pa.int32()] * 3, *[pa.float64()] * 9]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], names=STATS_SCHEMA.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, STATS_SCHEMA)
