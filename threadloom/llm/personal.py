@@ -1,9 +1,11 @@
 """Personal information in free text: spans of names, phones, mail addresses, identity numbers and home addresses.
 
-Patterns propose spans. On each span labelers vote: patterns (shape), gazetteers (known name parts) and contexts (words
-beside it); a labeler may abstain. Expectation-maximisation over the votes of a bounded sample estimates how reliable
-each labeler is, without any labels, and the resulting probabilities train a logistic span classifier over votes and
-shape, which makes the final choice everywhere. Spans are then replaced by typed placeholders.
+Patterns propose spans: numbers, mail and home addresses by shape; names by known parts, by titles and roles before them,
+and by runs of capitals inside a sentence. On each span labelers vote: patterns (shape), gazetteers (parts learnt from
+the corpus, see ``gazetteer``) and contexts (words beside it); a labeler may abstain. Expectation-maximisation over the
+votes of a bounded sample estimates how reliable each labeler is, without any labels and with the same modest prior for
+all, and the resulting probabilities train a logistic span classifier over votes and shape, which makes the final choice
+everywhere. Spans are then replaced by typed placeholders.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +22,26 @@ from pyspark.sql import types as T
 
 from threadloom.llm.chars import ZERO_WIDTH
 from threadloom.llm.chars import plain as tidy
-from threadloom.llm.names import _LONG, GIVEN, KIND_WORDS, MIDDLE, TITLES, _plain_sounds, code, edits, jaro_winkler, known_given, roman, script_of
+from threadloom.llm.gazetteer import Gazetteer
+from threadloom.llm.names import KIND_WORDS, MIDDLE, TITLES, roman
 
 TYPES = ("NAME", "PHONE", "EMAIL", "ID_NUMBER", "ADDRESS")
-#: Documents that the labelers' reliabilities and the classifier are fitted on, at most.
+#: Documents that the labelers' reliabilities and the classifier are fitted on, at most: those of least hash.
 MAX_DOCUMENTS = 3000
-#: Family names of the gazetteer, in Latin letters; a parameter of the work at hand.
-SURNAMES = frozenset(
-    "alipuria barnwalia choudhmal dhanorkar eklavia fatehwal ghatoria hirapuri ithapay jhalotra kesarwal lohtia mandhare nimbawat oberwal pachwari qasimpuri rangota sonvane tarkhedi ustawal "
-    "vasnodia wadmare yelgaon yelganv zardawala lefacheux carvajon munagorre villarruz delavome brezard".split()
-)
-#: Nicknames of the street, which are no names of persons.
-STREET_NAMES = frozenset("langda bhaiyaji chhotka doctor bhai kalua chikna motaram pintuwa bablooa munnalu lambu tiger tillu guddan".split())
-PLACE_WORDS = frozenset("sector phase road border post crossing chowk marg nagar vihar ghat mod mandi tiraha kalan khurd jadid adda gate railway block ward street pur isbt station khera".split())
-ROLE_WORDS = frozenset(
-    "complainant accused informant witness victim shri smt insp asi constable guard plaignant denunciante testigo témoin bhai tumne haan शिकायतकर्ता आरोपी मुखबिर गवाह माता तक्रारदार साक्षीदार अभियुक्त "
-    "অভিযোগকারী সাক্ষী রাতে کنندہ گواہ کیا late name of as that to and met और व आणि एवं এবং اور et y aur week क्या अगर ने बाद".split()
-)
+PLACE_WORDS = frozenset("sector phase road border post crossing chowk marg nagar vihar ghat mod mandi tiraha kalan khurd adda gate railway block ward street pur isbt station khera lane colony bridge market hospital school court".split())
+#: Titles and roles that stand right before a name, by script; words of the languages, not of a corpus.
+TITLE_CUES = "Mr Mrs Ms Miss Dr Shri Smt Sri Sh Km Kumari Prof Insp Const Sgt Sr Sra Srta Mme Mlle श्री श्रीमती डॉ कु सौ सुश्री ডা শ্রী শ্রীমতী জনাব ڈاکٹر جناب محترمہ".split()
+ROLE_CUES = "complainant accused informant witness victim constable guard plaignant plaignante denunciante testigo acusado témoin accusé शिकायतकर्ता आरोपी मुखबिर गवाह माता पिता तक्रारदार साक्षीदार अभियुक्त অভিযোগকারী সাক্ষী আসামি شکایت گواہ ملزم ผู้ร้องเรียน พยาน ผู้ต้องหา".split()
+ROLE_WORDS = frozenset(ROLE_CUES) | frozenset("bhai late met arrested".split())
 RIGHT_WORDS = frozenset(
-    "was and alias urf r/o told could examined stated works aged ne ko travelled changed said is has s/o a fue habite vive examinó declaró और उर्फ ने को उस एक यांनी हा यांच्या कोणासाठी की निवासी জানান মেয়েটিকে কে কি "
-    "نے کو اس ने अने et y que".split()
+    "was and alias urf r/o told could examined stated works aged ne ko travelled changed said is has s/o met lives saw a fue habite vive examinó declaró और उर्फ ने को उस एक यांनी हा यांच्या कोणासाठी की निवासी জানান কে কি "
+    "نے کو اس ने अने et y que แจ้งว่า ให้การ".split()
 )
+#: Words before a place, and before another name of one who was named.
+PLACE_CUES = frozenset("near at towards behind in on around opp via reached outside beside".split())
+ALIAS_CUES = frozenset("alias urf उर्फ ওরফে عرف".split())
+#: Capitalised words that are no names: days, months and labels.
+CALENDAR = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december statement report vide".split())
 
 _ZW = f"[{ZERO_WIDTH}]"
 _ZERO = re.compile(_ZW)
@@ -75,99 +75,12 @@ def bare(text: str) -> str:
     return text if text.isascii() else _ZERO.sub("", text)
 
 
-def _deletes(w: str) -> set[str]:
-    return {w[:i] + w[i + 1 :] for i in range(len(w))} | {w}
-
-
-_NEAR: dict[str, set[str]] = {}
-for _w in GIVEN | SURNAMES:
-    for _d in _deletes(_w):
-        _NEAR.setdefault(_d, set()).add(_w)
-_SURNAME_CODES = {code(w): w for w in SURNAMES}
-_SURNAME_NO_V = {re.sub(r"(.)\1+", r"\1", code(w).replace("v", "")): w for w in SURNAMES}
-_SURNAME_B = {re.sub(r"(.)\1+", r"\1", code(w).replace("v", "b")): w for w in SURNAMES}
-#: First parts of family names written apart, and given names whose codes say too little; fixed values.
-_HEADS, _SHORT_GIVEN = frozenset(["فتح", "قاسم", "زردہ", "علی"]), frozenset(["سشیلا", "دیوانش", "ایکتا", "ضیاءالدین", "ضیاالدین", "محمد"])
-#: Everyday words that sound like names.
-NOT_NAMES = frozenset("सवारी लोगों لوگوں लोकांसोबत गली वार्ड रास्ता".split())
-
-
-@lru_cache(200_000)
-def part_of_name(token: str) -> str:
-    """G for a given name, S for a family name, M for a middle name, N for a street name, else empty."""
+def part_of_name(token: str, gazetteer: Gazetteer) -> str:
+    """G for a given name, S for a family name, M for a middle name, N for a nickname, O or L for parts of other names, else empty."""
     t = unicodedata.normalize("NFC", bare(token)).casefold().strip("'’-")
     if not t:
         return ""
-    s = script_of(t)
-    if s != "latin":
-        if t in NOT_NAMES:
-            return ""
-        if t in _HEADS:
-            return "S"
-        if t in _SHORT_GIVEN:
-            return "G"
-    r = roman(t)
-    if r in MIDDLE:
-        return "M"
-    if r == "jag":
-        return "G"
-    if r in STREET_NAMES:
-        return "N"
-    if r in SURNAMES:
-        return "S"
-    if known_given(r, s):
-        return "G"
-    if r.replace("-", "") in ("ziauddin", "ziauddeen"):
-        return "G"
-    c = code(r)
-    if s == "latin":
-        short = r
-        for a, b in _LONG:
-            short = short.replace(a, b)
-        for x in {r, short}:
-            if len(x) >= 5 or len(x) == 4 and not token.islower():
-                for d in _deletes(x):
-                    for w in _NEAR.get(d, ()):
-                        if edits(x, w, 1) <= 1 and len(w) >= 5:
-                            return "G" if w in GIVEN else "S"
-            squeezed = re.sub(r"(.)\1+", r"\1", r)
-            for w in _NEAR.get(squeezed, ()):
-                return "G" if w in GIVEN else "S"
-        if len(c) >= 4 and c in _SURNAME_CODES and len(r) >= 5:
-            return "S"
-        return ""
-    if s == "arabic":
-        return "S" if len(c) >= 3 and re.sub(r"(.)\1+", r"\1", c.replace("v", "")) in _SURNAME_NO_V else ""
-    if len(c) >= 2:
-        for a, b in _LONG:
-            r = r.replace(a, b)
-        w = _SURNAME_B.get(re.sub(r"(.)\1+", r"\1", c.replace("v", "b")))
-        if w and jaro_winkler(_plain_sounds(r), _plain_sounds(w)) >= (0.8 if len(c) >= 3 else 0.9):
-            return "S"
-        for d in _deletes(_plain_sounds(r)):
-            for w in _SOUNDS.get(d, ()):
-                if edits(_plain_sounds(r), _plain_sounds(w), 1) <= 1 and len(w) >= 6:
-                    return "S"
-    return ""
-
-
-_SOUNDS: dict[str, set[str]] = {}
-for _w in SURNAMES:
-    for _d in _deletes(_plain_sounds(_w)):
-        _SOUNDS.setdefault(_d, set()).add(_w)
-
-
-_parts: dict[str, str] = {}
-
-
-def _part(token: str) -> str:
-    """As ``part_of_name``, through a plain dictionary, which is bounded like its cache."""
-    hit = _parts.get(token)
-    if hit is None:
-        if len(_parts) > 200_000:
-            _parts.clear()
-        hit = _parts[token] = part_of_name(token)
-    return hit
+    return "M" if roman(t) in MIDDLE else gazetteer.kind(t)
 
 
 class Span:
@@ -181,15 +94,14 @@ class Span:
 
 #: Labelers of each type, in a fixed order: + for those that speak for the type, - for those against it.
 LABELERS = {
-    "NAME": ["given", "family", "two_parts", "title", "role", "right", "organisation", "place", "street_name", "unknown"],
+    "NAME": ["given", "family", "two_parts", "title", "role", "right", "capitals", "organisation", "place", "place_cue", "common"],
     "PHONE": ["shape", "phone_cue", "account_cue", "id_cue", "row"],
     "EMAIL": ["shape", "domain"],
     "ID_NUMBER": ["shape", "id_cue", "account_cue"],
     "ADDRESS": ["shape", "parts", "postal_code"],
 }
-#: Prior accuracy of the labelers, and how many spans the prior is worth.
-PRIOR, PRIOR_WEIGHT, SURE_WEIGHT = 0.85, 200.0, 1e6
-SURE_LABELERS = {("NAME", "organisation"): 0.999999, ("NAME", "street_name"): 0.98, ("NAME", "place"): 0.99999, ("PHONE", "account_cue"): 0.999999, ("PHONE", "id_cue"): 0.999999, ("ID_NUMBER", "id_cue"): 0.97, ("ID_NUMBER", "account_cue"): 0.999999}
+#: Prior accuracy of every labeler, and how many spans the prior is worth.
+PRIOR, PRIOR_WEIGHT = 0.85, 200.0
 
 
 def _trim_zero_width(t: str, s: int, e: int) -> tuple[int, int]:
@@ -243,13 +155,14 @@ def _split_number(t: str, s: int, e: int, before: str) -> Iterator[Span]:
         ctx = before if pos == 0 else ""
         a, b = bool(ctx and _ACCOUNT_CUE.search(ctx)), bool(ctx and _ID_CUE.search(ctx))
         if m and (b or not phone):
-            yield Span("ID_NUMBER", at[pos], at[m.end() - 1] + 1, {"shape": 1} | ({"id_cue": 1} if b else {"id_cue": -1}) | ({"account_cue": -1} if a else {}), (0.0,))
+            yield Span("ID_NUMBER", at[pos], at[m.end() - 1] + 1, {"account_cue": -1} if a else {"shape": 1} | ({"id_cue": 1} if b else {}), (0.0,))
             pos = m.end()
             continue
         m = phone
         if m:
-            votes = {"shape": 1}
-            if ctx and _PHONE_CUE.search(ctx):
+            # A number that is called one of an account or a paper is no phone for having the shape of one.
+            votes = {} if a or b else {"shape": 1}
+            if ctx and not a and not b and _PHONE_CUE.search(ctx):
                 votes["phone_cue"] = 1
             if a:
                 votes["account_cue"] = -1
@@ -265,67 +178,105 @@ def _split_number(t: str, s: int, e: int, before: str) -> Iterator[Span]:
             pos += 1
 
 
-def propose(text: str) -> list[Span]:
+_LOCAL = re.compile(rf"(?:[A-Za-z0-9._+\-]|{_ZW})*$")
+
+
+def _mail_at(t: str, at: re.Match) -> re.Match | None:
+    """The address around an at-sign, of any length: back over all signs that a local part can have."""
+    lo = at.start()
+    if t[lo] != "@" and lo and t[lo - 1].isspace():
+        lo -= 1
+    while lo and (t[lo - 1] in ZERO_WIDTH or t[lo - 1] in "._+-" or t[lo - 1].isascii() and t[lo - 1].isalnum()):
+        lo -= 1
+    while lo < at.start():
+        m = _EMAIL.match(t, lo)
+        if m:
+            return m if m.end() > at.start() else None
+        lo += 1
+    return None
+
+
+def _address_at(t: str, number: re.Match) -> tuple[int, int] | None:
+    """The address of a house number, to its last part: the mark before the number is at most 24 signs long."""
+    lo, left = number.start(), 24
+    while lo and left and t[lo - 1] != "\n":
+        lo -= 1
+        left -= t[lo] not in ZERO_WIDTH
+    end = t.find("\n", number.end())
+    line = t[lo : end if end >= 0 else len(t)]
+    at = None
+    if not line.isascii() and _ZERO.search(line):
+        at = [i for i, c in enumerate(line) if c not in ZERO_WIDTH]
+        line = "".join(line[i] for i in at)
+    last = number.start() - lo + 9
+    for k in range(min(last, len(line)) + 1):
+        m = _ADDRESS.match(line, k)
+        if m:
+            s, e = (m.start(), m.end()) if at is None else (at[m.start()], at[m.end() - 1] + 1)
+            return (s + lo, e + lo) if s + lo <= number.start() + 9 and number.start() < e + lo else None
+    return None
+
+
+def propose(text: str, gazetteer: Gazetteer, common: frozenset[str] = frozenset()) -> list[Span]:
     """All proposed spans of a text with the labelers' votes."""
     t = tidy(text)
     out: list[Span] = []
     taken: list[tuple[int, int]] = []
     for at in _AT.finditer(t) if "@" in t or "[" in t or "(" in t else ():
-        lo = max(0, at.start() - 80)
-        for m in _EMAIL.finditer(t, lo, min(len(t), at.end() + 120)):
-            if m.start() <= at.start() < m.end() and not any(a < m.end() and m.start() < b for a, b in taken):
-                s, e = _trim_zero_width(t, m.start(), m.end())
-                while t[e - 1] in ".-":
-                    e -= 1
-                taken.append((s, e))
-                out.append(Span("EMAIL", s, e, {"shape": 1, "domain": 1 if re.search(r"(?i)(\.|dot\s?[\])]\s?)[a-z]{2,}$", bare(t[s:e])) else -1}))
+        m = _mail_at(t, at)
+        if m and not any(a < m.end() and m.start() < b for a, b in taken):
+            s, e = _trim_zero_width(t, m.start(), m.end())
+            while t[e - 1] in ".-":
+                e -= 1
+            taken.append((s, e))
+            out.append(Span("EMAIL", s, e, {"shape": 1, "domain": 1 if re.search(r"(?i)(\.|dot\s?[\])]\s?)[a-z]{2,}$", bare(t[s:e])) else -1}))
     for at in _HOUSE_NUMBER.finditer(t):
-        lo, hi = max(0, at.start() - 24), min(len(t), at.end() + 200)
-        part = t[lo:hi]
-        for s, e in _spans_without_zero_width(_ADDRESS, part):
-            s, e = s + lo, e + lo
-            if s <= at.start() + 9 and at.start() < e and not any(a < e and s < b for a, b in taken):
-                body = bare(t[s:e])
-                if ", " in body:
-                    taken.append((s, e))
-                    out.append(Span("ADDRESS", s, e, {"shape": 1, "parts": 1} | ({"postal_code": 1} if re.search(r"[0-9०-९]{3}$", body) else {})))
+        span = _address_at(t, at)
+        if span and not any(a < span[1] and span[0] < b for a, b in taken):
+            body = bare(t[span[0] : span[1]])
+            if ", " in body:
+                taken.append(span)
+                out.append(Span("ADDRESS", *span, {"shape": 1, "parts": 1} | ({"postal_code": 1} if re.search(r"[0-9०-९]{3}$", body) else {})))
     for m in _ID_TOKEN.finditer(t):
         m = _ID_ALNUM.match(t, m.start(), m.end())
         if not m or t[m.end() : m.end() + 1].isalnum():
             continue
         s, e = m.span()
         ctx = bare(t[max(0, s - 40) : s])
-        votes = {"shape": 1, "id_cue": 1 if _ID_CUE.search(ctx) else -1}
-        if _ACCOUNT_CUE.search(ctx):
-            votes["account_cue"] = -1
+        votes = {"account_cue": -1} if _ACCOUNT_CUE.search(ctx) else {"shape": 1} | ({"id_cue": 1} if _ID_CUE.search(ctx) else {})
         taken.append((s, e))
         out.append(Span("ID_NUMBER", s, e, votes, (1.0,)))
     out.extend(_numbers(t, taken))
-    out.extend(_names(t, taken))
+    out.extend(_names(t, taken, gazetteer, common))
     return out
 
 
-def _spans_without_zero_width(pattern: re.Pattern, t: str) -> list[tuple[int, int]]:
-    if t.isascii() or not _ZERO.search(t):
-        return [m.span() for m in pattern.finditer(t)]
-    at = [i for i, c in enumerate(t) if c not in ZERO_WIDTH]
-    return [(at[m.start()], at[m.end() - 1] + 1) for m in pattern.finditer("".join(t[i] for i in at))]
+_KNOWN = frozenset("GS")
 
 
-def _names(t: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
+def _names(t: str, taken: list[tuple[int, int]], gazetteer: Gazetteer, common: frozenset[str]) -> Iterator[Span]:
     words = [(*m.span(), m[0]) for m in _WORD.finditer(t)]
-    parts = [_part(w[2]) for w in words]
+    seen = gazetteer.parts
+    parts = []
+    for w in words:
+        p = seen.get(w[2])
+        if p is None:
+            if len(seen) > 200_000:
+                seen.clear()
+            p = seen[w[2]] = part_of_name(w[2], gazetteer)
+        parts.append(p)
     n = len(words)
     i = 0
+    found: list[tuple[int, int]] = []
     for at in [k for k, p in enumerate(parts) if p == "G" or p == "S"]:
         if at < i:
             continue
         i = at
         lo = hi = i
         # To the right and left: other parts, middle names and initials, with one blank, comma or full stop between.
-        while hi + 1 < n and _gap(t, words[hi], words[hi + 1]) and (parts[hi + 1] in ("G", "S", "M") or _initial(t, words[hi + 1]) or _apart(words[hi + 1][2])):
+        while hi + 1 < n and _gap(t, words, parts, hi) and (parts[hi + 1] in ("G", "S", "M") or _initial(t, words[hi + 1])):
             hi += 1
-        while lo > 0 and i - lo < 5 and _initial(t, words[lo - 1]) and _gap(t, words[lo - 1], words[lo], dot=True):
+        while lo > 0 and i - lo < 5 and _initial(t, words[lo - 1]) and _gap(t, words, parts, lo - 1, dot=True):
             lo -= 1
         if i - lo == 1 and lo and words[lo][2] == "M" and words[lo - 1][2].casefold() in _BEFORE_MONSIEUR:
             lo = i
@@ -335,25 +286,92 @@ def _names(t: str, taken: list[tuple[int, int]]) -> Iterator[Span]:
             lo = i
         if parts[hi] == "M":
             hi -= 1
-        s, e = words[lo][0], words[hi][1]
-        if len(bare(words[hi][2])) == 1 and t[e : e + 1] == ".":
-            e += 1
-        nxt = i = hi + 1
-        for lo2, hi2 in _persons(t, words, parts, lo, hi):
+        i = hi + 1
+        for lo2, hi2 in _persons(parts, lo, hi):
             s, e = words[lo2][0], words[hi2][1]
             if len(bare(words[hi2][2])) == 1 and t[e : e + 1] == ".":
                 e += 1
             s, e = _trim_zero_width(t, s, e)
             if not any(a < e and s < b for a, b in taken):
+                found.append((s, e))
                 yield Span("NAME", s, e, *_name_votes(t, words, parts, lo2, hi2))
-        i = nxt
+    yield from _unknown_names(t, taken + found, words, parts, common)
 
 
 _BEFORE_MONSIEUR = frozenset("plaignant témoin accusé que à de et par avec".split())
-
-
-def _gap(t: str, a: tuple, b: tuple, dot: bool = False) -> bool:
-    """Whether two words can be parts of one name: a blank, or a comma and a blank, or an initial's full stop."""
+_CAPITALS = re.compile(r"(?<![\w.\-/])[A-ZÀ-Þ][a-zß-ÿ'’]+(?: [A-ZÀ-Þ][a-zß-ÿ'’]+){1,2}(?![\w\-/])")
+_CUE = re.compile(r"(?:(?<!\w)(?i:" + "|".join(sorted(map(re.escape, TITLE_CUES), key=len, reverse=True)) + r")\.? +|(?<!\w)(?i:" + "|".join(sorted(map(re.escape, ROLE_CUES), key=len, reverse=True)) + r") +)(?=[^\W\d_])")
+_RUN_WORD = re.compile(rf"[^\W\d_][\w'’\u0300-\u036f़-्ऀ-ः॑-ॗঁ-ঃ়-্ً-ٰٟ\-{ZERO_WIDTH}]*")
+
+
+def _unknown_names(t: str, taken: list[tuple[int, int]], words: list, parts: list, common: frozenset[str]) -> Iterator[Span]:
+    """Spans around no known part: behind a title or role, and runs of two or three capitalised words in a sentence."""
+    places = None
+    spans = []
+    for m in _CUE.finditer(t):
+        at, end, last = m.end(), m.end(), None
+        shouted = t[m.start() : at].isupper()
+        if shouted and m[0].strip(" .").casefold() not in _TITLE_SET:
+            continue  # a role is followed by any word
+        for _ in range(3):
+            w = _RUN_WORD.match(t, at)
+            if not w:
+                break
+            x = bare(w[0])
+            low = x.casefold()
+            latin = x[:1].isascii() or x[:1] < "ɐ"
+            if last is not None and latin != last or low in RIGHT_WORDS or low in common or low in CALENDAR or low in TITLES or low in ROLE_WORDS or len(x) < 2:
+                break
+            if latin and (not x[:1].isupper() or x.isupper() and len(x) > 1 and not shouted):
+                break
+            last, end = latin, w.end()
+            if t[end : end + 1] != " ":
+                break
+            at = end + 1
+        if last is None:
+            continue
+        # Scripts without capitals need a word behind that names are followed by.
+        after = _RUN_WORD.match(t, end + 1) if t[end : end + 1] == " " else None
+        if last or after and bare(after[0]).casefold() in RIGHT_WORDS:
+            spans.append((m.end(), end))
+    spans += [m.span() for m in _CAPITALS.finditer(t)]
+    for s, e in spans:
+        if any(a < e and s < b for a, b in taken):
+            continue
+        if places is None:
+            places = {w[0]: k for k, w in enumerate(words)}
+        k = lo = places.get(s)
+        if lo is None:
+            continue
+        while k + 1 < len(words) and words[k + 1][1] <= e:
+            k += 1
+        if parts[lo] == "M" or "N" in parts[lo : k + 1] or lo and bare(words[lo - 1][2]).casefold() in ALIAS_CUES:
+            continue
+        taken.append((s, e))
+        votes, shape = _name_votes(t, words, parts, lo, k)
+        low = [bare(w[2]).casefold() for w in words[lo : k + 1]]
+        if any(w in common or w in CALENDAR or w in TITLES or w in RIGHT_WORDS for w in low):
+            votes["common"] = -1
+        kinds = [roman(w) for w in low]
+        if any(p == "O" for p in parts[lo : k + 1]) or any(w in KIND_WORDS for w in kinds):
+            votes["organisation"] = -1
+        if any(p == "L" for p in parts[lo : k + 1]) or any(w in PLACE_WORDS for w in kinds):
+            votes["place"] = -1
+        before = t[:s].rstrip(" ")[-1:]
+        inside = bool(before) and before not in ".!?।۔\n:“\"|;"
+        if not votes.keys() & {"title", "role", "right"} and not inside:
+            continue  # capitals at the start of a sentence say nothing
+        if votes.keys() & {"common", "organisation", "place", "place_cue"}:
+            for k in ("two_parts", "role", "right"):  # these say nothing of what is called otherwise
+                votes.pop(k, None)
+        elif k > lo and inside:
+            votes["capitals"] = 1
+        yield Span("NAME", s, e, votes, shape)
+
+
+def _gap(t: str, words: list, parts: list, k: int, dot: bool = False) -> bool:
+    """Whether word ``k`` and the next can be parts of one name: a blank, or a comma and a blank, or an initial's full stop."""
+    a, b = words[k], words[k + 1]
     if b[0] - a[1] > 2:
         return False
     g = t[a[1] : b[0]]
@@ -361,12 +379,8 @@ def _gap(t: str, a: tuple, b: tuple, dot: bool = False) -> bool:
         return True
     if g == ". " and (len(bare(a[2])) == 1 or bare(a[2]).casefold() in ("md", "mohd")) or g == "." and len(bare(a[2])) <= 2:
         return True
-    return g == ", " and _comma_name(t, a, b)
-
-
-def _comma_name(t: str, a: tuple, b: tuple) -> bool:
-    """Family name, given name; in other orders a comma parts two names."""
-    return part_of_name(a[2]) == "S" and part_of_name(b[2]) == "G" or part_of_name(a[2]) == "S" and _initial(t, b)
+    # Family name, given name; in other orders a comma parts two names.
+    return g == ", " and parts[k] == "S" and (parts[k + 1] == "G" or _initial(t, b))
 
 
 def _initial(t: str, w: tuple) -> bool:
@@ -376,21 +390,14 @@ def _initial(t: str, w: tuple) -> bool:
     return len(letter) == 1 and letter.isalpha() and t[w[1] : w[1] + 1] == "."
 
 
-_APART = frozenset("kant veer mohan lal ali wal wala singh وال والا پوری علی کانت ویر موہن لال الدین".split())
-
-
-def _apart(word: str) -> bool:
-    """A part of a compound name that is written apart."""
-    return len(word) < 9 and bare(word).casefold() in _APART
-
-
-def _persons(t: str, words: list, parts: list, lo: int, hi: int) -> list[tuple[int, int]]:
-    """A run of name parts cut into persons: a second family name or given name begins another one."""
+def _persons(parts: list, lo: int, hi: int) -> list[tuple[int, int]]:
+    """A run of name parts cut into persons: a part of a kind that came before begins another one, unless it follows
+    one of its kind, as the parts of a compound name do."""
     out, start = [], lo
     seen = ""
     for k in range(lo, hi + 1):
         p = parts[k]
-        if p in ("G", "S") and p in seen and not (p == "G" and k and parts[k - 1] == "G" and k - 1 == start):
+        if p in _KNOWN and p in seen and parts[k - 1] != p:
             out.append((start, k - 1))
             start, seen = k, ""
         seen += p
@@ -401,17 +408,11 @@ def _persons(t: str, words: list, parts: list, lo: int, hi: int) -> list[tuple[i
 def _name_votes(t: str, words: list, parts: list, lo: int, hi: int) -> tuple[dict[str, int], tuple[float, ...]]:
     got = [parts[k] for k in range(lo, hi + 1)]
     votes: dict[str, int] = {}
-    if "G" in got:
-        votes["given"] = 1
-    if "S" in got:
-        votes["family"] = 1
-    if hi > lo:
-        votes["two_parts"] = 1
     left = bare(words[lo - 1][2]).casefold() if lo else ""
-    before = t[max(0, words[lo][0] - 2) : words[lo][0]]
-    if left in TITLES or left in ("श्री", "श्रीमती", "डॉ", "कु", "सौ", "ডা", "শ্রী", "ڈاکٹر", "جناب"):
+    touches = lo and t[words[lo - 1][1] : words[lo][0]].strip(" .,") == ""
+    if touches and (left in TITLES or left in _TITLE_SET):
         votes["title"] = 1
-    elif left in ROLE_WORDS:
+    elif touches and left in ROLE_WORDS:
         votes["role"] = 1
     after = words[hi + 1] if hi + 1 < len(words) else None
     right = bare(after[2]).casefold() if after and t[words[hi][1] : after[0]].strip(" .,") == "" else ""
@@ -419,17 +420,34 @@ def _name_votes(t: str, words: list, parts: list, lo: int, hi: int) -> tuple[dic
         votes["right"] = 1
     kind = roman(right) if right else ""
     near = after and t[words[hi][1] : after[0]] in (" ", "  ", " & ", "-")
-    if near and kind in KIND_WORDS - {"and", "of", "the", "company"} and got in (["S"], ["G"]):
-        votes["organisation"] = -1
-    if lo and roman(left) in KIND_WORDS - {"and", "of", "the"} and words[lo - 1][2][:1].isupper() and got == ["S"] and t[words[lo - 1][1] : words[lo][0]] == " ":
+    beside = lo and t[words[lo - 1][1] : words[lo][0]] == " " and words[lo - 1][2][:1].isupper()
+    own = ("G" in got) + ("S" in got)  # one known part alone may belong to another name
+    proper = after and right not in RIGHT_WORDS and (after[2][:1].isupper() or not after[2][:1].isascii())
+    if near and own <= 1 and (kind in KIND_WORDS - {"and", "of", "the", "company"} or proper and parts[hi + 1] == "O") or beside and own <= 1 and (roman(left) in KIND_WORDS - {"and", "of", "the"} or parts[lo - 1] == "O") and "title" not in votes:
         votes["organisation"] = -1
-    if near and kind in PLACE_WORDS or lo and roman(left) in PLACE_WORDS and before.endswith(" ") and t[words[lo - 1][1] : words[lo][0]] == " " and words[lo - 1][2][:1].isupper():
+    if near and own <= 1 and (kind in PLACE_WORDS or proper and parts[hi + 1] == "L") or beside and own <= 1 and (roman(left) in PLACE_WORDS or parts[lo - 1] == "L"):
         votes["place"] = -1
+    if own == 0 and touches and left in PLACE_CUES:
+        votes["place_cue"] = -1
+    # Gazetteers abstain where another name is around the part.
+    if not votes.keys() & {"organisation", "place"}:
+        if "G" in got:
+            votes["given"] = 1
+        if "S" in got:
+            votes["family"] = 1
+        if hi > lo:
+            votes["two_parts"] = 1
+    else:
+        votes.pop("role", None)
+        votes.pop("right", None)
     upper = bare(words[lo][2])[:1]
     latin_lower = upper.isascii() and upper.islower()
     return votes, (float(latin_lower), float(hi - lo))
 
 
+_TITLE_SET = frozenset(w.casefold() for w in TITLE_CUES)
+
+
 def _votes_matrix(spans: list[Span], kind: str) -> np.ndarray:
     names = LABELERS[kind]
     v = np.zeros((len(spans), len(names)))
@@ -439,27 +457,25 @@ def _votes_matrix(spans: list[Span], kind: str) -> np.ndarray:
     return v
 
 
-def estimate(v: np.ndarray, kind: str, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each span, accuracy of each labeler) by expectation-maximisation over votes; 0 abstains."""
-    names = LABELERS[kind]
-    prior = np.array([SURE_LABELERS.get((kind, n), PRIOR) for n in names])
-    worth = np.array([SURE_WEIGHT if (kind, n) in SURE_LABELERS else PRIOR_WEIGHT for n in names])
-    acc, share = prior.copy(), 0.7
-    p = np.full(len(v), share)
+def estimate(v: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each span, accuracy of each labeler) by expectation-maximisation over votes; 0 abstains.
+
+    Spans are proposed freely, so the balance of true and false ones is no evidence and is held at one half.
+    """
+    acc = np.full(v.shape[1], PRIOR)
+    p = np.full(len(v), 0.5)
     for _ in range(rounds):
-        w = np.log(acc / (1 - acc))
-        p = 1 / (1 + np.exp(-(v @ w + np.log(share / (1 - share)))))
+        p = 1 / (1 + np.exp(-(v @ np.log(acc / (1 - acc)))))
         agree = ((v > 0) * p[:, None] + (v < 0) * (1 - p)[:, None]).sum(0)
-        acc = np.clip((agree + prior * worth) / ((v != 0).sum(0) + worth), 0.55, 1 - 1e-7)
-        share = float(np.clip((p.sum() + 70) / (len(v) + 100), 0.05, 0.95))
+        acc = np.clip((agree + PRIOR * PRIOR_WEIGHT) / ((v != 0).sum(0) + PRIOR_WEIGHT), 0.5, 1 - 1e-4)
     return p, acc
 
 
 class SpanModel:
     """One logistic classifier per type over votes and shape; ``accuracy`` has the labelers' estimated reliabilities."""
 
-    def __init__(self, weights: dict[str, np.ndarray], accuracy: dict[str, dict[str, float]]):
-        self.weights, self.accuracy = {k: w.tolist() for k, w in weights.items()}, accuracy
+    def __init__(self, weights: dict[str, np.ndarray], accuracy: dict[str, dict[str, float]], gazetteer: Gazetteer, common: frozenset[str] = frozenset()):
+        self.weights, self.accuracy, self.gazetteer, self.common = {k: w.tolist() for k, w in weights.items()}, accuracy, gazetteer, common
         self._by_name = {k: dict(zip(LABELERS[k], w[1:])) for k, w in self.weights.items()}
 
     @staticmethod
@@ -468,20 +484,21 @@ class SpanModel:
         return [1.0, *votes, *(sp.shape or (0.0,))]
 
     @classmethod
-    def fit(cls, texts: list[str]) -> SpanModel:
+    def fit(cls, texts: list[str], gazetteer: Gazetteer | None = None, common: frozenset[str] = frozenset()) -> SpanModel:
+        gazetteer = gazetteer or Gazetteer()
         by: dict[str, list[Span]] = {k: [] for k in TYPES}
         for t in texts:
-            for sp in propose(t):
+            for sp in propose(t, gazetteer, common):
                 by[sp.kind].append(sp)
         weights, accuracy = {}, {}
         for kind, spans in by.items():
             v = _votes_matrix(spans, kind) if spans else np.zeros((0, len(LABELERS[kind])))
-            p, acc = estimate(v, kind)
+            p, acc = estimate(v)
             accuracy[kind] = dict(zip(LABELERS[kind], acc.round(4).tolist()))
             n_shape = 2 if kind == "NAME" else 1
-            start = np.concatenate([[np.log(0.7 / 0.3)], np.log(acc / (1 - acc)), np.zeros(n_shape)])
+            start = np.concatenate([[0.0], np.log(acc / (1 - acc)), np.zeros(n_shape)])
             weights[kind] = cls._logistic(np.array([cls.row(s) for s in spans]), p, start) if spans else start
-        return cls(weights, accuracy)
+        return cls(weights, accuracy, gazetteer, common)
 
     @staticmethod
     def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, rounds: int = 200, rate: float = 0.5, keep: float = 0.01) -> np.ndarray:
@@ -505,7 +522,7 @@ class SpanModel:
 def find(model: SpanModel, text: str, least: float = 0.5) -> list[tuple[str, int, int, float]]:
     """(type, start, end, probability) of the spans of a text, in order and without overlaps; the surer one stays."""
     kept: list[tuple[str, int, int, float]] = []
-    for sp in sorted(((model.score(s), s) for s in propose(text)), key=lambda x: (-x[0], x[1].s)):
+    for sp in sorted(((model.score(s), s) for s in propose(text, model.gazetteer, model.common)), key=lambda x: (-x[0], x[1].s)):
         p, s = sp
         if p >= least and not any(a < s.e and s.s < b for _, a, b, _ in kept):
             kept.append((s.kind, s.s, s.e, round(p, 4)))
@@ -521,10 +538,11 @@ def masked(text: str, spans: list[tuple[str, int, int, float]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit_model(docs: DataFrame, text_col: str = "raw_text", limit: int = MAX_DOCUMENTS) -> SpanModel:
-    """Fit on at most ``limit`` texts; only these reach the driver."""
-    rows = docs.select(text_col).filter(F.length(text_col) > 0).limit(limit).collect()
-    return SpanModel.fit(sorted(r[0] for r in rows))
+def fit_model(docs: DataFrame, gazetteer: Gazetteer | None = None, common: frozenset[str] = frozenset(), text_col: str = "raw_text", limit: int = MAX_DOCUMENTS) -> SpanModel:
+    """Fit on the ``limit`` texts of least hash, whatever the layout of the files; only these reach the driver."""
+    texts = docs.select(text_col).filter(F.length(text_col) > 0)
+    rows = texts.orderBy(F.xxhash64(text_col), text_col).limit(limit).collect()
+    return SpanModel.fit([r[0] for r in rows], gazetteer, common)
 
 
 SPAN_SCHEMA = T.StructType(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.gazetteer import entity_rows, learn
 from threadloom.llm.languages import document_languages, fit_model, language_segments
 from threadloom.llm.lookalikes import normalized, same_look_pairs
 from threadloom.llm.names import entity_mentions, link_names, variant_pairs
 from threadloom.llm.packing import fill_report, pack
+from threadloom.llm.personal import SpanModel, masked_texts, personal_spans
 from threadloom.llm.personal import fit_model as fit_span_model
-from threadloom.llm.personal import masked_texts, personal_spans
 from threadloom.llm.quality import load_common_words, text_statistics
 from threadloom.llm.sentences import sentence_units
 from threadloom.llm.tokens import encode_corpus, token_counts
@@ -37,9 +38,13 @@ def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     return document_languages(p1_segments(spark, d))
 
 
+def _span_model(spark: SparkSession, d: str) -> SpanModel:
+    known = learn(entity_rows(table(spark, d, "entities")))
+    return fit_span_model(table(spark, d, "source_documents"), known, load_common_words(table(spark, d, "common_words")))
+
+
 def p2_spans(spark: SparkSession, d: str) -> DataFrame:
-    model = fit_span_model(table(spark, d, "source_documents"))
-    return personal_spans(_texts(spark, d), model)
+    return personal_spans(_texts(spark, d), _span_model(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +53,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_masked(spark: SparkSession, d: str) -> DataFrame:
     """Every text with typed placeholders in place of what identifies a person."""
-    return masked_texts(_texts(spark, d), fit_span_model(table(spark, d, "source_documents")))
+    return masked_texts(_texts(spark, d), _span_model(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
