@@ -31,11 +31,11 @@ MAX_DOCUMENTS = 3000
 PLACE_WORDS = frozenset("sector phase road border post crossing chowk marg nagar vihar ghat mod mandi tiraha kalan khurd adda gate railway block ward street pur isbt station khera lane colony bridge market hospital school court".split())
 #: Titles and roles that stand right before a name, by script; words of the languages, not of a corpus.
 TITLE_CUES = "Mr Mrs Ms Miss Dr Shri Smt Sri Sh Km Kumari Prof Insp Const Sgt Sr Sra Srta Mme Mlle श्री श्रीमती डॉ कु सौ सुश्री ডা শ্রী শ্রীমতী জনাব ڈاکٹر جناب محترمہ".split()
-ROLE_CUES = "complainant accused informant witness victim constable guard plaignant plaignante denunciante testigo acusado témoin accusé शिकायतकर्ता आरोपी मुखबिर गवाह माता पिता तक्रारदार साक्षीदार अभियुक्त অভিযোগকারী সাক্ষী আসামি شکایت گواہ ملزم ผู้ร้องเรียน พยาน ผู้ต้องหา".split()
+ROLE_CUES = "complainant accused informant witness victim constable guard plaignant plaignante denunciante testigo acusado témoin accusé शिकायतकर्ता आरोपी मुखबिर गवाह माता पिता तक्रारदार साक्षीदार अभियुक्त অভিযোগকারী সাক্ষী আসামি شکایت گواہ ملزم".split()
 ROLE_WORDS = frozenset(ROLE_CUES) | frozenset("bhai late met arrested".split())
 RIGHT_WORDS = frozenset(
     "was and alias urf r/o told could examined stated works aged ne ko travelled changed said is has s/o met lives saw a fue habite vive examinó declaró और उर्फ ने को उस एक यांनी हा यांच्या कोणासाठी की निवासी জানান কে কি "
-    "نے کو اس ने अने et y que แจ้งว่า ให้การ".split()
+    "نے کو اس ने अने et y que".split()
 )
 #: Words before a place, and before another name of one who was named.
 PLACE_CUES = frozenset("near at towards behind in on around opp via reached outside beside".split())
@@ -76,11 +76,15 @@ def bare(text: str) -> str:
 
 
 def part_of_name(token: str, gazetteer: Gazetteer) -> str:
-    """G for a given name, S for a family name, M for a middle name, N for a nickname, O or L for parts of other names, else empty."""
+    """G for a given name, S for a family name, M for a middle name, N for a nickname, O or L for parts of other names,
+    T for a title or role, else empty."""
     t = unicodedata.normalize("NFC", bare(token)).casefold().strip("'’-")
     if not t:
         return ""
-    return "M" if roman(t) in MIDDLE else gazetteer.kind(t)
+    return "M" if roman(t) in MIDDLE else gazetteer.kinds.get(t) or ("T" if t in _CUE_SET else gazetteer.kind(t))
+
+
+_CUE_SET = frozenset(w.casefold() for w in (*TITLE_CUES, *ROLE_CUES))
 
 
 class Span:
@@ -268,7 +272,8 @@ def _names(t: str, taken: list[tuple[int, int]], gazetteer: Gazetteer, common: f
     n = len(words)
     i = 0
     found: list[tuple[int, int]] = []
-    for at in [k for k, p in enumerate(parts) if p == "G" or p == "S"]:
+    marked = [k for k, p in enumerate(parts) if p]
+    for at in [k for k in marked if parts[k] in _KNOWN]:
         if at < i:
             continue
         i = at
@@ -295,24 +300,25 @@ def _names(t: str, taken: list[tuple[int, int]], gazetteer: Gazetteer, common: f
             if not any(a < e and s < b for a, b in taken):
                 found.append((s, e))
                 yield Span("NAME", s, e, *_name_votes(t, words, parts, lo2, hi2))
-    yield from _unknown_names(t, taken + found, words, parts, common)
+    yield from _unknown_names(t, taken + found, words, parts, [k for k in marked if parts[k] == "T"], common)
 
 
 _BEFORE_MONSIEUR = frozenset("plaignant témoin accusé que à de et par avec".split())
 _CAPITALS = re.compile(r"(?<![\w.\-/])[A-ZÀ-Þ][a-zß-ÿ'’]+(?: [A-ZÀ-Þ][a-zß-ÿ'’]+){1,2}(?![\w\-/])")
-_CUE = re.compile(r"(?:(?<!\w)(?i:" + "|".join(sorted(map(re.escape, TITLE_CUES), key=len, reverse=True)) + r")\.? +|(?<!\w)(?i:" + "|".join(sorted(map(re.escape, ROLE_CUES), key=len, reverse=True)) + r") +)(?=[^\W\d_])")
+_AFTER_CUE = re.compile(r"\.? +(?=[^\W\d_])")
 _RUN_WORD = re.compile(rf"[^\W\d_][\w'’\u0300-\u036f़-्ऀ-ः॑-ॗঁ-ঃ়-্ً-ٰٟ\-{ZERO_WIDTH}]*")
 
 
-def _unknown_names(t: str, taken: list[tuple[int, int]], words: list, parts: list, common: frozenset[str]) -> Iterator[Span]:
+def _unknown_names(t: str, taken: list[tuple[int, int]], words: list, parts: list, cues: list[int], common: frozenset[str]) -> Iterator[Span]:
     """Spans around no known part: behind a title or role, and runs of two or three capitalised words in a sentence."""
     places = None
     spans = []
-    for m in _CUE.finditer(t):
+    for c in cues:
+        m = _AFTER_CUE.match(t, words[c][1])
+        shouted = words[c][2].isupper()
+        if not m or shouted and bare(words[c][2]).casefold() not in _TITLE_SET:
+            continue  # a role in capitals is followed by any word
         at, end, last = m.end(), m.end(), None
-        shouted = t[m.start() : at].isupper()
-        if shouted and m[0].strip(" .").casefold() not in _TITLE_SET:
-            continue  # a role is followed by any word
         for _ in range(3):
             w = _RUN_WORD.match(t, at)
             if not w:
@@ -538,11 +544,20 @@ def masked(text: str, spans: list[tuple[str, int, int, float]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit_model(docs: DataFrame, gazetteer: Gazetteer | None = None, common: frozenset[str] = frozenset(), text_col: str = "raw_text", limit: int = MAX_DOCUMENTS) -> SpanModel:
-    """Fit on the ``limit`` texts of least hash, whatever the layout of the files; only these reach the driver."""
-    texts = docs.select(text_col).filter(F.length(text_col) > 0)
-    rows = texts.orderBy(F.xxhash64(text_col), text_col).limit(limit).collect()
-    return SpanModel.fit([r[0] for r in rows], gazetteer, common)
+def fit_model(
+    docs: DataFrame, gazetteer: Gazetteer | None = None, common: frozenset[str] = frozenset(), id_col: str = "id", text_col: str = "raw_text", limit: int = MAX_DOCUMENTS
+) -> SpanModel:
+    """Fit on the documents of the ``limit`` least hashes of their ids, whatever the layout of the files.
+
+    The first pass sends hashes to the driver, the second only the texts of the sample.
+    """
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    last = docs.filter(F.col(id_col).isNotNull()).select(h.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    if last is None:
+        return SpanModel.fit([], gazetteer, common)
+    sample = docs.filter((h <= last) & (F.length(text_col) > 0)).select(h.alias("h"), text_col).distinct()
+    rows = sample.orderBy("h", text_col).limit(limit).collect()
+    return SpanModel.fit([r[1] for r in rows], gazetteer, common)
 
 
 SPAN_SCHEMA = T.StructType(
