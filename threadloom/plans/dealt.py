@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from threadloom.operators.nested import flat_table, flatten_payloads
 from threadloom.operators.references import Reference, orphan_references, orphan_report, reference_rows, target_deltas
 from threadloom.session import ship
-from threadloom.sources.tables import latest_delivery, latest_wide, table
+from threadloom.sources.tables import latest_delivery, latest_wide, spread, table
 
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
-    return latest_wide(table(spark, d, "source_documents").select("id", "ingested_at", "structured")).filter("structured IS NOT NULL")
+    scan = table(spark, d, "source_documents").select("id", "ingested_at", "structured")
+    return spread(latest_wide(scan).filter("structured IS NOT NULL"), scan)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

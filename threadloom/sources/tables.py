@@ -12,6 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """``df`` over all cores where its ``scan`` has less than half as many partitions, as small files do.
+
+    Large inputs have a partition for every split and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def latest_delivery(df: DataFrame, key: str = "id", order: str = "ingested_at") -> DataFrame:
     """One row per key: the delivery with the latest ``order`` value (nulls lose).
 
