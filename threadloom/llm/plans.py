@@ -16,14 +16,21 @@ from threadloom.llm.quality import load_common_words, text_statistics
 from threadloom.llm.sentences import sentence_units
 from threadloom.llm.tokens import encode_corpus, token_counts
 from threadloom.session import ship
-from threadloom.sources.tables import latest_delivery, latest_wide, table
+from threadloom.sources.tables import latest_delivery, latest_wide, spread, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """(id, raw_text) of the source documents, each once."""
     ship(spark)
-    docs = latest_wide(table(spark, d, "source_documents").select("id", "ingested_at", "raw_text"))
-    return docs.filter("raw_text IS NOT NULL").select("id", "raw_text")
+    scan = table(spark, d, "source_documents").select("id", "ingested_at", "raw_text")
+    return spread(latest_wide(scan).filter("raw_text IS NOT NULL").select("id", "raw_text"), scan)
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text) of the corpus."""
+    ship(spark)
+    scan = table(spark, d, "documents").select("doc_id", "text")
+    return spread(scan, scan)
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -95,22 +102,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    ship(spark)
-    return encode_corpus(table(spark, d, "documents"))
+    return encode_corpus(_documents(spark, d))
 
 
 def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each document, and its characters to a token."""
-    ship(spark)
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return token_counts(docs)
+    return token_counts(_documents(spark, d))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    ship(spark)
     profiles = [(r[0], r[1]) for r in table(spark, d, "pack_capacities").select("profile_id", "capacity_tokens").collect()]
-    docs = table(spark, d, "documents")
-    return pack(token_counts(docs), profiles, "doc_id", "n_tokens", docs.count())
+    return pack(token_counts(_documents(spark, d)), profiles, "doc_id", "n_tokens", table(spark, d, "documents").count())
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -122,8 +124,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    ship(spark)
-    return text_statistics(table(spark, d, "documents"), load_common_words(table(spark, d, "common_words")))
+    return text_statistics(_documents(spark, d), load_common_words(table(spark, d, "common_words")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
