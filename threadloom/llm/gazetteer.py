@@ -113,9 +113,14 @@ class Gazetteer:
         self.__dict__.update(state)
         self._near, self._seen, self.parts = None, {}, {}
 
+    def all_near(self, token: str) -> set[str]:
+        """All settled given names one slip away; with several of them a form is a slip of either."""
+        self.near(token)
+        return {w for d in deletes(token) for form, w in self._near.get(d, ()) if self.kinds[w] == "G" and edits(token, form, 1) <= 1}
+
     def near(self, token: str) -> str | None:
         """The settled spelling one slip away from a token, long vowels aside; the more frequent, then the first."""
-        if self._near is None:
+        if self._near is None:  # built once in each worker
             self._near = defaultdict(list)
             for w in sorted(self.settled, key=lambda x: (-self.person[x], x)):
                 for form in {w, short_vowels(w)}:
@@ -162,6 +167,43 @@ def learn(mentions: DataFrame, least_share: float = LEAST_SHARE) -> Gazetteer:
     return Gazetteer({r[0]: tuple(r[1:]) for r in kept.collect()})
 
 
+#: Share of the scopes of a form in which another one has the same family name, from which the form stands for it.
+TOGETHER, LEAST_SCOPES = 0.5, 3
+
+
+def learn_variants(mentions: DataFrame, gazetteer: Gazetteer) -> dict[str, str]:
+    """Short forms and other spellings of given names: form to settled name, learnt from who appears together.
+
+    In the scopes where a form stands with a family name, the name it is short for stands with that family name too, far
+    more often than any relative's. ``mentions``: scope, kind, text, role. Only tokens of the gazetteer are counted, so
+    the pairs of a scope are bounded by it, and only forms with at least ``LEAST_SCOPES`` scopes are judged.
+    """
+    spark = mentions.sparkSession
+    known = [(w, k) for w, k in gazetteer.kinds.items() if k in "GS" and script_of(w) == "latin"]
+    if not known:
+        return {}
+    t = F.lower(F.translate(F.translate("text", ZERO_WIDTH, ""), PLAIN_FROM, PLAIN_TO))
+    words = F.filter(F.split(F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\-]+", " ")), " "), lambda w: F.length(w) > 1)
+    two = mentions.filter("kind = 'PERSON' AND scope IS NOT NULL AND text IS NOT NULL").select("scope", words.alias("w")).filter(F.size("w") == 2).distinct()
+    kinds = F.broadcast(spark.createDataFrame(known, "token string, k string"))
+    two = two.select("scope", F.col("w")[0].alias("x"), F.col("w")[1].alias("y"))
+    pairs = two.join(kinds.toDF("x", "kx"), "x").join(kinds.toDF("y", "ky"), "y").filter("kx <> ky")
+    given = F.when(F.col("kx") == "G", F.col("x")).otherwise(F.col("y"))
+    family = F.when(F.col("kx") == "G", F.col("y")).otherwise(F.col("x"))
+    seen = pairs.select("scope", given.alias("g"), family.alias("f")).distinct()
+    a, b = seen.toDF("scope", "form", "f"), seen.toDF("scope", "name", "f")
+    unsettled = F.broadcast(spark.createDataFrame([(w,) for w, k in known if k == "G" and w not in gazetteer.settled] or [("",)], "form string"))
+    a = a.join(unsettled, "form", "left_semi")
+    both = a.join(b, ["scope", "f"]).filter("form <> name").groupBy("form", "name").agg(F.count("*").alias("n"))
+    total = a.groupBy("form").agg(F.count("*").alias("total")).filter(F.col("total") >= LEAST_SCOPES)
+    rows = both.join(total, "form").filter(F.col("n") >= TOGETHER * F.col("total")).collect()
+    best: dict[str, tuple] = {}
+    for form, name, n, _ in rows:
+        if name in gazetteer.settled and name[:1] == form[:1] and len(gazetteer.all_near(form)) < 2:
+            best[form] = max(best.get(form, (0, "")), (n, name))
+    return {form: name for form, (_, name) in best.items()}
+
+
 def entity_rows(entities: DataFrame) -> DataFrame:
-    """(kind, text, role) of the entities table."""
-    return entities.select(F.col("entity_type").alias("kind"), F.col("raw_text").alias("text"), F.get_json_object("metadata_json", "$.alias_role").alias("role"))
+    """(scope, kind, text, role) of the entities table."""
+    return entities.select(F.col("intake_id").alias("scope"), F.col("entity_type").alias("kind"), F.col("raw_text").alias("text"), F.get_json_object("metadata_json", "$.alias_role").alias("role"))

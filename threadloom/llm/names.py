@@ -19,20 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm.gazetteer import Gazetteer, edits, script_of, short_vowels, squeezed
 from threadloom.llm.lookalikes import consistent_form
 
-#: Short or colloquial forms of given names, to the full form; a fixed table that users extend.
+#: Short and colloquial forms of given names, to the full form: a small general table. What a corpus uses is learnt on
+#: top of it (``gazetteer.learn_variants``); ``Lexicon(nicknames={})`` does without.
 NICKNAMES = {
-    "zia": "ziauddin", "jaggi": "jagmohan", "jeetu": "jitendra", "jitu": "jitendra", "vijju": "vijendra", "biju": "vijendra", "bijender": "vijendra", "bijendra": "vijendra", "vijender": "vijendra",
-    "chandi": "chandrika", "mohd": "mohammad", "md": "mohammad", "muhammad": "mohammad", "mohammed": "mohammad", "mohamed": "mohammad", "kk": "krishnakant", "krishan": "krishnakant", "krishna": "krishnakant",
-    "mahender": "mahendra", "mahinder": "mahendra", "jitender": "jitendra", "dharam": "dharmveer", "dharmendra": "dharmendra", "raju": "rajendra", "rajinder": "rajendra", "surinder": "surendra",
-    "bhanu": "bhanwar", "nandu": "nandlal", "ziauddeen": "ziauddin",
+    "mohd": "mohammad", "md": "mohammad", "muhammad": "mohammad", "mohammed": "mohammad", "mohamed": "mohammad", "kk": "krishnakant", "krishna": "krishnakant", "krishan": "krishnakant",
+    "raju": "rajendra", "rajinder": "rajendra", "rajender": "rajendra", "surinder": "surendra", "surender": "surendra", "mahinder": "mahendra", "mahender": "mahendra", "jitender": "jitendra", "jitu": "jitendra",
+    "narinder": "narendra", "narender": "narendra", "dharam": "dharmendra", "nandu": "nandlal", "jaggi": "jagmohan", "bablu": "balbir", "pappu": "prakash", "guddu": "gulab", "sonu": "sunil", "monu": "manoj", "bittu": "vikram",
+    "bill": "william", "bob": "robert", "dick": "richard", "jim": "james", "joe": "joseph", "liz": "elizabeth", "kate": "katherine", "peggy": "margaret", "ted": "edward", "tony": "anthony", "pepe": "jose", "paco": "francisco",
 }
-#: Given names that differ in one or two letters only and are not spellings of each other.
-GIVEN = frozenset(
-    "abhinav bhanwar bhupesh chandrika devansh dharmveer ekta farzana gurmeet harpal ishwari jagmohan jitendra kavita krishnakant lakhan mahendra mohammad nandlal omkar pushpa qadir rakesh ramesh "
-    "savita shabbir sunita sushila tejpal toshita urmila vijendra wasim yashoda ziauddin ines oscar rene helene zoe mukesh mahesh suresh naresh dinesh kamla vimla sarita lalita anita vinita rajesh umesh nitesh".split()
-)
+#: Common given names that differ in one or two letters only, for use without a corpus to learn from.
+GIVEN = frozenset("ramesh rakesh mukesh mahesh suresh naresh dinesh rajesh umesh nitesh savita kavita sunita anita vinita lalita sarita sushila kamla vimla krishnakant".split())
 MIDDLE = frozenset("kumar kumaar kumari kumaaree kmar devi devee lal laal singh".split())
 TITLES = frozenset("mr mrs ms dr shri sri smt sh km kumari late prof insp asi si const sr sra srta mme mlle don".split())
 
@@ -83,11 +82,6 @@ def _indic(text: str, base: int) -> str:
     return "".join(out)
 
 
-def script_of(token: str) -> str:
-    c = ord(token[0])
-    return "devanagari" if 0x900 <= c < 0x980 else "bengali" if 0x980 <= c < 0xA00 else "arabic" if 0x600 <= c < 0x700 else "latin" if c < 0x250 else "other"
-
-
 @lru_cache(200_000)
 def roman(token: str) -> str:
     """A lower-case token in plain Latin letters."""
@@ -153,101 +147,148 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * p * (1 - jaro)
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours; ``most`` + 1 where it is larger than ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        new = [i]
-        for j, d in enumerate(b, 1):
-            x = min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d))
-            if i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == d:
-                x = min(x, before[j - 2] + 1)
-            new.append(x)
-        if min(new) > most:
-            return most + 1
-        before, row = row, new
-    return row[-1]
-
-
-_LONG = [("aa", "a"), ("ee", "i"), ("oo", "u"), ("ou", "o")]
-
-
-def _by_code(drop: str) -> dict[str, str]:
-    """Given names by code, where a code has one only."""
-    out: dict[str, list[str]] = {}
-    for g in sorted(GIVEN):
-        out.setdefault(re.sub(r"(.)\1+", r"\1", code(g).replace(drop, "") if drop else code(g)), []).append(g)
-    return {k: v[0] for k, v in out.items() if len(v) == 1}
-
-
-@lru_cache(200_000)
-def known_given(token: str, script: str) -> str | None:
-    """The given name of the tables that a Roman token spells, if any."""
-    t = token.replace("-", "")
-    t = NICKNAMES.get(t, t)
-    if t in GIVEN:
-        return t
-    for a, b in _LONG:
-        t = t.replace(a, b)
-    t = NICKNAMES.get(t, t)
-    if t in _GIVEN_SHORT:
-        return _GIVEN_SHORT[t]
-    if script == "arabic":
-        c = code(token)
-        if len(c) >= 3 and c in _GIVEN_CODES:
-            return _GIVEN_CODES[c]
-        c = re.sub(r"(.)\1+", r"\1", code(token).replace("v", ""))
-        return _GIVEN_NO_V.get(c) if len(c) >= 3 or c in ("md", "sd") else None
-    if script != "latin":
-        for g in _GIVEN_BY_CODE.get(code(t).replace("v", "b"), ()):
-            if jaro_winkler(_plain_sounds(t), _plain_sounds(g)) >= 0.85:
-                return g
-    return None
-
-
 def _plain_sounds(word: str) -> str:
     for a, b in (("w", "v"), ("v", "b"), ("z", "j"), ("q", "k"), ("ph", "f"), ("y", "i"), ("ii", "i"), ("h", "")):
         word = word.replace(a, b)
     return re.sub(r"(.)\1+", r"\1", word)
 
 
-@lru_cache(200_000)
-def compound_given(joined: str, script: str) -> bool:
-    """Whether parts written together spell one longer given name."""
-    if known_given(joined, script):
-        return True
-    c = code(joined)
-    return len(c) >= 4 and (c in _GIVEN_CODES or script == "arabic" and re.sub(r"(.)\1+", r"\1", c.replace("v", "")) in _GIVEN_NO_V)
+def _no_v(word_code: str) -> str:
+    return squeezed(word_code.replace("v", ""))
 
 
-@lru_cache(400_000)
-def token_match(a: str, b: str, sa: str, sb: str) -> bool:
-    """Whether two full Roman tokens spell one name."""
-    if a == b:
-        return True
-    na, nb = NICKNAMES.get(a, a), NICKNAMES.get(b, b)
-    if na == nb:
-        return True
-    ga, gb = known_given(a, sa), known_given(b, sb)
-    if ga and gb:
-        return ga == gb
-    ca, cb = code(a), code(b)
-    if sa != sb or "arabic" in (sa, sb):
-        if same_code(ca, cb, sa, sb) and min(len(ca), len(cb)) >= 2:
+class Lexicon:
+    """Given names that are spellings of their own, and short forms; two different given names are never one.
+
+    ``given``: settled Roman spellings; ``nicknames``: form to full form; ``other``: script to (Roman form of a settled
+    spelling in it, to its Latin spelling).
+    """
+
+    def __init__(self, given: frozenset[str] = GIVEN, nicknames: dict[str, str] = NICKNAMES, other: dict[str, dict[str, str]] | None = None):
+        self.given, self.nicknames, self.other = given, nicknames, other or {}
+        self._build()
+
+    def __getstate__(self) -> tuple:
+        return self.given, self.nicknames, self.other
+
+    def __setstate__(self, state: tuple) -> None:
+        self.given, self.nicknames, self.other = state
+        self._build()
+
+    def _build(self) -> None:
+        names = sorted(self.given)
+        self._short = {short_vowels(g): g for g in names}
+        by: dict[str, list[str]] = defaultdict(list)
+        no_v: dict[str, list[str]] = defaultdict(list)
+        with_b: dict[str, list[str]] = defaultdict(list)
+        for g in names:
+            by[code(g)].append(g)
+            no_v[_no_v(code(g))].append(g)
+            with_b[code(g).replace("v", "b")].append(g)
+        self._code = {k: v[0] for k, v in by.items() if len(v) == 1}
+        self._no_v = {k: v[0] for k, v in no_v.items() if len(v) == 1}
+        self._with_b = dict(with_b)
+        self._known: dict[tuple, str | None] = {}
+        self._match: dict[tuple, bool] = {}
+
+    def known(self, token: str, script: str) -> str | None:
+        """The given name that a Roman token spells, if any."""
+        key = (token, script)
+        if key not in self._known:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            self._known[key] = self._find(token, script)
+        return self._known[key]
+
+    def _find(self, token: str, script: str) -> str | None:
+        t = token.replace("-", "")
+        if hit := self.other.get(script, {}).get(t):
+            return hit
+        t = self.nicknames.get(t, t)
+        if t in self.given:
+            return t
+        t = short_vowels(t)
+        t = self.nicknames.get(t, t)
+        if t in self._short:
+            return self._short[t]
+        if script == "arabic":
+            c = code(token)
+            if len(c) >= 3 and c in self._code:
+                return self._code[c]
+            return self._no_v.get(_no_v(c)) if len(_no_v(c)) >= 3 else None
+        if script != "latin":
+            for g in self._with_b.get(code(t).replace("v", "b"), ()):
+                if jaro_winkler(_plain_sounds(t), _plain_sounds(g)) >= 0.85:
+                    return g
+        return None
+
+    def compound(self, joined: str, script: str) -> bool:
+        """Whether parts written together spell one longer given name."""
+        if self.known(joined, script):
             return True
-        ca, cb = code(na), code(nb)
-        if same_code(ca, cb, sa, sb) and min(len(ca), len(cb)) >= 2:
+        c = code(joined)
+        return len(c) >= 4 and (c in self._code or script == "arabic" and _no_v(c) in self._no_v)
+
+    def match(self, a: str, b: str, sa: str, sb: str) -> bool:
+        """Whether two full Roman tokens spell one name."""
+        key = (a, b, sa, sb)
+        if key not in self._match:
+            if len(self._match) > 400_000:
+                self._match.clear()
+            self._match[key] = self._same(a, b, sa, sb)
+        return self._match[key]
+
+    def _same(self, a: str, b: str, sa: str, sb: str) -> bool:
+        if a == b:
             return True
-        return min(len(ca), len(cb)) >= 3 and ca[0] == cb[0] and edits(ca, cb, 1) <= 1
-    if ca == cb and len(ca) >= 3:
-        return True
-    n = min(len(a), len(b))
-    most = 1 if n < 7 else 2
-    if n < 3:
-        return False
-    return (edits(a, b, most) <= most and jaro_winkler(a, b) >= (0.86 if n >= 5 else 0.8)) or (edits(re.sub(r"(.)\1+", r"\1", a), re.sub(r"(.)\1+", r"\1", b), 1) <= 1 and n >= 4 and jaro_winkler(a, b) >= 0.85)
+        na, nb = self.nicknames.get(a, a), self.nicknames.get(b, b)
+        if na == nb:
+            return True
+        ga, gb = self.known(a, sa), self.known(b, sb)
+        if ga and gb:
+            return ga == gb
+        ca, cb = code(a), code(b)
+        if sa != sb or "arabic" in (sa, sb):
+            if same_code(ca, cb, sa, sb) and min(len(ca), len(cb)) >= 2:
+                return True
+            ca, cb = code(na), code(nb)
+            if same_code(ca, cb, sa, sb) and min(len(ca), len(cb)) >= 2:
+                return True
+            return min(len(ca), len(cb)) >= 3 and ca[0] == cb[0] and edits(ca, cb, 1) <= 1
+        if ca == cb and len(ca) >= 3:
+            return True
+        n = min(len(a), len(b))
+        most = 1 if n < 7 else 2
+        if n < 3:
+            return False
+        return (edits(a, b, most) <= most and jaro_winkler(a, b) >= (0.86 if n >= 5 else 0.8)) or (edits(squeezed(a), squeezed(b), 1) <= 1 and n >= 4 and jaro_winkler(a, b) >= 0.85)
+
+
+PLAIN_LEXICON = Lexicon()
+
+
+def lexicon_of(gazetteer: Gazetteer, variants: dict[str, str], nicknames: dict[str, str] = NICKNAMES) -> Lexicon:
+    """Settled given names of a corpus, each spelling in another script with the Latin one that it stands for."""
+    latin: dict[str, int] = {}
+    for w in gazetteer.settled:
+        if gazetteer.kinds[w] == "G" and script_of(w) == "latin":
+            latin[roman(w)] = latin.get(roman(w), 0) + gazetteer.person[w]
+    plain = Lexicon(frozenset(latin), {})
+    other: dict[str, dict[str, str]] = {}
+    for w in sorted(gazetteer.settled):
+        script = script_of(w)
+        if gazetteer.kinds[w] == "G" and script != "latin":
+            r = roman(w)
+            hit = plain.known(r, script)
+            if not hit:  # the closest Latin name whose consonants agree but for one
+                near = [(jaro_winkler(_plain_sounds(r), _plain_sounds(g)), g) for g in sorted(latin) if edits(_no_v(code(r)), _no_v(code(g)), 1) <= 1]
+                score, hit = max(near, default=(0.0, None))
+                hit = hit if score >= 0.8 else None
+            if hit:
+                other.setdefault(script, {})[r] = hit
+    learnt = {roman(a).replace("-", ""): roman(b) for a, b in variants.items() if roman(b) in latin and roman(a) not in latin}
+    table = {k: v for k, v in nicknames.items() if k not in latin and v in latin} | learnt
+    return Lexicon(frozenset(latin), table, other)
 
 
 _SPLIT = re.compile(r"[^\w़-्ऀ-ः॑-ॗঁ-ঃ়-্ً-ٰٕ]+")
@@ -256,13 +297,13 @@ _SPLIT = re.compile(r"[^\w़-्ऀ-ः॑-ॗঁ-ঃ়-্ً-ٰٕ]+")
 class Name:
     """A distinct spelling of a person's name within a scope."""
 
-    __slots__ = ("text", "tokens", "initials", "scripts", "joined", "given")
+    __slots__ = ("text", "tokens", "initials", "scripts", "joined", "given", "lexicon")
 
-    def __init__(self, text: str):
-        self.text = text
+    def __init__(self, text: str, lexicon: Lexicon = PLAIN_LEXICON):
+        self.text, self.lexicon = text, lexicon
         parts = [p for p in _SPLIT.split(text.replace("'", "").replace("’", "")) if p and not p.isdigit()]
         dotted = re.match(r"^(\w)\.\s?(\w)\.", text)
-        if dotted and dotted[1] + dotted[2] in NICKNAMES:  # two initials that stand for one name
+        if dotted and dotted[1] + dotted[2] in lexicon.nicknames:  # two initials that stand for one name
             parts = [dotted[1] + dotted[2]] + parts[2:]
         parts = [p for p in parts if p not in TITLES] or parts
         full = [p for p in parts if len(p) > 1 or script_of(p) == "other"]
@@ -274,23 +315,32 @@ class Name:
         if len(self.tokens) in (2, 3):  # a given name written apart
             for k in range(len(self.tokens) - 1):
                 both = self.tokens[k] + self.tokens[k + 1]
-                if not known_given(self.tokens[k + 1], self.scripts[k]) and compound_given(both, self.scripts[k]):
+                if not lexicon.known(self.tokens[k + 1], self.scripts[k]) and lexicon.compound(both, self.scripts[k]):
                     self.tokens[k : k + 2] = [both]
                     del self.scripts[k + 1]
                     break
         self.joined = "".join(self.tokens)
-        self.given = frozenset(g for t, s in zip(self.tokens, self.scripts) if (g := known_given(t, s)))
+        self.given = frozenset(g for t, s in zip(self.tokens, self.scripts) if (g := lexicon.known(t, s)))
 
     def codes(self) -> set[str]:
         """Blocking keys: the phonetic codes of the sorted tokens, and the first classes of all of them."""
-        keys = {re.sub("[bv]", "", code(NICKNAMES.get(t, t)))[:3] for t in sorted(self.tokens)}
-        return keys | {"+" + "".join(sorted(code(NICKNAMES.get(t, t))[:1].replace("v", "b") for t in self.tokens))}
+        nick = self.lexicon.nicknames
+        keys = {re.sub("[bv]", "", code(nick.get(t, t)))[:3] for t in sorted(self.tokens)}
+        return keys | {"+" + "".join(sorted(code(nick.get(t, t))[:1].replace("v", "b") for t in self.tokens))}
+
+
+def part_codes(token: str, lexicon: Lexicon) -> set[str]:
+    """Blocking keys of one part: its first consonant classes, the first and the last one, and its given name."""
+    c = re.sub("[bv]", "", code(lexicon.nicknames.get(token, token)))
+    keys = {c[:3], "^" + c[:1], "$" + c[-2:]}
+    return keys | {"=" + g for s in ("latin", "devanagari", "bengali", "arabic") if (g := lexicon.known(token, s))}
 
 
 def same_person(a: Name, b: Name) -> bool:
     """Whether two full names (two tokens at least) are spellings of one."""
     x, y = a.tokens, b.tokens
     sx, sy = a.scripts, b.scripts
+    token_match = a.lexicon.match
     if len(x) == 2 and len(y) == 2:
         if token_match(x[0], y[0], sx[0], sy[0]) and token_match(x[1], y[1], sx[1], sy[1]):
             return True
@@ -323,12 +373,13 @@ class Components:
             self.up[max(a, b)] = min(a, b)
 
 
-def link_persons(texts: list[str], phones: list[frozenset], groups: list[frozenset]) -> list[int]:
+def link_persons(texts: list[str], phones: list[frozenset], groups: list[frozenset], lexicon: Lexicon = PLAIN_LEXICON) -> list[int]:
     """Component of each distinct name of a scope.
 
     ``phones``: identifiers seen near the spelling; ``groups``: (alias group, role) pairs it was declared in.
     """
-    names = [Name(t) for t in texts]
+    names = [Name(t, lexicon) for t in texts]
+    token_match = lexicon.match
     comp = Components(len(names))
     full = [i for i, n in enumerate(names) if len(n.tokens) >= 2]
     blocks: dict[str, list[int]] = defaultdict(list)
@@ -354,6 +405,17 @@ def link_persons(texts: list[str], phones: list[frozenset], groups: list[frozens
         return out
 
     clusters = members()
+    # Components by the codes of their parts: short names meet only those they can belong to.
+    by_part: dict[str, set[int]] = defaultdict(set)
+    codes_of: dict[str, set[str]] = {}
+    for c, m in clusters.items():
+        for t in {t for j in m for t in names[j].tokens}:
+            for k in codes_of.setdefault(t, part_codes(t, lexicon)):
+                by_part[k].add(c)
+
+    def near_parts(t: str) -> list[int]:
+        return sorted(set().union(*(by_part[k] for k in part_codes(t, lexicon) if k in by_part)))
+
     near = {c: frozenset().union(*(phones[i] for i in m)) for c, m in clusters.items()}
     weak: dict[tuple, list[int]] = defaultdict(list)
 
@@ -380,8 +442,8 @@ def link_persons(texts: list[str], phones: list[frozenset], groups: list[frozens
         weak[key].append(i)
         if n.tokens and n.initials:
             t, s, first = n.tokens[0], n.scripts[0], n.initials[0][:1]
-            for c, m in clusters.items():
-                for j in m:
+            for c in near_parts(t):
+                for j in clusters[c]:
                     x = names[j]
                     if len(x.tokens) == 2 and any(
                         token_match(t, x.tokens[k], s, x.scripts[k]) and (x.tokens[1 - k][:1] == first or code(x.tokens[1 - k])[:1] == code(first)[:1] != "") for k in (0, 1)
@@ -391,7 +453,8 @@ def link_persons(texts: list[str], phones: list[frozenset], groups: list[frozens
             attach(i, fits)
         elif n.tokens:
             t, s = n.tokens[0], n.scripts[0]
-            for c, m in clusters.items():
+            for c in near_parts(t):
+                m = clusters[c]
                 if any(token_match(t, names[j].tokens[0], s, names[j].scripts[0]) or token_match(t, names[j].tokens[-1], s, names[j].scripts[-1]) for j in m):
                     fits.append(c)
             attach(i, fits)
@@ -422,18 +485,6 @@ def link_persons(texts: list[str], phones: list[frozenset], groups: list[frozens
     return [comp.find(i) for i in range(len(names))]
 
 
-_GIVEN_SHORT: dict[str, str] = {}
-for _g in sorted(GIVEN):
-    _s = _g
-    for _a, _b in _LONG:
-        _s = _s.replace(_a, _b)
-    _GIVEN_SHORT[_s] = _g
-_GIVEN_CODES = _by_code("")
-_GIVEN_NO_V = _by_code("v")
-_GIVEN_BY_CODE: dict[str, list[str]] = {}
-for _g in sorted(GIVEN):
-    _GIVEN_BY_CODE.setdefault(code(_g).replace("v", "b"), []).append(_g)
-
 LEGAL = frozenset("pvt private ltd limited p inc llp llc plc co corp corporation".split())
 KINDS = {
     "svcs": "services", "service": "services", "consult": "consultants", "consultant": "consultants", "consultancy": "consultants", "co": "company", "agencies": "agency", "trader": "traders", "mill": "mills", "tour": "tours", "travel": "travels",
@@ -466,7 +517,7 @@ def same_kinds(a: tuple, b: tuple) -> bool:
     """Equal kinds, or one a leading part of the other; typing errors allowed."""
     if len(a) > len(b):
         a, b = b, a
-    return all(token_match(x, y, "latin", "latin") for x, y in zip(a, b))
+    return all(PLAIN_LEXICON.match(x, y, "latin", "latin") for x, y in zip(a, b))
 
 
 def same_firm(a: Firm, b: Firm) -> bool:
@@ -479,6 +530,12 @@ def same_firm(a: Firm, b: Firm) -> bool:
     return bool(a.kinds) == bool(b.kinds) and same_kinds(a.kinds, b.kinds)
 
 
+def core_codes(core: str) -> set[str]:
+    """Blocking keys of a firm's core: its first letters, and its first and last consonant classes."""
+    c = code(core)
+    return {"<" + core[:3], "<" + core[:2] + core[3:4], c[:3], ">" + c[-3:]}
+
+
 def link_firms(texts: list[str]) -> list[int]:
     firms = [Firm(t) for t in texts]
     comp = Components(len(firms))
@@ -491,92 +548,104 @@ def link_firms(texts: list[str]) -> list[int]:
             for j in block[p + 1 :]:
                 if comp.find(i) != comp.find(j) and same_firm(firms[i], firms[j]):
                     comp.join(i, j)
-    # A kind that was misspelled or left out: to the only firm with that core.
+    # A kind that was left out: to the only firm whose core is near, by blocks of cores, or whose initials it has.
     cores: dict[str, set[int]] = defaultdict(set)
+    short: dict[str, set[int]] = defaultdict(set)
     for i, f in enumerate(firms):
         if f.kinds:
             cores[f.core].add(comp.find(i))
+            for k in {f.letters, f.acronym}:
+                short[k].add(i)
+    core_blocks: dict[str, list[str]] = defaultdict(list)
+    for k in cores:
+        for b in core_codes(k):
+            core_blocks[b].append(k)
     for i, f in enumerate(firms):
-        if not f.kinds:
-            owners = {comp.find(c) for k, cs in cores.items() if f.core == k or (f.core and f.core.startswith(k) or k and edits(f.core, k, 1) <= 1) for c in cs}
-            if not owners:
-                owners = {comp.find(j) for j, g in enumerate(firms) if g.kinds and len(f.core) >= 3 and (g.letters == f.core or g.acronym == f.core)}
+        if not f.kinds and f.core:
+            near = {k for b in core_codes(f.core) for k in core_blocks.get(b, ())}
+            owners = {comp.find(c) for k in near if k and (f.core == k or f.core.startswith(k) or edits(f.core, k, 1) <= 1) for c in cores[k]}
+            if not owners and len(f.core) >= 3:
+                owners = {comp.find(j) for j in short.get(f.core, ())}
             if len(owners) == 1:
                 comp.join(i, next(iter(owners)))
     return [comp.find(i) for i in range(len(firms))]
 
 
-def _link_group(kind: str, rows: list[tuple]) -> list[tuple[str, int]]:
-    """(id, component) of the rows (id, text, phones, alias group, role) of one scope and type."""
+def _link_group(kind: str, rows: list[tuple], lexicon: Lexicon) -> list[tuple[int, str]]:
+    """(hash, entity) of the distinct spellings (hash, text, phones, [(alias group, role)], first id) of one scope and kind."""
     keys: dict[str, int] = {}
     phones: list[set] = []
     groups: list[set] = []
     at = []
-    for _, text, near, group, role in rows:
+    for _, text, near, declared, _ in rows:
         form = " ".join(consistent_form(text).casefold().split())
         k = keys.setdefault(form, len(keys))
         if k == len(phones):
             phones.append(set())
             groups.append(set())
-        if near:
-            phones[k].update(x for x in near if x)
-        if group and role:
-            groups[k].add((group, role))
+        phones[k].update(x for x in near or () if x)
+        groups[k].update((d["alias_group"], d["alias_role"]) for d in declared or () if d["alias_group"] and d["alias_role"])
         at.append(k)
     texts = list(keys)
     if kind == "PERSON":
-        comp = link_persons(texts, [frozenset(p) for p in phones], [frozenset(g) for g in groups])
+        comp = link_persons(texts, [frozenset(p) for p in phones], [frozenset(g) for g in groups], lexicon)
     else:
         comp = link_firms(texts)
-    return [(r[0], comp[k]) for r, k in zip(rows, at)]
+    first: dict[int, str] = {}
+    for r, k in zip(rows, at):
+        if comp[k] not in first or r[4] < first[comp[k]]:
+            first[comp[k]] = r[4]
+    return [(r[0], first[comp[k]]) for r, k in zip(rows, at)]
 
 
-LINK_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("scope", "kind", "id", "entity")])
+SPELLING_SCHEMA = T.StructType([T.StructField("scope", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("h", T.LongType()), T.StructField("entity", T.StringType())])
 
 
-def link_names(rows: DataFrame) -> DataFrame:
-    """(scope, kind, id, entity) of each named row: ``entity`` is the smallest id of its component.
+def link_names(rows: DataFrame, lexicon: Lexicon = PLAIN_LEXICON) -> DataFrame:
+    """(scope, kind, id, entity, h) of each named row: ``entity`` is the smallest id of its component, ``h`` tells its text.
 
     ``rows``: scope, kind (PERSON or ORGANIZATION), id, text, near array<string>, alias_group, alias_role; blank texts
-    and null scopes are left out, a row delivered twice counts once. One shuffle on the scope; a partition is read as a
-    sorted stream and holds one scope and kind at a time, whose distinct spellings are what is compared.
+    and null scopes are left out, a row delivered twice counts once. Rows are first reduced to the distinct spellings of
+    their scope; a task holds the spellings of one scope and kind at a time, not its rows, and rows get their entity by
+    an equi-join on scope and spelling, so a scope with a third of all rows is spread by its spellings.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, held, last = None, [], None
+        now, held = None, []
 
         def close() -> None:
             if held:
-                linked = _link_group(now[1], held)
-                first: dict[int, str] = {}
-                for i, c in linked:
-                    if c not in first or i < first[c]:
-                        first[c] = i
-                out.extend((now[0], now[1], i, first[c]) for i, c in linked)
+                out.extend((now[0], now[1], h, entity) for h, entity in _link_group(now[1], held, lexicon))
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out)) or [[]] * 4
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=LINK_SCHEMA.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=SPELLING_SCHEMA.names)
 
         for b in batches:
-            for scope, kind, i, text, near, group, role in zip(*(c.to_pylist() for c in b.columns)):
+            for scope, kind, *rest in zip(*(c.to_pylist() for c in b.columns)):
                 if (scope, kind) != now:
                     close()
-                    now, held, last = (scope, kind), [], None
+                    now, held = (scope, kind), []
                     if len(out) > 20_000:
                         yield flush()
-                if i != last:
-                    held.append((i, text, near, group, role))
-                    last = i
+                held.append(tuple(rest))
         close()
         yield flush()
 
     src = rows.select("scope", "kind", "id", "text", "near", "alias_group", "alias_role").filter(
         F.col("scope").isNotNull() & F.col("id").isNotNull() & F.col("kind").isin("PERSON", "ORGANIZATION") & (F.length(F.trim("text")) > 0)
     )
-    return src.repartition("scope").sortWithinPartitions("scope", "kind", "id").mapInArrow(run, LINK_SCHEMA)
+    src = src.withColumn("h", F.xxhash64("text", F.length("text")))
+    declared = F.when(F.col("alias_group").isNotNull() & F.col("alias_role").isNotNull(), F.struct("alias_group", "alias_role"))
+    spellings = src.groupBy("scope", "kind", "h").agg(
+        F.min("text").alias("text"), F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"), F.collect_set(declared).alias("declared"), F.min("id").alias("first_id")
+    )
+    spellings = spellings.select("scope", "kind", "h", "text", "near", "declared", "first_id").repartition("scope").sortWithinPartitions("scope", "kind", "h")
+    linked = spellings.mapInArrow(run, SPELLING_SCHEMA)
+    once = src.groupBy("scope", "kind", "id").agg(F.min("h").alias("h"))
+    return once.join(linked, ["scope", "kind", "h"]).select("scope", "kind", "id", "entity", "h")
 
 
 def entity_mentions(entities: DataFrame) -> DataFrame:
@@ -587,11 +656,12 @@ def entity_mentions(entities: DataFrame) -> DataFrame:
     )
 
 
-def variant_pairs(links: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id_a, id_b) of linked rows whose texts differ in code points, id_a < id_b."""
-    texts = rows.select("id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).dropDuplicates(["id"])
-    d = links.join(texts, "id")
-    several = d.groupBy("scope", "kind", "entity").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("scope", "kind", "entity")
-    d = d.join(several, ["scope", "kind", "entity"]).select("scope", "kind", "entity", "id", "h")
-    a, b = d.toDF("scope", "kind", "entity", "id_a", "h_a"), d.toDF("scope", "kind", "entity", "id_b", "h_b")
-    return a.join(b, ["scope", "kind", "entity"]).filter("id_a < id_b AND h_a <> h_b").select("id_a", "id_b")
+def variant_pairs(links: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(id_a, id_b) of linked rows whose texts differ in code points, id_a < id_b.
+
+    The text of a row is told by the hash that ``link_names`` gives with it; only entities with several spellings are joined.
+    """
+    several = links.groupBy("scope", "kind", "entity").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("scope", "kind", "entity")
+    d = links.join(several, ["scope", "kind", "entity"], "left_semi").select("entity", "kind", "id", "h")
+    a, b = d.toDF("entity", "kind", "id_a", "h_a"), d.toDF("entity", "kind", "id_b", "h_b")
+    return a.join(b, ["entity", "kind"]).filter("id_a < id_b AND h_a <> h_b").select("id_a", "id_b")

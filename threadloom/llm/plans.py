@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.gazetteer import entity_rows, learn
+from threadloom.llm.gazetteer import entity_rows, learn, learn_variants
 from threadloom.llm.languages import document_languages, fit_model, language_segments
 from threadloom.llm.lookalikes import normalized, same_look_pairs
-from threadloom.llm.names import entity_mentions, link_names, variant_pairs
+from threadloom.llm.names import entity_mentions, lexicon_of, link_names, variant_pairs
 from threadloom.llm.packing import fill_report, pack
 from threadloom.llm.personal import SpanModel, masked_texts, personal_spans
 from threadloom.llm.personal import fit_model as fit_span_model
@@ -80,19 +80,23 @@ def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     return normalized(rows, "raw_text").select("id", "consistent_text")
 
 
-def _mentions(spark: SparkSession, d: str) -> DataFrame:
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of persons and organisations with their entity; given names and short forms are learnt of all mentions."""
     ship(spark)
-    return entity_mentions(table(spark, d, "entities").filter("entity_type IN ('PERSON', 'ORGANIZATION')"))
+    entities = table(spark, d, "entities")
+    mentions = entity_rows(entities)
+    known = learn(mentions)
+    lexicon = lexicon_of(known, learn_variants(mentions, known))
+    return link_names(entity_mentions(entities.filter("entity_type IN ('PERSON', 'ORGANIZATION')")), lexicon)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = _mentions(spark, d)
-    return variant_pairs(link_names(rows), rows)
+    return variant_pairs(_named(spark, d))
 
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     """Each named row with the entity it belongs to and how many rows that has."""
-    links = link_names(_mentions(spark, d))
+    links = _named(spark, d)
     sizes = links.groupBy("scope", "kind", "entity").agg(F.count("*").alias("n_rows"))
     return links.join(sizes, ["scope", "kind", "entity"]).select(F.col("scope").alias("intake_id"), "kind", "id", "entity", "n_rows")
 
