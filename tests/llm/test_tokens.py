@@ -80,3 +80,33 @@ def test_pack(spark):
         assert g.n_units.sum() / (g.container_id.nunique() * cap) > 0.9
         assert not ((g.groupby("item_id").size() > 1) & ~(g.groupby("item_id").n_units.sum() > cap)).any()
     assert pk.fill_report(pk.pack(df.limit(0), [(1, 100)], "doc_id", "n", 0)).count() == 0
+
+
+def test_long_words_by_the_same_rule():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from threadloom.llm.tokens import TOKENIZER, CorpusEncoder
+
+    lib = Tokenizer.from_file(TOKENIZER)
+    lib.encode_special_tokens = True
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), "a" * 50_001, "ab" * 9_999, "警察搜查了" * 3_000, "ตำรวจ" * 2_000]
+    enc = CorpusEncoder()
+    enc.pairs.ROWS = 200_000  # several queries for one word
+    got = [x for part in enc.encode(words) for x in part.to_pylist()]
+    assert got == [lib.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_words_with_one_hash():
+    """Two words whose hashes are equal are told apart by their text."""
+    import numpy as np
+
+    from threadloom.llm.tokens import CorpusEncoder
+
+    text = "ab cd ab"
+    cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    starts, ends = np.array([0, 2, 5]), np.array([2, 5, 8])
+    first, back = CorpusEncoder._distinct(cps, starts, ends, np.zeros(3, np.uint64), text)
+    assert [text[starts[f] : ends[f]] for f in first] == ["ab", " cd", " ab"] and back.tolist() == [0, 1, 2]

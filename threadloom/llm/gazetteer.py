@@ -184,7 +184,7 @@ def learn_variants(mentions: DataFrame, gazetteer: Gazetteer) -> dict[str, str]:
         return {}
     t = F.lower(F.translate(F.translate("text", ZERO_WIDTH, ""), PLAIN_FROM, PLAIN_TO))
     words = F.filter(F.split(F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\-]+", " ")), " "), lambda w: F.length(w) > 1)
-    two = mentions.filter("kind = 'PERSON' AND scope IS NOT NULL AND text IS NOT NULL").select("scope", words.alias("w")).filter(F.size("w") == 2).distinct()
+    two = mentions.filter("kind = 'PERSON' AND scope IS NOT NULL AND text IS NOT NULL").select("scope", words.alias("w")).filter(F.size("w") == 2)
     kinds = F.broadcast(spark.createDataFrame(known, "token string, k string"))
     two = two.select("scope", F.col("w")[0].alias("x"), F.col("w")[1].alias("y"))
     pairs = two.join(kinds.toDF("x", "kx"), "x").join(kinds.toDF("y", "ky"), "y").filter("kx <> ky")

@@ -1,10 +1,13 @@
 """Token ids of a public byte-level BPE vocabulary for a whole corpus.
 
 Texts of an Arrow batch are one array of code points. The split into words is vectorised (classes of the code points,
-runs, and the rules for blanks and contractions), and each distinct word is told by a hash of its code points, so a word
-is encoded once per worker. New words are encoded by DuckDB: rows of (word, position, token) are joined with the merge
-table, and a recursive query contracts each word's leftmost pair of least rank, wherever it occurs in the word, until
-no word has a pair that merges; an ordered aggregation gives the ids of each word.
+runs, and the rules for blanks and contractions); the words of a batch are found by a hash, whose equality is checked on
+the code points, and known by their text, so a word is encoded once per worker. New words are cut where no token of the
+vocabulary has the two bytes side by side, which no merge can cross. The pieces are encoded by DuckDB: rows of (piece,
+position, token) are joined with the merge table, and a recursive query contracts the leftmost pair of least rank of
+each piece, with every further occurrence of that pair, until no piece has a pair that merges; an ordered aggregation
+gives the ids of each piece. A merge makes a token of higher rank than its own, so the further occurrences are those
+that would be contracted next, and one rule holds for pieces of every length.
 """
 
 from __future__ import annotations
@@ -121,13 +124,16 @@ def byte_symbols() -> list[str]:
 class PairEncoder:
     """Byte-pair encoding of distinct words in DuckDB."""
 
+    #: Symbols that are encoded at once, and rows of one recursive query, which bound the memory without a spill folder.
+    BATCH, ROWS = 100_000, 3_000_000
+
     def __init__(self, path: str):
         import duckdb
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        vocab = model["vocab"]
-        self.bytes = np.array([vocab[s] for s in byte_symbols()], np.int32)
+        vocab, symbols = model["vocab"], byte_symbols()
+        self.bytes = np.array([vocab[s] for s in symbols], np.int32)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         merges = pa.table(
             {
@@ -137,75 +143,95 @@ class PairEncoder:
                 "made": pa.array([vocab[a + b] for a, b in pairs], pa.int32()),
             }
         )
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        byte_of = {s: b for b, s in enumerate(symbols)}
+        #: Whether two bytes stand side by side in any token: between others no merge can reach.
+        self.together = np.zeros((256, 256), bool)
+        for a, b in pairs:
+            t = np.array([byte_of[c] for c in a + b])
+            self.together[t[:-1], t[1:]] = True
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.con.register("merge_rows", merges)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         self.con.unregister("merge_rows")
 
-    #: Words of up to so many bytes contract one pair a round; longer ones every occurrence of their least pair.
-    SHORT = 48
-
-    ONE = """
-    WITH RECURSIVE step(word, pos, tok, active) AS (
-        SELECT word, pos, tok, true FROM symbols WHERE word IN (SELECT word FROM symbols GROUP BY word HAVING count(*) <= {short})
-        UNION ALL
-        (WITH paired AS (
-            SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS after
-            FROM step WHERE active WINDOW w AS (PARTITION BY word ORDER BY pos)),
-        best AS (  -- least rank, then leftmost; positions are below 64
-            SELECT word, min(key) AS key, arg_min(made, key) AS made
-            FROM (SELECT p.word, (m.rank::BIGINT << 12) | (p.pos << 6) | p.after AS key, m.made FROM paired p JOIN merges m ON p.tok = m.l AND p.nxt = m.r) GROUP BY word)
-        SELECT p.word, p.pos, CASE WHEN p.pos = (b.key >> 6) & 63 THEN b.made ELSE p.tok END, b.word IS NOT NULL
-        FROM paired p LEFT JOIN best b ON p.word = b.word WHERE b.word IS NULL OR p.pos <> b.key & 63)
-    )
-    SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT active GROUP BY word ORDER BY word
-    """
-
-    ALL = """
-    WITH RECURSIVE step(word, pos, tok, active) AS (
-        SELECT word, pos, tok, true FROM symbols WHERE word IN (SELECT word FROM symbols GROUP BY word HAVING count(*) > {short})
+    CONTRACT = """
+    CREATE OR REPLACE TEMP TABLE reached AS
+    WITH RECURSIVE step(word, pos, tok, active, depth) AS (
+        SELECT word, pos, tok, true, 0 FROM symbols
         UNION ALL
         (WITH paired AS (
-            SELECT s.word, s.tok, row_number() OVER w AS k, lead(s.tok) OVER w AS nxt
-            FROM step s WHERE s.active WINDOW w AS (PARTITION BY s.word ORDER BY s.pos)),
+            SELECT word, pos, tok, depth, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM step WHERE active AND depth < {rounds}),
         ranked AS (
             SELECT p.*, m.rank, m.made, min(m.rank) OVER (PARTITION BY p.word) AS least
             FROM paired p LEFT JOIN merges m ON p.tok = m.l AND p.nxt = m.r),
-        hits AS (
-            SELECT *, rank IS NOT NULL AND rank = least AS hit,
-                   row_number() OVER (PARTITION BY word, (rank IS NOT NULL AND rank = least) ORDER BY k) AS j FROM ranked),
-        chosen AS (  -- of hits side by side, which share a sign, every second one from the left
-            SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, k - j ORDER BY k) % 2 = 1 AS take FROM hits),
+        hits AS (  -- the least pair and its further occurrences; those side by side share a symbol
+            SELECT *, coalesce(rank = least, false) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS k FROM ranked),
+        chosen AS (  -- of a run of such occurrences every second one, from the left
+            SELECT *, hit AND (k - max(CASE WHEN NOT hit THEN k ELSE 0 END) OVER (PARTITION BY word ORDER BY pos)) % 2 = 1 AS take FROM hits),
         marked AS (
-            SELECT *, coalesce(lag(take) OVER (PARTITION BY word ORDER BY k), false) AS gone FROM chosen)
-        SELECT word, k AS pos, CASE WHEN take THEN made ELSE tok END, least IS NOT NULL FROM marked WHERE NOT gone)
+            SELECT *, coalesce(lag(take) OVER (PARTITION BY word ORDER BY pos), false) AS gone FROM chosen)
+        SELECT word, pos, CASE WHEN take THEN made ELSE tok END, least IS NOT NULL, depth + 1 FROM marked WHERE NOT gone)
     )
-    SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE NOT active GROUP BY word ORDER BY word
+    SELECT word, pos, tok, active FROM step WHERE NOT active OR depth = {rounds}
     """
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, number of ids of each word)."""
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, number of ids of each piece) of pieces that are worked on at once."""
         sizes = np.array([len(w) for w in words], np.int64)
-        if not len(words):
-            return np.empty(0, np.int32), sizes
         raw = np.frombuffer(b"".join(words), np.uint8)
         firsts = np.cumsum(sizes) - sizes
-        symbols = pa.table(
+        rows = pa.table(
             {
                 "word": pa.array(np.repeat(np.arange(len(words), dtype=np.int32), sizes)),
                 "pos": pa.array(np.arange(len(raw), dtype=np.int64) - np.repeat(firsts, sizes)),
                 "tok": pa.array(self.bytes[raw]),
             }
         )
-        self.con.register("symbol_rows", symbols)
-        self.con.execute("CREATE OR REPLACE TEMP TABLE symbols AS SELECT * FROM symbol_rows")
-        self.con.unregister("symbol_rows")
-        parts = [self.con.sql(q.format(short=self.SHORT)).to_arrow_table() for q, some in ((self.ONE, (sizes <= self.SHORT).any()), (self.ALL, (sizes > self.SHORT).any())) if some]
-        got = pa.concat_tables(parts).sort_by("word").combine_chunks()
+        done = []
+        while rows.num_rows:
+            self.con.register("symbol_rows", rows)
+            self.con.execute("CREATE OR REPLACE TEMP TABLE symbols AS SELECT * FROM symbol_rows")
+            self.con.unregister("symbol_rows")
+            self.con.execute(self.CONTRACT.format(rounds=max(1, min(64, self.ROWS // rows.num_rows))))
+            done.append(self.con.sql("SELECT word, list(tok ORDER BY pos) AS ids FROM reached WHERE NOT active GROUP BY word").to_arrow_table())
+            rows = self.con.sql("SELECT word, pos, tok FROM reached WHERE active").to_arrow_table()
+        got = pa.concat_tables(done).sort_by("word").combine_chunks()
         ids = got.column("ids").chunk(0)
         offsets = ids.offsets.to_numpy()
         return ids.values.to_numpy().astype(np.int32)[offsets[0] : offsets[-1]], np.diff(offsets)
 
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, number of ids of each word)."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        joined = b"".join(words)
+        if not joined:
+            return np.empty(0, np.int32), np.zeros(len(words), np.int64)
+        raw = np.frombuffer(joined, np.uint8)
+        firsts = np.cumsum(sizes) - sizes
+        start = np.ones(len(raw), bool)
+        start[1:] = ~self.together[raw[:-1], raw[1:]]
+        start[firsts[sizes > 0]] = True
+        at = np.append(np.flatnonzero(start), len(raw)).tolist()
+        known: dict[bytes, int] = {}
+        piece = np.array([known.setdefault(joined[a:b], len(known)) for a, b in zip(at, at[1:])], np.int64)
+        flats, counts, batch, size = [], [], [], 0
+        for p in (*known, None):
+            if p is None or size + len(p) > self.BATCH and batch:
+                f, n = self._contract(batch)
+                flats.append(f)
+                counts.append(n)
+                batch, size = [], 0
+            if p is not None:
+                batch.append(p)
+                size += len(p)
+        flat, n = np.concatenate(flats), np.concatenate(counts)
+        begin = np.cumsum(n) - n
+        per = n[piece]
+        inside = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        total = np.concatenate([[0], np.cumsum(per)])
+        bounds = np.searchsorted(at, np.append(firsts, len(raw)))
+        return flat[np.repeat(begin[piece], per) + inside], np.diff(total[bounds])
+
 
 class CorpusEncoder:
     """Ids of texts; keeps the ids of words that were met."""
@@ -215,12 +241,12 @@ class CorpusEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.flat = np.empty(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
 
-    def _learn(self, words: dict[int, str]) -> None:
-        flat, sizes = self.pairs.encode([w.encode("utf-8", "replace") for w in words.values()])
+    def _learn(self, words: list[str]) -> None:
+        flat, sizes = self.pairs.encode([w.encode("utf-8", "replace") for w in words])
         base = len(self.known)
         self.known.update(zip(words, range(base, base + len(words))))
         self.flat = np.concatenate([self.flat, flat])
@@ -231,8 +257,8 @@ class CorpusEncoder:
         if len(self.known) > KEPT_WORDS:
             self._forget()
         counts = np.zeros(len(texts), np.int64)
-        met: list[tuple[np.ndarray, np.ndarray]] = []
-        new: dict[int, str] = {}
+        met: list[tuple[list[str], np.ndarray]] = []
+        new: dict[str, None] = {}
         i = 0
         while i < len(texts):
             k, size = i, 0
@@ -246,18 +272,32 @@ class CorpusEncoder:
                 cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
                 starts, h = self.splitter.split(cps, begins[lens > 0])
                 counts[i:k] = np.searchsorted(starts, begins + lens) - np.searchsorted(starts, begins)
-                uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
                 ends = np.append(starts[1:], len(cps))
-                for u, f in zip(uniq.tolist(), first.tolist()):
-                    if u not in self.known and u not in new:
-                        new[u] = joined[starts[f] : ends[f]]
-                met.append((uniq, back))
+                first, back = self._distinct(cps, starts, ends, h, joined)
+                words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+                new.update((w, None) for w in words if w not in self.known)
+                met.append((words, back))
             i = k
         if new:
-            self._learn(new)
+            self._learn(list(new))
         if not met:
             return np.empty(0, np.int64), counts
-        return np.concatenate([np.array([self.known[u] for u in uniq.tolist()], np.int64)[back] for uniq, back in met]), counts
+        return np.concatenate([np.array([self.known[w] for w in words], np.int64)[back] for words, back in met]), counts
+
+    @staticmethod
+    def _distinct(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """(first occurrence of each distinct word, number of its word of each occurrence)."""
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        size, like = ends - starts, first[back]
+        if np.array_equal(size, size[like]) and np.array_equal(cps[starts[0] : ends[-1]], cps[np.arange(len(cps)) + np.repeat(starts[like] - starts, size)]):
+            return first, back
+        seen: dict[str, int] = {}  # two words with one hash: by their text instead
+        at = []
+        for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+            if joined[a:b] not in seen:
+                seen[joined[a:b]] = len(at)
+                at.append(k)
+        return np.array(at, np.int64), np.array([seen[joined[a:b]] for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
 
     def sizes(self, texts: list[str | None]) -> np.ndarray:
         """Number of tokens of each text."""
