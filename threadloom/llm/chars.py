@@ -9,6 +9,14 @@ LOOKALIKE = "АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝ
 LATIN_OF = "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwvagoABEZHIKMNOPTYXYaiovpuc"
 assert len(LOOKALIKE) == len(LATIN_OF)
 
+#: Letters of further scripts that are drawn like a Latin letter: script to (its letters, the Latin ones). Fixed values
+#: (Unicode confusables, whole-shape ones only).
+MORE_LOOKALIKES = {
+    "armenian": ("ՍՕօսոհցզյ", "UOounhgqj"),
+    "cherokee": ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEHJKLMPRSTVWZ"),
+    "lisu": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHJKLMNOPRSTUVWXYZ"),
+}
+
 #: Every kind of blank but the line breaks.
 BLANKS = "\t  " + "".join(map(chr, range(0x2000, 0x200B))) + "  　"
 BREAKS = "\x0b\x0c\x85  "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.gazetteer import entity_rows, learn, learn_variants
 from threadloom.llm.languages import document_languages, fit_model, language_segments
-from threadloom.llm.lookalikes import normalized, same_look_pairs
+from threadloom.llm.lookalikes import look_classes, normalized, same_look_pairs
 from threadloom.llm.names import entity_mentions, lexicon_of, link_names, variant_pairs
 from threadloom.llm.packing import fill_report, pack
 from threadloom.llm.personal import SpanModel, masked_texts, personal_spans
@@ -63,16 +63,26 @@ def p2_masked(spark: SparkSession, d: str) -> DataFrame:
     return masked_texts(_texts(spark, d), _span_model(spark, d))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _texts_of_intakes(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     rows = None
     for name in ("entities", "source_documents"):
         t = table(spark, d, name).select(F.concat_ws(":", F.lit(name), "intake_id").alias("scope"), "id", F.col("raw_text").alias("text")).filter("intake_id IS NOT NULL")
         rows = t if rows is None else rows.unionByName(t)
-    pairs = same_look_pairs(rows)
+    return rows
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = same_look_pairs(_texts_of_intakes(spark, d))
     return pairs.select(F.substring_index("scope", ":", 1).alias("src_table"), "id_a", "id_b")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each row whose text is also spelled with other characters in its intake, with its class and the class's size."""
+    c = look_classes(_texts_of_intakes(spark, d))
+    return c.select(F.substring_index("scope", ":", 1).alias("src_table"), F.expr("substring(scope, instr(scope, ':') + 1)").alias("intake_id"), "id", "class_id", "n_rows", "n_spellings")
+
+
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every mention."""
     ship(spark)
@@ -135,7 +145,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).filter(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
 
 
-_ALL = (p1_found, p1_segments, p1_documents, p2_found, p2_spans, p2_masked, p3_found, p3_entities, p4_found, p4_entities, p6_found)
+_ALL = (p1_found, p1_segments, p1_documents, p2_found, p2_spans, p2_masked, p3_found, p3_classes, p3_entities, p4_found, p4_entities, p6_found)
 _ALL += (p8_ids, p8_counts, p9_containers, p9_report, p10_found, p10_statistics)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
