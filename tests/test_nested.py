@@ -77,3 +77,45 @@ def test_operator(spark):
     flat = flat_table(rows, "calls", {"caller": "string", "duration_seconds": "int"}).orderBy("ordinal").collect()
     assert [(r.caller, r.duration_seconds) for r in flat] == [("1", 5), ("2", None)]
     assert flatten_payloads(df.limit(0)).count() == 0
+
+
+def test_checks_agree_with_a_parser():
+    """Random damage to payloads: the vectorised check accepts what a strict parser accepts."""
+    import json
+    import random
+
+    from threadloom.operators.nested import check_payloads
+
+    def strict(t):
+        try:
+            json.JSONDecoder(parse_constant=lambda _: 1 / 0).decode(t)
+            return True
+        except (ValueError, ZeroDivisionError):
+            return False
+
+    r = random.Random(11)
+    seeds = ['{"a":[1,2,{"b":"x\\\\\\"y"}],"c":null}', "[]", '"s"', "1", '[{"a":{}},[[]],true]', ' {"k" : -1.5e3 , "l":[ ] } ', '"\\u12ab\\n"', '{"a":"{\\"b\\":[1]}"}', ""]
+    cases = list(seeds)
+    for _ in range(6000):
+        t = list(r.choice(seeds))
+        for _ in range(r.randint(1, 3)):
+            k = r.randrange(len(t) + 1)
+            if r.random() < 0.4 and t:
+                t.pop(min(k, len(t) - 1))
+            else:
+                t.insert(k, r.choice('{}[]",:1ae\\ntruefalsn. -u0\t\n'))
+        cases.append("".join(t))
+    for k in range(0, len(cases), 700):
+        part = cases[k : k + 700]
+        assert [not reason for reason, _ in check_payloads([t.encode() for t in part])] == [strict(t) for t in part]
+
+
+def test_any_depth(spark):
+    from threadloom.operators.nested import flatten_payloads, rejected_payloads
+
+    n = 8000
+    deep = '{"calls":[' + '{"periods":[' * n + '"x"' + "]}" * n + "]}"
+    df = spark.createDataFrame([("d", deep), ("e", deep[:-1]), ("f", '"{\\"calls\\":[1,}"'), ("g", None), ("h", " "), ("i", '{"calls":[{}]}')], "id string, structured string")
+    got = flatten_payloads(df, values=False).groupBy("document_id").count().collect()
+    assert {r["document_id"]: r["count"] for r in got} == {"d": n + 1, "i": 1}
+    assert {(r.document_id, r.reason) for r in rejected_payloads(df).collect()} == {("e", "brackets"), ("f", "brackets"), ("h", "blank")}

@@ -4,12 +4,14 @@ All payloads of an Arrow batch are one byte buffer. Bitmaps of quotes, brackets
 running sum of the unescaped quotes tells what lies inside strings, a running sum of the brackets gives the nesting
 depth. Sorted by (document, depth), the delimiters of one container lie together, so element positions are counts
 within it, and the delimiter before a bracket belongs to the container that encloses it. Paths and spans are read off
-these arrays; no tree is built. A strict parse then only decides whether a text is valid JSON at all.
+these arrays. Whether a text is valid JSON is decided on the same bitmaps, by the token that may follow another one in a
+container of its kind; no tree is built, nothing is recursive, and a payload may be nested to any depth.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +40,162 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\r\n")] = True
 
 
-def _refuse(name: str) -> None:
-    raise ValueError(name)
+_SCALAR = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null")
+_HEX = np.zeros(256, bool)
+_HEX[list(b"0123456789abcdefABCDEF")] = True
+_ESCAPE = np.zeros(256, bool)
+_ESCAPE[list(b'"\\/bfnrtu')] = True
 
 
-_decode = json.JSONDecoder(parse_constant=_refuse).decode
+def check_payloads(texts: list[bytes]) -> list[tuple[str, int]]:
+    """(reason why it is no JSON or "", first byte of the value) of each text, by vectorised checks of the whole batch.
+
+    Reasons: blank, quotes (unbalanced), brackets (unbalanced or of two kinds), order (of the tokens), text (a bare
+    control sign or a wrong escape in a string), value (a word that is no number, true, false or null).
+    """
+    out: list[tuple[str, int]] = [("", 0)] * len(texts)
+    first = [t.lstrip(b" \t\r\n")[:1] for t in texts]
+    live = []
+    for i, f in enumerate(first):
+        out[i] = ("blank", 0) if not f else ("order", 0) if texts[i].endswith(b"\\") else ("", f[0])  # a backslash may not reach the next text
+        if not out[i][0]:
+            live.append(i)
+
+    def drop(bad: np.ndarray, reason: str) -> None:
+        nonlocal live
+        for k in np.flatnonzero(bad).tolist():
+            out[live[k]] = (reason, 0)
+        live = [i for i, b in zip(live, bad.tolist()) if not b]
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(texts[i]) for i in live], np.int64)
+        return np.frombuffer(b"".join(texts[i] for i in live), np.uint8), np.cumsum(sizes) - sizes, np.cumsum(sizes)
+
+    if not live:
+        return out
+    buf, starts, ends = joined()
+    quotes = _unescaped(buf, np.flatnonzero(_QUOTE[buf]))
+    # A backslash may stand outside strings only in invalid texts, which the values' check finds.
+    odd = ((np.searchsorted(quotes, ends) - np.searchsorted(quotes, starts)) & 1).astype(bool)
+    if odd.any():
+        drop(odd, "quotes")
+        if not live:
+            return out
+        buf, starts, ends = joined()
+        quotes = _unescaped(buf, np.flatnonzero(_QUOTE[buf]))
+
+    def brackets() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        marks = np.flatnonzero(_OPEN[buf] | _CLOSE[buf])
+        marks = marks[(np.searchsorted(quotes, marks) & 1) == 0]
+        step = np.where(_OPEN[buf[marks]], 1, -1)
+        return marks, step, np.cumsum(step), np.searchsorted(ends, marks, side="right")
+
+    marks, step, level, doc = brackets()
+    lo, hi = np.searchsorted(marks, starts), np.searchsorted(marks, ends)
+    base = np.concatenate([[0], level])[lo]
+    wrong = np.concatenate([[0], level])[hi] != base
+    below = np.flatnonzero(level - base[doc] < 0) if len(marks) else np.empty(0, np.int64)
+    wrong[doc[below]] = True
+    if wrong.any():
+        drop(wrong, "brackets")
+        if not live:
+            return out
+        buf, starts, ends = joined()
+        quotes = _unescaped(buf, np.flatnonzero(_QUOTE[buf]))
+        marks, step, level, doc = brackets()
+    n_docs = len(live)
+    bad = {r: np.zeros(n_docs, bool) for r in ("brackets", "order", "text", "value")}
+    # Tokens in order: brackets, commas and colons as they are, strings as S, other words as V.
+    inside = np.zeros(len(buf) + 1, np.int8)
+    inside[quotes[0::2]] = 1
+    inside[quotes[1::2] + 1] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    word = ~(inside | _BLANK[buf] | _DELIM[buf])
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    begins[starts] = word[starts]
+    v_at = np.flatnonzero(begins)
+    d_at = np.flatnonzero(_DELIM[buf] & ~inside)
+    at = np.concatenate([d_at, quotes[0::2], v_at])
+    kind = np.concatenate([buf[d_at], np.full(len(quotes) // 2, ord("S"), np.uint8), np.full(len(v_at), ord("V"), np.uint8)])
+    order = np.argsort(at, kind="stable")
+    at, kind = at[order], kind[order]
+    doc = np.searchsorted(ends, at, side="right")
+    opens, closes = _OPEN[kind], _CLOSE[kind]
+    depth = np.cumsum(opens.astype(np.int64) - closes.astype(np.int64))
+    # Container of a token: for brackets the one they make, for others the one that they are in. Sorted by depth, the
+    # tokens of one container follow its opening bracket.
+    own = depth + closes
+    by = np.lexsort((np.arange(len(at)), own))
+    opener = np.empty(len(at), np.int64)
+    opener[by] = np.maximum.accumulate(np.where(opens[by] | (own[by] == 0), np.arange(len(by)), 0))
+    holder = by[opener]  # the opening bracket, or the token itself at the root
+    holds = kind[holder]
+    root = own == 0
+    bad["brackets"][doc[closes & (((kind == ord("}")) & (holds != ord("{"))) | ((kind == ord("]")) & (holds != ord("["))))]] = True
+    # Kind of the container around the token: for an opening bracket that of its parent.
+    around = np.where(root, ord("^"), holds)
+    up = opens & (own > 1)
+    if up.any():
+        # The last opening bracket of the parent's depth before the token.
+        o_at = np.flatnonzero(opens)
+        key = own[o_at] * (len(at) + 1) + o_at
+        sort = np.argsort(key, kind="stable")
+        want = (own[up] - 1) * (len(at) + 1) + np.flatnonzero(up)
+        found = o_at[sort][np.searchsorted(key[sort], want, side="left") - 1]
+        around[up] = kind[found]
+    around[opens & (own == 1)] = ord("^")
+    previous = np.empty(len(kind), np.uint8)
+    previous[1:] = kind[:-1]
+    first_of = np.ones(len(kind), bool)
+    first_of[1:] = doc[1:] != doc[:-1]
+    previous[first_of] = ord("^")
+    is_s, is_v = kind == ord("S"), kind == ord("V")
+    in_obj, in_arr = around == ord("{"), around == ord("[")
+    after_start = (previous == ord("{")) | (previous == ord(","))
+    key_token = is_s & in_obj & after_start
+    was_key = np.zeros(len(kind), bool)
+    was_key[1:] = key_token[:-1]
+    value_end = ((previous == ord("S")) & ~was_key) | (previous == ord("V")) | (previous == ord("}")) | (previous == ord("]"))
+    begins_value = opens | is_v | (is_s & ~key_token)
+    good = np.select(
+        [begins_value & (around == ord("^")), begins_value & in_arr, begins_value, key_token, kind == ord(":"), kind == ord(","), kind == ord("}")],
+        [previous == ord("^"), (previous == ord("[")) | (previous == ord(",")), previous == ord(":"), True, was_key & in_obj, value_end & (in_obj | in_arr), (previous == ord("{")) | value_end],
+        (previous == ord("[")) | value_end,
+    )
+    bad["order"][doc[~good]] = True
+    # Strings: no bare control signs, and every escape is a known one.
+    control = np.flatnonzero((buf < 32) & inside)
+    bad["text"][np.searchsorted(ends, control, side="right")] = True
+    bs = np.flatnonzero(_BACKSLASH[buf] & inside)
+    if len(bs):
+        head = np.ones(len(bs), bool)
+        head[1:] = bs[1:] != bs[:-1] + 1
+        run = np.maximum.accumulate(np.where(head, np.arange(len(bs)), 0))
+        esc = bs[((np.arange(len(bs)) - run) & 1) == 0]
+        nxt = buf[np.minimum(esc + 1, len(buf) - 1)]
+        fail = ~_ESCAPE[nxt]
+        for k in range(2, 6):
+            fail |= (nxt == ord("u")) & ~_HEX[buf[np.minimum(esc + k, len(buf) - 1)]]
+        bad["text"][np.searchsorted(ends, esc[fail], side="right")] = True
+    raw = buf.tobytes()
+    stops = np.flatnonzero(word & ~np.append(word[1:], False))
+    cut = np.searchsorted(ends, v_at, side="right")
+    stop_at = np.minimum(stops[np.searchsorted(stops, v_at)] + 1, ends[cut]) if len(v_at) else v_at
+    met: dict[bytes, bool] = {}
+    for a, b, d in zip(v_at.tolist(), stop_at.tolist(), cut.tolist()):
+        w = raw[a:b]
+        ok = met.get(w)
+        if ok is None:
+            ok = met[w] = _SCALAR.fullmatch(w) is not None
+        if not ok:
+            bad["value"][d] = True
+    for k in range(n_docs):
+        for reason in ("brackets", "value", "text", "order"):
+            if bad[reason][k]:
+                out[live[k]] = (reason, 0)
+                break
+    return out
 
 
 def _unescaped(buf: np.ndarray, quotes: np.ndarray) -> np.ndarray:
@@ -193,16 +346,6 @@ class _Index:
         return int(np.searchsorted(self.quotes, at))
 
 
-def _valid(text: str | None):
-    """(parsed, True) of valid JSON, else (None, False)."""
-    if text is None:
-        return None, False
-    try:
-        return _decode(text), True
-    except (ValueError, RecursionError):
-        return None, False
-
-
 def shred(ids: list, payloads: list, values: bool = True) -> list[tuple]:
     """(document_id, node, node_path, parent_path, ordinal, value) of all payloads of a batch."""
     out: list[tuple] = []
@@ -210,13 +353,14 @@ def shred(ids: list, payloads: list, values: bool = True) -> list[tuple]:
     work = [(i, None, "", "", t) for i, t in zip(ids, payloads)]
     while work:
         batch, again = [], []
-        for i, field, path, parent, text in work:
-            value, good = _valid(text)
-            if not good:
+        work = [w for w in work if w[4] is not None]
+        checked = check_payloads([w[4].encode("utf-8", "surrogatepass") for w in work])
+        for (i, field, path, parent, text), (reason, head) in zip(work, checked):
+            if reason:
                 continue
-            if isinstance(value, str):
-                again.append((i, field, path, parent, value))
-            elif isinstance(value, (dict, list)):
+            if head == ord('"'):
+                again.append((i, field, path, parent, json.loads(text)))
+            elif head in b"{[":
                 # Text inside a field is indexed as that field of a small document.
                 batch.append((i, field, path, parent, text if field is None else "{" + json.dumps(field) + ":" + text + "}"))
         rows, inner = index_payloads([b[4].encode("utf-8", "surrogatepass") for b in batch], values=values)
@@ -257,6 +401,31 @@ def flatten_payloads(docs: DataFrame, id_col: str = "id", payload_col: str = "st
     return src.filter(F.col("payload").isNotNull()).mapInArrow(run, NODE_SCHEMA)
 
 
+REJECT_SCHEMA = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("n_bytes", T.IntegerType())])
+
+
+def rejected_payloads(docs: DataFrame, id_col: str = "id", payload_col: str = "structured") -> DataFrame:
+    """(document_id, reason, n_bytes) of every payload that is no JSON, also inside a JSON string. Nulls are no payloads. Map-only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            work = [(i, t, len(t.encode("utf-8", "surrogatepass"))) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            while work:
+                again = []
+                for (i, t, n), (reason, head) in zip(work, check_payloads([w[1].encode("utf-8", "surrogatepass") for w in work])):
+                    if reason:
+                        out.append((i, reason, n))
+                    elif head == ord('"'):
+                        again.append((i, json.loads(t), n))
+                work = again
+            cols = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=REJECT_SCHEMA.names)
+
+    src = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(payload_col).cast("string").alias("payload"))
+    return src.filter(F.col("payload").isNotNull()).mapInArrow(run, REJECT_SCHEMA)
+
+
 def flat_table(nodes: DataFrame, node: str, fields: dict[str, str]) -> DataFrame:
     """One flat table of the linked rows called ``node``: its keys, ordinal and scalar ``fields`` (name to SQL type)."""
     out = nodes.filter(F.col("node") == node)

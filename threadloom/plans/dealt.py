@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators.nested import flat_table, flatten_payloads
+from threadloom.operators.nested import flat_table, flatten_payloads, rejected_payloads
 from threadloom.operators.references import Reference, orphan_references, orphan_report, reference_rows, target_deltas
 from threadloom.session import ship
 from threadloom.sources.tables import latest_delivery, latest_wide, spread, table
@@ -33,6 +33,11 @@ def p5_node_counts(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("node").agg(F.count("*").alias("n_rows"), F.count_distinct("document_id").alias("n_documents"))
 
 
+def p5_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that give no rows because they are no JSON, with the reason."""
+    return rejected_payloads(_payloads(spark, d))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     docs = latest_delivery(table(spark, d, "source_documents").select("id", "created_at", "deleted_at", "ingested_at"))
     resolved = table(spark, d, "resolved_entities").select("entity_id", "created_at", "deleted_at")
@@ -54,7 +59,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_calls, p5_node_counts, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_calls, p5_node_counts, p5_rejects, p7_found, p7_report)}
 
 _P7 = """
 WITH docs AS (SELECT lower(trim(id)) AS k, created_at, deleted_at FROM source_documents WHERE trim(id) <> ''
