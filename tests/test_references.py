@@ -33,3 +33,22 @@ def test_counts_merge(spark):
 def test_empty(spark):
     refs = spark.createDataFrame([], REF)
     assert orphan_references(reference_rows([Reference("s", refs, "k", "t")]), [target_deltas("t", spark.createDataFrame([], TGT), "key")]).count() == 0
+
+
+def test_counts_are_maintained(spark):
+    """Stored counts and later deltas give what a rebuild gives, withdrawals and late targets included."""
+    import datetime as dt
+
+    from threadloom.operators.references import change_events, maintain, merge_counts, orphan_keys
+
+    at = lambda n: dt.datetime(2026, 1, n) if n else None
+    refs = spark.createDataFrame([("t", "a", at(2)), ("t", "a", at(9)), ("t", "b", at(3)), ("t", "c", None), ("t", "d", at(5))], "target string, key string, created_at timestamp_ntz")
+    rows = spark.createDataFrame([("A ", at(1), at(8)), ("b", at(4), None), ("c", at(1), at(2)), ("c", at(6), None), (None, at(1), None), (" ", at(1), None)], "id string, created_at timestamp_ntz, deleted_at timestamp_ntz")
+    events = change_events(refs, [("t", rows, "id")])
+    stored = None
+    for lo, hi in ((1, 3), (3, 6), (6, 32)):
+        late = "at IS NULL OR" if hi == 32 else ""
+        stored = maintain(stored, events.filter(f"{late} at >= '2026-01-{lo:02d}' AND at < '2026-01-{min(hi, 31):02d}'"))
+    got = sorted(map(tuple, orphan_keys(stored).collect()))
+    assert got == sorted(map(tuple, orphan_keys(merge_counts(events.drop("at"))).collect())) == [("t", "a", 2, 1), ("t", "d", 1, 0)]
+    assert orphan_keys(maintain(None, events.limit(0))).count() == 0

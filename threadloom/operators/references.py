@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import checkpoint
 from threadloom.sources.tables import clean_key, latest_delivery
 
 
@@ -82,6 +83,38 @@ def merge_counts(counts: DataFrame) -> DataFrame:
     )
 
 
+def change_events(references: DataFrame, targets: Iterable[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Delta rows with the time ``at`` of their change: a reference or target row when it is created, a withdrawal apart.
+
+    ``targets``: (target, rows with created_at and deleted_at, key column). Rows without a time have a null ``at``.
+    """
+    no_time = F.lit(None).cast("timestamp_ntz")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    at = F.col("created_at").cast("timestamp_ntz")
+    out = references.select("target", "key", one.alias("refs"), zero.alias("rows"), zero.alias("exists"), no_time.alias("created"), at.alias("first_ref"), at.alias("at"))
+    for target, rows, key in targets:
+        k = rows.select(F.lit(target).alias("target"), clean_key(F.col(key)).alias("key"), at.alias("created"), F.col("deleted_at").cast("timestamp_ntz").alias("gone")).filter(F.col("key").isNotNull())
+        out = out.unionByName(k.select("target", "key", zero.alias("refs"), one.alias("rows"), one.alias("exists"), "created", no_time.alias("first_ref"), F.col("created").alias("at")))
+        out = out.unionByName(
+            k.filter("gone IS NOT NULL").select("target", "key", zero.alias("refs"), zero.alias("rows"), F.lit(-1).cast("long").alias("exists"), no_time.alias("created"), no_time.alias("first_ref"), F.col("gone").alias("at"))
+        )
+    return out
+
+
+def maintain(stored: DataFrame | None, deltas: DataFrame) -> DataFrame:
+    """Counts after ``deltas`` are applied to ``stored`` ones; the result is written in the shared folder and cuts lineage.
+
+    Only the stored counts and the new deltas are read, never the tables behind earlier deltas.
+    """
+    d = deltas.select("target", "key", "refs", "rows", "exists", "created", "first_ref")
+    return checkpoint(merge_counts(d if stored is None else stored.unionByName(d)))
+
+
+def orphan_keys(counts: DataFrame) -> DataFrame:
+    """(target, key, refs, rows) of keys with references and no existing target row: the current orphan report by key."""
+    return counts.filter((F.col("refs") > 0) & (F.col("exists") == 0)).select("target", "key", "refs", "rows")
+
+
 def orphan_references(references: DataFrame, targets: Iterable[DataFrame]) -> DataFrame:
     """(src_table, row_id, kind, period_month, key) of each reference without a live target at its time.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.nested import flat_table, flatten_payloads, rejected_payloads
-from threadloom.operators.references import Reference, orphan_references, orphan_report, reference_rows, target_deltas
+from threadloom.operators.references import Reference, change_events, maintain, orphan_keys, orphan_references, orphan_report, reference_rows, target_deltas
 from threadloom.session import ship
 from threadloom.sources.tables import latest_delivery, latest_wide, spread, table
 
@@ -38,7 +38,8 @@ def p5_rejects(spark: SparkSession, d: str) -> DataFrame:
     return rejected_payloads(_payloads(spark, d))
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _ends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(references, document rows, resolved rows)."""
     docs = latest_delivery(table(spark, d, "source_documents").select("id", "created_at", "deleted_at", "ingested_at"))
     resolved = table(spark, d, "resolved_entities").select("entity_id", "created_at", "deleted_at")
     refs = reference_rows(
@@ -48,9 +49,29 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
             Reference("access_requests", table(spark, d, "access_requests"), "matched_entity_id", "resolved"),
         ]
     )
+    return refs, docs, resolved
+
+
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    refs, docs, resolved = _ends(spark, d)
     return orphan_references(refs, [target_deltas("document", docs, "id"), target_deltas("resolved", resolved, "entity_id")])
 
 
+#: Times between which changes arrive together in ``p7_maintained``.
+BATCH_ENDS = ("2026-03-01", "2026-05-01")
+
+
+def p7_maintained(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan keys from counts that are stored and brought up to date with one batch of changes after the other."""
+    refs, docs, resolved = _ends(spark, d)
+    events = change_events(refs, [("document", docs, "id"), ("resolved", resolved, "entity_id")])
+    batch = sum((F.coalesce(F.col("at") >= F.lit(e).cast("timestamp_ntz"), F.lit(True)).cast("int") for e in BATCH_ENDS), F.lit(0))
+    stored = None
+    for k in range(len(BATCH_ENDS) + 1):
+        stored = maintain(stored, events.filter(batch == k))
+    return orphan_keys(stored)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).drop("key")
 
@@ -59,7 +80,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_calls, p5_node_counts, p5_rejects, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_calls, p5_node_counts, p5_rejects, p7_found, p7_report, p7_maintained)}
 
 _P7 = """
 WITH docs AS (SELECT lower(trim(id)) AS k, created_at, deleted_at FROM source_documents WHERE trim(id) <> ''
@@ -77,6 +98,8 @@ o AS (SELECT src_table, row_id, r.k,
 """
 ORACLES = {
     "p7_found": _P7 + "SELECT src_table, row_id, kind, period_month FROM o WHERE kind IS NOT NULL",
+    "p7_maintained": _P7
+    + "SELECT r.target, r.k AS key, count(*) AS refs, coalesce(max(t.n), 0) AS rows FROM r LEFT JOIN t ON r.target = t.target AND r.k = t.k WHERE r.k <> '' AND coalesce(t.gone = t.n, true) GROUP BY 1, 2",
     "p7_report": _P7
     + "SELECT src_table, period_month, kind, count(*) AS n_refs, count(DISTINCT k) AS n_keys FROM o WHERE kind IS NOT NULL GROUP BY ALL",
 }
