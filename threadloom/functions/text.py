@@ -56,17 +56,23 @@ def sorted_tokens(c: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(place_key(c), " "), lambda w: w != "")), " ")
 
 
-#: Digraphs of Indian names to one sound, applied in this order, then single letters; fixed values.
-DIGRAPHS = [("chh", "ch"), ("ksh", "x"), ("ph", "f"), ("bh", "b"), ("dh", "d"), ("th", "t"), ("kh", "k"), ("gh", "g"), ("jh", "j"), ("sh", "s"), ("ee", "i"), ("oo", "u"), ("aa", "a")]
+#: Digraphs of Indian names to one sound, applied in this order (capitals stand for sounds of two letters), then single
+#: letters, and the courtesy name whose spellings count as one, with its key; fixed values.
+DIGRAPHS = [
+    ("chh", "C"), ("ch", "C"), ("sh", "S"), ("kh", "k"), ("gh", "g"), ("jh", "j"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("ph", "f"), ("ck", "k"), ("ee", "i"), ("ii", "i"), ("oo", "u"), ("uu", "u"), ("aa", "a"),
+    ("ai", "e"), ("ay", "e"), ("ei", "e"), ("au", "o"), ("ou", "o"), ("aw", "o"), ("ow", "o"),
+]
+SINGLES = ("wzqcxy", "vjkkki")
+COURTESY, COURTESY_KEY = ["mohammad", "mohd", "md", "mohammed", "muhammad", "mohamed", "muhammed", "mahammad"], "mhmd"
 
 
 def phonetic_key(c: Column) -> Column:
     """Consonant skeleton of a Latin name: digraphs, equal-sounding letters, no doubles, only a leading vowel."""
-    t = F.regexp_replace(F.lower(c), "[^a-z]", "")
-    t = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), DIGRAPHS, t)
-    t = F.translate(t, "wzqcxy", "vjkkki")
-    t = F.regexp_replace(t, r"(.)\1+", "$1")
-    return F.concat(F.substring(t, 1, 1), F.regexp_replace(F.substring(t, 2, 1000000), "[aeiou]", ""))
+    w = F.regexp_replace(F.lower(c), "[^a-z]", "")
+    t = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), DIGRAPHS, w)
+    t = F.regexp_replace(F.translate(t, *SINGLES), r"(.)\1+", "$1")
+    key = F.concat(F.substring(t, 1, 1), F.regexp_replace(F.substring(t, 2, 1000000), "[aeiou]", ""))
+    return F.when(w.isin(COURTESY), COURTESY_KEY).otherwise(key)
 
 
 def has_devanagari(c: Column) -> Column:

@@ -57,21 +57,25 @@ def token_sorted_names(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.sorted_tokens(F.col("p_name")).alias("sorted_name"), F.lower("p_name").alias("lowered"))
 
 
-_T = "regexp_replace(lower(n_name), '[^a-z]', '', 'g')"
+# Words of the persons' names: Latin letters only, as the phonetic key is one of Latin names.
+_WORDS = f"SELECT DISTINCT unnest(string_split_regex(lower(raw_text), '[^a-z]+')) AS word FROM {_ENTS} WHERE entity_type = 'PERSON'"
+_T = "word"
 for _a, _b in tx.DIGRAPHS:
     _T = f"replace({_T}, '{_a}', '{_b}')"
-_T = f"translate({_T}, 'wzqcxy', 'vjkkki')"
+_T = f"translate({_T}, '{tx.SINGLES[0]}', '{tx.SINGLES[1]}')"
+for _c in "abcdefghijklmnopqrstuvwxyzCS":
+    _T = f"regexp_replace({_T}, '{_c}{_c}+', '{_c}', 'g')"
 
 
 @query(
-    f"WITH t AS (SELECT n_nationkey, {_T} AS t FROM nation), u AS (SELECT n_nationkey, "
-    + "".join("replace(" for _ in "abcdefghijklmnopqrstuvwxyz" * 2)
-    + "t"
-    + "".join(f", '{c}{c}', '{c}')" for c in "abcdefghijklmnopqrstuvwxyz" * 2)
-    + " AS t FROM t) SELECT n_nationkey, substr(t, 1, 1) || regexp_replace(substr(t, 2), '[aeiou]', '', 'g') AS phonetic FROM u"
+    f"WITH w AS ({_WORDS}), t AS (SELECT word, {_T} AS t FROM w WHERE word <> '') "
+    f"SELECT word, CASE WHEN word IN ({', '.join(repr(x) for x in tx.COURTESY)}) THEN '{tx.COURTESY_KEY}' ELSE substr(t, 1, 1) || regexp_replace(substr(t, 2), '[aeiou]', '', 'g') END AS phonetic FROM t"
 )
 def phonetic_keys(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", tx.phonetic_key(F.col("n_name")).alias("phonetic"))
+    """Phonetic key of every Latin word of the persons' names."""
+    e = ents(spark, d, "entity_type", "raw_text").filter("entity_type = 'PERSON'")
+    words = e.select(F.explode(F.split(F.lower("raw_text"), "[^a-z]+")).alias("word")).filter("word <> ''").distinct()
+    return words.select("word", tx.phonetic_key(F.col("word")).alias("phonetic"))
 
 
 @query(f"SELECT id, regexp_matches(raw_text, '[ऀ-ॿ]') AS devanagari FROM {_ENTS} WHERE raw_text IS NOT NULL")
