@@ -31,8 +31,21 @@ def query(sql: str | None = None):
 
 # Scalar functions ----------------------------------------------------------------------------------------------------
 
-_DIG = "regexp_replace(translate(raw_text, '०१२३४५६७८९', '0123456789'), '[^0-9]', '', 'g')"
-_PHONE = f"CASE WHEN length({_DIG}) = 12 AND {_DIG} LIKE '91%' THEN substr({_DIG}, 3) WHEN length({_DIG}) = 11 AND {_DIG} LIKE '0%' THEN substr({_DIG}, 2) ELSE {_DIG} END"
+def _digits(c: str) -> str:
+    return f"regexp_replace(translate({c}, '०१२३४५६७८९', '0123456789'), '[^0-9]', '', 'g')"
+
+
+def _phone(c: str) -> str:
+    """SQL of the ten digits of a number, whatever they are; ``_mobile`` checks them."""
+    n = _digits(c)
+    return f"CASE WHEN length({n}) = 12 AND {n} LIKE '91%' THEN substr({n}, 3) WHEN length({n}) = 11 AND {n} LIKE '0%' THEN substr({n}, 2) ELSE {n} END"
+
+
+def _mobile(c: str) -> str:
+    return f"CASE WHEN regexp_matches({_phone(c)}, '^[6-9][0-9]{{9}}$') THEN {_phone(c)} END"
+
+
+_DIG, _PHONE = _digits("raw_text"), _phone("raw_text")
 
 
 @query(f"""SELECT id, CASE WHEN regexp_matches(k, '^[6-9][0-9]{{9}}$') THEN k END AS phone FROM (SELECT id, {_PHONE} AS k FROM {_ENTS} WHERE entity_type = 'PHONE')""")
@@ -40,14 +53,15 @@ def phone_keys(spark, d):
     return ents(spark, d, "entity_type", "raw_text").filter("entity_type = 'PHONE'").select("id", tx.phone_key(F.col("raw_text")).alias("phone"))
 
 
-@query(f"SELECT id, upper(regexp_replace(raw_text, '[ \\-]', '', 'g')) AS plate FROM {_ENTS} WHERE entity_type = 'VEHICLE' AND regexp_full_match(raw_text, '[ -~]*')")
+@query(f"SELECT id, upper(regexp_replace(raw_text, '[\\s\\-]', '', 'g')) AS plate FROM {_ENTS} WHERE entity_type = 'VEHICLE'")
 def plate_keys(spark, d):
-    return ents(spark, d, "entity_type", "raw_text").filter("entity_type = 'VEHICLE'").filter(F.col("raw_text").rlike("^[ -~]*$")).select("id", tx.plate_key(F.col("raw_text")).alias("plate"))
+    return ents(spark, d, "entity_type", "raw_text").filter("entity_type = 'VEHICLE'").select("id", tx.plate_key(F.col("raw_text")).alias("plate"))
 
 
-@query(f"SELECT id, {_DIG} AS account, length({_DIG}) BETWEEN 9 AND 18 AS valid FROM {_ENTS} WHERE entity_type = 'ACCOUNT' AND NOT contains(raw_text, '@')")
+@query(f"SELECT id, CASE WHEN contains(raw_text, '@') THEN lower(trim(raw_text)) ELSE {_DIG} END AS account, contains(raw_text, '@') OR length({_DIG}) BETWEEN 9 AND 18 AS valid FROM {_ENTS} WHERE entity_type = 'ACCOUNT'")
 def account_keys(spark, d):
-    e = ents(spark, d, "entity_type", "raw_text").filter("entity_type = 'ACCOUNT' AND NOT contains(raw_text, '@')")
+    """Account numbers and payment addresses by their keys."""
+    e = ents(spark, d, "entity_type", "raw_text").filter("entity_type = 'ACCOUNT'")
     return e.select("id", tx.account_key(F.col("raw_text")).alias("account"), tx.valid_account(F.col("raw_text")).alias("valid"))
 
 
@@ -112,25 +126,42 @@ def _nodes(spark, d) -> DataFrame:
     return flatten_payloads(docs(spark, d, "structured").filter("structured IS NOT NULL"))
 
 
-@query()
+def _elements(field: str) -> str:
+    """SQL of the rows (id, i, e) of an array of the payloads: payload or array may be JSON text, the array a lone object."""
+    return f"""(WITH t AS (SELECT id, structured AS s FROM {_DOCS} WHERE json_valid(structured)),
+r AS (SELECT id, CASE WHEN json_type(s) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(s, '$')) THEN json_extract_string(s, '$') END ELSE s END AS p FROM t),
+f AS (SELECT id, CASE WHEN json_type(p, '$.{field}') = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(p, '$.{field}')) THEN json_extract_string(p, '$.{field}') END ELSE CAST(json_extract(p, '$.{field}') AS VARCHAR) END AS c FROM r WHERE p IS NOT NULL AND json_type(p) = 'OBJECT'),
+a AS (SELECT id, CASE WHEN json_type(c) = 'OBJECT' THEN '[' || c || ']' ELSE c END AS c FROM f WHERE c IS NOT NULL AND json_type(c) IN ('OBJECT', 'ARRAY')),
+u AS (SELECT id, c, unnest(range(CAST(json_array_length(c) AS BIGINT))) AS i FROM a),
+x AS (SELECT id, i, json_extract(c, '$[' || i || ']') AS e FROM u)
+SELECT id, i, e FROM x WHERE json_type(e) IN ('OBJECT', 'VARCHAR'))"""
+
+
+_CALLS = f"(SELECT id, i, {_mobile('e->>{}')} AS a, {_mobile('e->>[]')} AS b, try_cast(e->>'$.duration_seconds' AS INT) AS s, try_cast(e->>'$.timestamp' AS TIMESTAMP) AS t FROM {_elements('calls')})".replace("e->>{}", "(e->>'$.caller')").replace("e->>[]", "(e->>'$.callee')")
+
+
+@query(f"SELECT id AS document_id, a, b, count(*) AS n_calls, sum(s) AS seconds, min(t) AS first_call, max(t) AS last_call, 0.99::DOUBLE AS confidence FROM {_CALLS} WHERE a <> b GROUP BY ALL")
 def call_pairs(spark, d):
     """Calls, seconds and period of each directed pair of valid numbers in a document; calls to oneself are left out."""
     c = flat_table(_nodes(spark, d), "calls", {"caller": "string", "callee": "string", "timestamp": "string", "duration_seconds": "int"})
-    c = c.select("document_id", tx.phone_key(F.col("caller")).alias("a"), tx.phone_key(F.col("callee")).alias("b"), F.col("duration_seconds").alias("s"), F.try_to_timestamp("timestamp").alias("t"))
+    c = c.select("document_id", tx.phone_key(F.col("caller")).alias("a"), tx.phone_key(F.col("callee")).alias("b"), F.col("duration_seconds").alias("s"), F.expr("try_cast(timestamp AS timestamp_ntz)").alias("t"))
     return c.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").groupBy("document_id", "a", "b").agg(
         F.count("*").alias("n_calls"), F.sum("s").alias("seconds"), F.min("t").alias("first_call"), F.max("t").alias("last_call"), F.lit(0.99).alias("confidence")
     )
 
 
-@query()
+@query(f"SELECT id AS document_id, 'calls.' || i AS node_path, CASE WHEN a IS NULL OR b IS NULL THEN 'invalid number' ELSE 'unreadable time' END AS reason FROM {_CALLS} WHERE a IS NULL OR b IS NULL OR t IS NULL")
 def call_warnings(spark, d):
     """Call rows that can't be used, with the reason."""
     c = flat_table(_nodes(spark, d), "calls", {"caller": "string", "callee": "string", "timestamp": "string"})
-    bad = F.when(tx.phone_key(F.col("caller")).isNull() | tx.phone_key(F.col("callee")).isNull(), "invalid number").when(F.try_to_timestamp("timestamp").isNull(), "unreadable time")
+    bad = F.when(tx.phone_key(F.col("caller")).isNull() | tx.phone_key(F.col("callee")).isNull(), "invalid number").when(F.expr("try_cast(timestamp AS timestamp_ntz)").isNull(), "unreadable time")
     return c.select("document_id", "node_path", bad.alias("reason")).filter("reason IS NOT NULL")
 
 
-@query()
+_PAID = f"(SELECT id, try_cast(e->>'$.amount' AS DOUBLE) AS amount FROM {_elements('transactions')})"
+
+
+@query(f"SELECT id AS document_id, count(amount) AS n_payments, round(sum(amount), 2) AS total, coalesce(max(amount), 0) AS largest, count(*) FILTER (amount IS NULL) AS n_unreadable FROM {_PAID} GROUP BY id")
 def payment_totals(spark, d):
     """Payments, sum and largest amount of each record; amounts that are no numbers are counted apart."""
     t = flat_table(_nodes(spark, d), "transactions", {"amount": "double", "timestamp": "string", "currency": "string"})
@@ -145,7 +176,7 @@ def subscriber_names(spark, d):
     return n.select("document_id", tx.phone_key(F.substring_index("node_path", ".", -1)).alias("phone"), name.alias("person")).filter("phone IS NOT NULL AND person IS NOT NULL")
 
 
-@query()
+@query(f"SELECT id AS document_id, format('{{}} payments with a total of {{:,.2f}}', count(amount), coalesce(sum(amount), 0)) AS prose FROM {_PAID} GROUP BY id")
 def payment_prose(spark, d):
     """Payment records rendered as a sentence."""
     t = flat_table(_nodes(spark, d), "transactions", {"amount": "double"}).groupBy("document_id").agg(F.count("amount").alias("n"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("s"))
@@ -155,10 +186,10 @@ def payment_prose(spark, d):
 # Mentions and relations ----------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT id, len(regexp_extract_all(raw_text, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][a-z]+')) AS n_mail, length(regexp_extract_all(raw_text, 'Z[A-D][0-9][0-9][A-Z][A-Z][0-9][0-9][0-9][0-9]')) AS n_plates FROM {_DOCS} WHERE raw_text IS NOT NULL AND contains(raw_text, '@')")
+@query(f"SELECT id, len(regexp_extract_all(raw_text, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][a-z]+')) AS n_mail, length(regexp_extract_all(raw_text, 'Z[A-D][0-9][0-9][A-Z][A-Z][0-9][0-9][0-9][0-9]')) AS n_plates FROM {_DOCS} WHERE raw_text IS NOT NULL")
 def pattern_counts(spark, d):
     """Offset-free pattern extraction in SQL."""
-    x = docs(spark, d, "raw_text").filter("raw_text IS NOT NULL AND contains(raw_text, '@')")
+    x = docs(spark, d, "raw_text").filter("raw_text IS NOT NULL")
     n = F.size(F.regexp_extract_all("raw_text", F.lit("[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][a-z]+"), F.lit(0)))
     return x.select("id", n.cast("bigint").alias("n_mail"), F.size(F.regexp_extract_all("raw_text", F.lit("Z[A-D][0-9][0-9][A-Z][A-Z][0-9][0-9][0-9][0-9]"), F.lit(0))).alias("n_plates"))
 

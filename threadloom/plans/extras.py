@@ -9,7 +9,7 @@ from threadloom.functions import text as tx
 from threadloom.operators import findings, graph
 from threadloom.plans.case import _SPANS, _spans
 from threadloom.plans.network import _E, _V, payments, trade, traders
-from threadloom.plans.relational import _ENTS, _REQS, ents, requests
+from threadloom.plans.relational import _ENTS, _LINKS, _REQS, ents, links, requests
 from threadloom.sources.generate import call_records, payment_records, reports
 from threadloom.sources.tables import clean_key, table
 
@@ -27,19 +27,16 @@ def query(sql: str | None = None):
     return add
 
 
-_N = "(SELECT DISTINCT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND l_quantity = 50 AND l_returnflag = 'R' AND l_discount = 0.1)"
+_N = f"(SELECT DISTINCT lower(trim(entity_id)) AS v, document_id AS doc FROM {_LINKS} WHERE trim(entity_id) <> '' AND document_id IS NOT NULL)"
 
 
-@query(f"WITH n AS (SELECT a AS v, b AS u FROM {_N} UNION ALL SELECT b, a FROM {_N}), d AS (SELECT v, count(*) AS direct FROM n GROUP BY v), t AS (SELECT x.v, count(DISTINCT y.u) AS two_hop FROM n x JOIN n y ON x.u = y.v AND y.u <> x.v WHERE NOT EXISTS (SELECT 1 FROM n z WHERE z.v = x.v AND z.u = y.u) GROUP BY x.v) SELECT d.v AS nation, direct, coalesce(two_hop, 0) AS two_hop FROM d LEFT JOIN t ON d.v = t.v")
+@query(f"WITH n AS (SELECT * FROM {_N}), d AS (SELECT v, count(*) AS direct FROM n GROUP BY v), t AS (SELECT x.v, count(DISTINCT y.v) AS two_hop FROM n x JOIN n y ON x.doc = y.doc AND y.v <> x.v GROUP BY x.v) SELECT d.v AS entity_id, direct, coalesce(two_hop, 0) AS two_hop FROM d LEFT JOIN t ON d.v = t.v")
 def two_hop_counts(spark, d):
-    """Direct neighbours of each nation's traders and those two hops away only."""
-    j = table(spark, d, "orders").join(table(spark, d, "lineitem").filter("l_quantity = 50 AND l_returnflag = 'R' AND l_discount = 0.1"), F.col("o_orderkey") == F.col("l_orderkey"))
-    j = j.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    n = graph.both_ways(graph.undirected(j.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))))
+    """Documents next to each linked entity, and the entities that are two steps away, through a document."""
+    n = links(spark, d, "entity_id", "document_id").select(clean_key(F.col("entity_id")).alias("v"), F.col("document_id").alias("doc")).filter("v IS NOT NULL AND doc IS NOT NULL").distinct()
     direct = n.groupBy("v").agg(F.count("*").alias("direct"))
-    two = n.join(n.select(F.col("v").alias("u"), F.col("u").alias("w")), "u").filter("w <> v").select("v", F.col("w").alias("u")).distinct().join(n, ["v", "u"], "left_anti")
-    t = two.groupBy("v").agg(F.count("*").alias("two_hop"))
-    return direct.join(t, "v", "left").select(F.col("v").alias("nation"), "direct", F.coalesce("two_hop", F.lit(0)).alias("two_hop"))
+    two = n.join(n.select("doc", F.col("v").alias("w")), "doc").filter("w <> v").groupBy("v").agg(F.count_distinct("w").alias("two_hop"))
+    return direct.join(two, "v", "left").select(F.col("v").alias("entity_id"), "direct", F.coalesce("two_hop", F.lit(0)).alias("two_hop"))
 
 
 _K = f"(SELECT DISTINCT intake_id, entity_type, lower(trim(raw_text)) AS k, lower(trim(source_document_id)) AS doc FROM {_ENTS} WHERE trim(source_document_id) <> '' AND entity_type IN ('LOCATION', 'PHONE'))"
@@ -73,15 +70,15 @@ def override_guards(spark, d):
     return p.select("a", "b", v.alias("verdict"))
 
 
-_KEY = "array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(lower(raw_text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')), ' ')"
+_KEY = r"array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(lower(raw_text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')), ' ')"
 
 
-@query(f"""WITH k AS (SELECT DISTINCT case_id, {_KEY} AS k FROM {_ENTS} WHERE entity_type = 'PERSON' AND case_id IS NOT NULL AND regexp_full_match(raw_text, '[ -~]*')), m AS (SELECT k, count(*) AS n FROM k WHERE contains(k, ' ') GROUP BY k HAVING count(*) > 1)
+@query(f"""WITH k AS (SELECT DISTINCT case_id, {_KEY} AS k FROM {_ENTS} WHERE entity_type = 'PERSON' AND case_id IS NOT NULL), m AS (SELECT k, count(*) AS n FROM k WHERE contains(k, ' ') GROUP BY k HAVING count(*) > 1)
 SELECT k.case_id, CASE WHEN c.confidentiality = 'restricted' THEN NULL ELSE k.k END AS name, m.n - 1 AS other_cases FROM k JOIN m ON k.k = m.k JOIN cases c ON c.id = k.case_id""")
 def cross_case_names(spark, d):
     """Full names that several cases hold, by their sorted tokens; restricted cases show no name."""
-    k = ents(spark, d, "entity_type", "raw_text", "case_id").filter("entity_type = 'PERSON' AND case_id IS NOT NULL").filter(F.col("raw_text").rlike("^[ -~]*$"))
-    k = k.select("case_id", F.array_join(F.array_sort(F.filter(F.split(F.trim(F.regexp_replace(F.lower("raw_text"), "[^a-z0-9]+", " ")), " "), lambda w: w != "")), " ").alias("k")).distinct()
+    k = ents(spark, d, "entity_type", "raw_text", "case_id").filter("entity_type = 'PERSON' AND case_id IS NOT NULL")
+    k = k.select("case_id", F.array_join(F.array_sort(F.filter(F.split(F.trim(F.regexp_replace(F.lower("raw_text"), r"[^\p{L}\p{M}\p{N}]+", " ")), " "), lambda w: w != "")), " ").alias("k")).distinct()
     m = k.filter("contains(k, ' ')").groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     c = table(spark, d, "cases").select(F.col("id").alias("case_id"), "confidentiality")
     return k.join(m, "k").join(c, "case_id").select("case_id", F.when(~F.col("confidentiality").eqNullSafe("restricted"), F.col("k")).alias("name"), (F.col("n") - 1).alias("other_cases"))
