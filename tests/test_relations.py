@@ -35,3 +35,15 @@ def test_pronoun_carry_over(related):
     assert {b: a for a, b in got} == {"98765": "Binod", "Delhi": "Binod"}
     assert set(related(person_relations, "He used 98765. Asha left. She met Binod in Delhi.", *people, ("98765", "PHONE", None), ("Delhi", "LOCATION", None))) == {("Binod", "Delhi")}
     assert not related(person_relations, "Asha left. He\nPune is far.", people[0], ("Pune", "LOCATION", None))
+
+
+def test_cues_are_words(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.functions.lexicon import OWN_CUES, PRESENT_CUES
+    from threadloom.operators.relate import has_cue
+
+    rows = [("in the town", False, False), ("he owns it", False, False), ("his own car", True, False), ("that was all", False, False), ("seen at noon", False, True), ("near the gate", False, True), ("उसे वहाँ देखा", False, True), ("यह गाड़ी", True, False), ("", False, False), (None, None, None)]
+    df = spark.createDataFrame(rows, "t string, own boolean, present boolean")
+    for r in df.select("*", has_cue(F.col("t"), OWN_CUES).alias("o"), has_cue(F.col("t"), PRESENT_CUES).alias("p")).collect():
+        assert (r.o, r.p) == (r.own, r.present), r

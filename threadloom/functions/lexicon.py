@@ -11,6 +11,6 @@ NOT_NAMES = frozenset(
     "the a an and or but on in at to of for from by with he she it they his her this that was were is are as if then during later both girls vehicle notice receipt copy call room bus case number statement further nothing "
     "who did please stop according vide identity accused complainant mother father police fir plot house flat block ward monday tuesday wednesday thursday friday saturday sunday".split()
 )
-#: Cues of relations in the words between or around two mentions; fixed values.
-CALL_CUES, OWN_CUES, PRESENT_CUES, WORK_CUES = ["call", "phone", "mob", "number", "contact"], ["own", "drive", "vehicle", "plate", "gaadi"], ["seen", "at", "near", "reached", "from"], ["works", "owner", "runs", "office", "employ"]
-MONEY_CUES, FAMILY_CUES = ["paid", "transfer", "sum", "account", "froze", "rs", "inr"], ["son", "wife", "brother", "s/o", "d/o", "associate", "together"]
+#: Cues of relations in the words between or around two mentions: beginnings of words, whole words where they are short; fixed values.
+CALL_CUES, OWN_CUES, PRESENT_CUES, WORK_CUES = ["call", "phone", "mob", "number", "contact", "फोन", "फ़ोन", "कॉल", "मोबाइल", "नंबर"], ["own", "drive", "vehicle", "plate", "gaadi", "गाड़ी", "वाहन"], ["seen", "at", "near", "reached", "from", "देखा", "पास", "पहुंच"], ["work", "owner", "runs", "office", "employ", "काम", "मालिक"]
+MONEY_CUES, FAMILY_CUES = ["paid", "transfer", "sum", "account", "froze", "rs", "inr", "रुपये", "भेजे", "खाता"], ["son", "wife", "brother", "s/o", "d/o", "associate", "together", "पुत्र", "पत्नी", "भाई", "साथ"]

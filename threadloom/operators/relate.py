@@ -25,8 +25,15 @@ def with_sentences(mentions: DataFrame, docs: DataFrame, text: str = "raw_text")
     return m.withColumn("sentence", F.length(F.regexp_replace(before, "[^.?!।\\n]", "")))
 
 
+def cue_pattern(cues: list[str]) -> str:
+    """Cues at the beginning of a word; those of up to three letters only as whole words, so that "at" is not in "that" nor "own" in "town"."""
+    stems, whole = [c for c in cues if len(c) > 3 or not c.isascii()], [c for c in cues if len(c) <= 3 and c.isascii()]
+    parts = [p for p in (f"(?:{'|'.join(stems)})" if stems else "", f"(?:{'|'.join(whole)})(?![\\p{{L}}\\p{{N}}])" if whole else "") if p]
+    return f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}])(?:{'|'.join(parts)})"
+
+
 def has_cue(text: Column, cues: list[str]) -> Column:
-    return F.lower(text).rlike("(" + "|".join(cues) + ")")
+    return F.lower(text).rlike(cue_pattern(cues))
 
 
 def _centre(p: str) -> Column:

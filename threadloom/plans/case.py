@@ -9,8 +9,10 @@ from threadloom.functions import text as tx
 from threadloom.operators.evaluate import match_spans, pairwise_quality, quality
 from threadloom.operators.extract import extract_mentions
 from threadloom.operators.nested import flat_table, flatten_payloads
-from threadloom.operators.relate import identifier_chains, nearest_person, person_pairs, person_relations, with_sentences
+from threadloom.functions.lexicon import CALL_CUES, FAMILY_CUES, MONEY_CUES
+from threadloom.operators.relate import RULES, identifier_chains, nearest_person, person_pairs, person_relations, with_sentences
 from threadloom.operators.resolve import close_pairs, resolve_exact, resolve_names
+from threadloom.plans.jsonsql import elements
 from threadloom.plans.relational import _DOCS, _ENTS, docs, ents
 from threadloom.session import ship
 from threadloom.sources.tables import clean_key, latest_delivery, table
@@ -126,18 +128,7 @@ def _nodes(spark, d) -> DataFrame:
     return flatten_payloads(docs(spark, d, "structured").filter("structured IS NOT NULL"))
 
 
-def _elements(field: str) -> str:
-    """SQL of the rows (id, i, e) of an array of the payloads: payload or array may be JSON text, the array a lone object."""
-    return f"""(WITH t AS (SELECT id, structured AS s FROM {_DOCS} WHERE json_valid(structured)),
-r AS (SELECT id, CASE WHEN json_type(s) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(s, '$')) THEN json_extract_string(s, '$') END ELSE s END AS p FROM t),
-f AS (SELECT id, CASE WHEN json_type(p, '$.{field}') = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(p, '$.{field}')) THEN json_extract_string(p, '$.{field}') END ELSE CAST(json_extract(p, '$.{field}') AS VARCHAR) END AS c FROM r WHERE p IS NOT NULL AND json_type(p) = 'OBJECT'),
-a AS (SELECT id, CASE WHEN json_type(c) = 'OBJECT' THEN '[' || c || ']' ELSE c END AS c FROM f WHERE c IS NOT NULL AND json_type(c) IN ('OBJECT', 'ARRAY')),
-u AS (SELECT id, c, unnest(range(CAST(json_array_length(c) AS BIGINT))) AS i FROM a),
-x AS (SELECT id, i, json_extract(c, '$[' || i || ']') AS e FROM u)
-SELECT id, i, e FROM x WHERE json_type(e) IN ('OBJECT', 'VARCHAR'))"""
-
-
-_CALLS = f"(SELECT id, i, {_mobile('e->>{}')} AS a, {_mobile('e->>[]')} AS b, try_cast(e->>'$.duration_seconds' AS INT) AS s, try_cast(e->>'$.timestamp' AS TIMESTAMP) AS t FROM {_elements('calls')})".replace("e->>{}", "(e->>'$.caller')").replace("e->>[]", "(e->>'$.callee')")
+_CALLS = f"(SELECT id, i, {_mobile('e->>{}')} AS a, {_mobile('e->>[]')} AS b, try_cast(e->>'$.duration_seconds' AS INT) AS s, try_cast(e->>'$.timestamp' AS TIMESTAMP) AS t FROM {elements('calls')})".replace("e->>{}", "(e->>'$.caller')").replace("e->>[]", "(e->>'$.callee')")
 
 
 @query(f"SELECT id AS document_id, a, b, count(*) AS n_calls, sum(s) AS seconds, min(t) AS first_call, max(t) AS last_call, 0.99::DOUBLE AS confidence FROM {_CALLS} WHERE a <> b GROUP BY ALL")
@@ -158,7 +149,7 @@ def call_warnings(spark, d):
     return c.select("document_id", "node_path", bad.alias("reason")).filter("reason IS NOT NULL")
 
 
-_PAID = f"(SELECT id, try_cast(e->>'$.amount' AS DOUBLE) AS amount FROM {_elements('transactions')})"
+_PAID = f"(SELECT id, try_cast(e->>'$.amount' AS DOUBLE) AS amount FROM {elements('transactions')})"
 
 
 @query(f"SELECT id AS document_id, count(amount) AS n_payments, round(sum(amount), 2) AS total, coalesce(max(amount), 0) AS largest, count(*) FILTER (amount IS NULL) AS n_unreadable FROM {_PAID} GROUP BY id")
@@ -168,7 +159,14 @@ def payment_totals(spark, d):
     return t.groupBy("document_id").agg(F.count("amount").alias("n_payments"), F.round(F.sum("amount"), 2).alias("total"), F.coalesce(F.max("amount"), F.lit(0.0)).alias("largest"), F.count_if(F.col("amount").isNull()).alias("n_unreadable"))
 
 
-@query()
+_SUBS = f"""(WITH t AS (SELECT id, structured AS s FROM {_DOCS} WHERE json_valid(structured)),
+r AS (SELECT id, CASE WHEN json_type(s) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(s, '$')) THEN json_extract_string(s, '$') END ELSE s END AS p FROM t),
+f AS (SELECT id, CASE WHEN json_type(p, '$.subscribers') = 'VARCHAR' THEN json_extract_string(p, '$.subscribers') ELSE CAST(json_extract(p, '$.subscribers') AS VARCHAR) END AS c FROM r WHERE p IS NOT NULL AND json_type(p) = 'OBJECT'),
+o AS (SELECT id, c FROM f WHERE c IS NOT NULL AND json_valid(c) AND json_type(c) = 'OBJECT')
+SELECT id, unnest(json_keys(c)) AS k, c FROM o)"""
+
+
+@query(f"SELECT id AS document_id, {_mobile('k')} AS phone, json_extract_string(c, '$.\"' || k || '\"') AS person FROM {_SUBS} WHERE {_mobile('k')} IS NOT NULL AND json_extract_string(c, '$.\"' || k || '\"') IS NOT NULL")
 def subscriber_names(spark, d):
     """Named subscribers with their numbers."""
     n = _nodes(spark, d).filter("node = 'subscribers'")
@@ -223,7 +221,33 @@ def nearby_persons(spark, d):
     return nearest_person(_spans(spark, d))
 
 
-@query()
+def _cue(text: str, cues: list[str]) -> str:
+    """SQL of ``has_cue``: the pattern without looking back."""
+    stems, whole = [c for c in cues if len(c) > 3 or not c.isascii()], [c for c in cues if len(c) <= 3 and c.isascii()]
+    parts = ["(?:" + "|".join(stems) + ")"] * bool(stems) + ["(?:" + "|".join(whole) + r")(?:[^\p{L}\p{N}]|$)"] * bool(whole)
+    return f"regexp_matches(lower({text}), '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}])(?:" + "|".join(parts) + ")')"
+
+
+_GAP = "greatest(greatest(p.start_char, o.start_char) - least(p.end_char, o.end_char), 0)"
+_AROUND = "substr(m.doc_text, greatest(1, m.start_char - 60), m.end_char - m.start_char + 120)"
+_BETWEEN = "substr(substr(x.doc_text, x.end_char + 1, 160), 1, greatest(y.start_char - x.end_char, 0))"
+_BY_TYPE = " ".join(f"WHEN '{t}' THEN " + (f"CASE WHEN {_cue(_AROUND, cues)} THEN '{name}' ELSE 'associated-with' END" if t == "ACCOUNT" else f"'{name}'") for t, (name, cues, _, _) in RULES.items())
+_BY_CONF = " ".join(f"WHEN '{t}' THEN CASE WHEN {_cue(_AROUND, cues)} THEN {strong} ELSE {weak} END" for t, (_, cues, strong, weak) in RULES.items())
+_RELATIONS = f"""WITH s AS (SELECT s.*, nullif(json_extract_string(e.metadata_json, '$.alias_group'), '') AS alias, (s.start_char + s.end_char) // 2 AS middle FROM {_SPANS} s JOIN {_ENTS} e ON e.id = s.mention_id),
+near AS (SELECT o.doc_id, o.mention_id AS other_id, arg_min(p.mention_id, ({_GAP}, p.start_char, p.mention_id)) AS person_id FROM s p JOIN s o ON p.doc_id = o.doc_id AND p.sentence = o.sentence AND p.entity_type = 'PERSON' AND o.entity_type <> 'PERSON' GROUP BY ALL),
+alone AS (SELECT *, start_char - length(regexp_extract(substr(doc_text, 1, start_char), '[^.?!।\n]*$')) AS begin FROM s WHERE entity_type <> 'PERSON' AND (doc_id, sentence) NOT IN (SELECT (doc_id, sentence) FROM s WHERE entity_type = 'PERSON')),
+carried AS (SELECT a.doc_id, a.mention_id AS other_id, arg_max(p.mention_id, (p.middle, p.start_char, p.mention_id)) AS person_id FROM alone a JOIN s p ON p.doc_id = a.doc_id AND p.entity_type = 'PERSON' AND p.middle < a.begin
+WHERE regexp_matches(substr(a.doc_text, a.begin + 1), '(?i)^[ \t\n]*(he|she|they|his|her|their|the[ \t]+(accused|suspect))\b') GROUP BY ALL),
+pairs AS (SELECT x.doc_id, x.mention_id AS a, y.mention_id AS b, {_cue(_BETWEEN, MONEY_CUES)} AS money, {_cue(_BETWEEN, FAMILY_CUES)} AS family, greatest(y.start_char - x.end_char, 0) AS gap FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.sentence = y.sentence
+AND x.entity_type = 'PERSON' AND y.entity_type = 'PERSON' AND (x.middle, x.start_char, x.mention_id) < (y.middle, y.start_char, y.mention_id) AND NOT coalesce(x.alias = y.alias, false)),
+ids AS (SELECT *, lead(mention_id) OVER w AS b, lead(start_char) OVER w AS nxt FROM s WHERE entity_type IN ('PHONE', 'ACCOUNT') WINDOW w AS (PARTITION BY doc_id, sentence, entity_type ORDER BY start_char, mention_id)),
+chain AS (SELECT *, substr(substr(doc_text, end_char + 1, 160), 1, greatest(0, nxt - end_char)) AS words FROM ids WHERE b IS NOT NULL AND nxt - end_char <= 160)
+SELECT m.doc_id, n.person_id AS a, n.other_id AS b, CASE m.entity_type {_BY_TYPE} END AS relation_type, CASE m.entity_type {_BY_CONF} END::DOUBLE AS confidence FROM (SELECT * FROM near UNION ALL SELECT * FROM carried) n JOIN s m ON m.mention_id = n.other_id
+UNION ALL SELECT doc_id, a, b, CASE WHEN money THEN 'transacts-with' ELSE 'associated-with' END, CASE WHEN money OR family THEN 0.80 ELSE 0.55 END::DOUBLE FROM pairs WHERE money OR family OR gap <= 60
+UNION ALL SELECT doc_id, mention_id, b, CASE entity_type WHEN 'PHONE' THEN 'calls' ELSE 'transacts-with' END, 0.9::DOUBLE FROM chain WHERE CASE entity_type WHEN 'PHONE' THEN {_cue('words', [*CALL_CUES, 'and', 'again'])} ELSE {_cue('words', [*MONEY_CUES, 'to'])} END"""
+
+
+@query(_RELATIONS)
 def relations(spark, d):
     """Relations of all rules, with confidence."""
     m = _spans(spark, d)

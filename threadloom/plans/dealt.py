@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.nested import flat_table, flatten_payloads, rejected_payloads
 from threadloom.operators.references import Reference, change_events, maintain, orphan_keys, orphan_references, orphan_report, reference_rows, target_deltas
+from threadloom.plans.jsonsql import elements
 from threadloom.session import ship
 from threadloom.sources.tables import latest_delivery, latest_wide, spread, table
 
@@ -96,7 +97,9 @@ o AS (SELECT src_table, row_id, r.k,
              strftime(r.created_at, '%Y-%m') AS period_month
       FROM r LEFT JOIN t ON r.target = t.target AND r.k = t.k WHERE r.k <> '')
 """
+_P5_CALLS = f"SELECT id AS document_id, 'calls.' || i AS node_path, '' AS parent_path, CAST(i AS INT) AS ordinal, e->>'$.caller' AS caller, e->>'$.callee' AS callee, e->>'$.timestamp' AS timestamp, try_cast(e->>'$.duration_seconds' AS INT) AS duration_seconds FROM {elements('calls')}"
 ORACLES = {
+    "p5_calls": _P5_CALLS,
     "p7_found": _P7 + "SELECT src_table, row_id, kind, period_month FROM o WHERE kind IS NOT NULL",
     "p7_maintained": _P7
     + "SELECT r.target, r.k AS key, count(*) AS refs, coalesce(max(t.n), 0) AS rows FROM r LEFT JOIN t ON r.target = t.target AND r.k = t.k WHERE r.k <> '' AND coalesce(t.gone = t.n, true) GROUP BY 1, 2",

@@ -100,7 +100,9 @@ def span_overlaps(spark, d):
     return a.join(b, "doc_id").filter("a < b AND s1 < e2 AND s2 < e1").select("a", "b", F.round(tx.span_overlap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")), 4).alias("iou"))
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, mention_id, start_char, end_char, (start_char, -end_char, mention_id) AS o FROM {_SPANS}),
+k AS (SELECT doc_id, arg_min(mention_id, o) AS mention_id, arg_min(end_char, o) AS e FROM s GROUP BY doc_id UNION ALL SELECT k.doc_id, arg_min(s.mention_id, s.o), arg_min(s.end_char, s.o) FROM k JOIN s ON s.doc_id = k.doc_id AND s.start_char >= k.e GROUP BY k.doc_id)
+SELECT doc_id, mention_id FROM k""")
 def kept_spans(spark, d):
     """Earliest, then longest mentions of each document without overlaps: a fold over its sorted spans."""
     m = _spans(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_char", (-F.col("end_char")).alias("e"), "mention_id"))).alias("m"))

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to function of session and folder) and ORACLES (name to SQL).
-MODULES = ["threadloom.plans." + m for m in ("dealt", "relational", "network", "case", "extras", "names", "streams")]
+MODULES = ["threadloom.plans." + m for m in ("dealt", "relational", "network", "case", "casegraph", "extras", "names", "streams")]
 
 
 def _merged(attribute: str) -> dict:
