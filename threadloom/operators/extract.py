@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.lexicon import ALIAS_WORDS, NOT_NAMES, ORG_WORDS, PLACE_WORDS, ROLE_WORDS, TITLES
+from threadloom.operators.repair import Words, repaired
 
 _PHONE = re.compile(r"(?<![\d\w])(?:\(?\+?91\)?[ -]?|0)?[6-9]\d{2}[ -]?\d{2}[ -]?\d[ -]?\d{4}(?!\d)|(?<![\d\w])(?:\(?\+?91\)?[ -]?|0)?[6-9]\d{3}[ -]?\d{3}[ -]?\d{3}(?!\d)")
 _PLATE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[ -]?\d{1,2}[ -]?[A-Z]{1,3}[ -]?\d{4}(?!\d)")
@@ -109,8 +110,13 @@ MENTION_SCHEMA = T.StructType(
 )
 
 
-def extract_mentions(docs: DataFrame, id_col: str = "id", text_col: str = "raw_text", names: frozenset[str] = frozenset(), hook: Callable[[str], list[tuple[str, int, int]]] | None = None) -> DataFrame:
-    """One row per mention; ids are hashes of document, type and span, so reruns agree. Null and blank texts have none."""
+def extract_mentions(
+    docs: DataFrame, id_col: str = "id", text_col: str = "raw_text", names: frozenset[str] = frozenset(), hook: Callable[[str], list[tuple[str, int, int]]] | None = None, words: Words | None = None
+) -> DataFrame:
+    """One row per mention; ids are hashes of document, type and span, so reruns agree. Null and blank texts have none.
+
+    ``words`` (see ``repair.known_words``) turns on the second pass: names in Devanagari and repairs of the spans.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,6 +129,11 @@ def extract_mentions(docs: DataFrame, id_col: str = "id", text_col: str = "raw_t
                     for kind, s, e in hook(text):
                         if not any(m["s"] < e and s < m["e"] for m in found):
                             found.append({"entity_type": kind, "s": s, "e": e, "engine": "model", "confidence": BASE["model"]})
+                if words:
+                    known = {(m["s"], m["e"]): m for m in found}
+                    found = [
+                        {**known.get((x.s, x.e), {"confidence": BASE["gazetteer"]}), "entity_type": x.kind, "s": x.s, "e": x.e, "engine": x.engine if not x.fix else "gazetteer"} for x in repaired(text, found, words)
+                    ]
                 for m in found:
                     mid = sha1(f"{doc}|{m['entity_type']}|{m['s']}|{m['e']}".encode()).hexdigest()[:16]
                     g = m.get("alias_group")

@@ -11,6 +11,7 @@ from threadloom.operators.extract import extract_mentions
 from threadloom.operators.nested import flat_table, flatten_payloads
 from threadloom.functions.lexicon import CALL_CUES, FAMILY_CUES, MONEY_CUES
 from threadloom.operators.relate import RULES, identifier_chains, nearest_person, person_pairs, person_relations, with_sentences
+from threadloom.operators.repair import known_words
 from threadloom.operators.resolve import close_pairs, resolve_exact, resolve_names
 from threadloom.plans.jsonsql import elements
 from threadloom.plans.relational import _DOCS, _ENTS, docs, ents
@@ -198,6 +199,14 @@ def extracted_mentions(spark, d):
     return extract_mentions(docs(spark, d, "raw_text").filter("raw_text IS NOT NULL"))
 
 
+@query()
+def repaired_mentions(spark, d):
+    """Mentions after the second pass, with words learnt of the mentions of an earlier run."""
+    ship(spark)
+    words = known_words(ents(spark, d, "entity_type", "raw_text").withColumnRenamed("raw_text", "text"))
+    return extract_mentions(docs(spark, d, "raw_text").filter("raw_text IS NOT NULL"), names=words.names, words=words)
+
+
 def _spans(spark, d) -> DataFrame:
     """Mentions of the entities table that lie in their document."""
     e = ents(spark, d, "entity_type", "raw_text", "source_document_id", "metadata_json", "confidence")
