@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import checkpoint
+
 #: Payments from LOWER up to (not including) THRESHOLD are under the threshold; fixed values.
 THRESHOLD, LOWER = 50_000.0, 40_000.0
 #: Titles, severities and tags of the kinds of findings; fixed values.
@@ -43,27 +49,38 @@ def burst_members(calls: DataFrame, keys: list[str], ts: str, minutes: int = 15,
 
 
 def burst_segments(calls: DataFrame, keys: list[str], ts: str, minutes: int = 15, least: int = 3) -> DataFrame:
-    """Number of bursts and calls per key, by a greedy fold over the sorted times.
+    """Number of bursts and calls per key, by one pass over the sorted times.
 
     The window slides with its start; when it holds ``least`` calls and its last one is beyond what the last burst
     claimed, a burst begins and claims all calls within the window's length of its first call. Later windows slide on
-    from the same start, so calls may serve two bursts. One array of times per key, which must fit one task.
+    from the same start, so calls may serve two bursts. A task holds the calls of one window, not those of a key.
     """
     width = minutes * 60.0
-    times = calls.filter(F.col(ts).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)).alias("t"))
-    state = F.struct(F.lit(0).alias("i"), F.lit(-1.0).cast("double").alias("claimed"), F.lit(0).alias("j"), F.lit(0).alias("n"))
 
-    def step(a: Column, x: Column) -> Column:
-        t = F.col("t")
-        # First index whose time is within the window of x; the start never goes back.
-        inside = F.size(F.filter(t, lambda y: (y <= x) & (y >= x - width)))
-        upto = a["j"] + 1
-        i = F.greatest(a["i"], upto - inside)
-        starts = (upto - i >= least) & (x > a["claimed"])
-        return F.struct(i.cast("int").alias("i"), F.when(starts, F.element_at(t, (i + 1).cast("int")) + width).otherwise(a["claimed"]).alias("claimed"), upto.cast("int").alias("j"), (a["n"] + F.when(starts, 1).otherwise(0)).cast("int").alias("n"))
-
-    out = times.filter(F.size("t") >= least).withColumn("n_bursts", F.aggregate("t", state, step, lambda a: a["n"]))
-    return out.select(*keys, F.size("t").alias("n_calls"), "n_bursts").filter("n_bursts > 0")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, window, claimed, calls_n, bursts, out = None, deque(), -1.0, 0, 0, []
+        for b in batches:
+            for *key, t in b.itertuples(index=False, name=None):
+                if key != now:
+                    if bursts:
+                        out.append((*now, calls_n, bursts))
+                    now, window, claimed, calls_n, bursts = key, deque(), -1.0, 0, 0
+                calls_n += 1
+                window.append(t)
+                while window[0] < t - width:
+                    window.popleft()
+                if len(window) >= least and t > claimed:
+                    bursts += 1
+                    claimed = window[0] + width
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "n_calls", "n_bursts"])
+                out = []
+        if bursts:
+            yield pd.DataFrame([(*now, calls_n, bursts)], columns=[*keys, "n_calls", "n_bursts"])
+
+    src = calls.filter(F.col(ts).isNotNull()).select(*keys, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
+    kinds = ", ".join(f"{k} {calls.schema[k].dataType.simpleString()}" for k in keys)
+    return src.repartition(*keys).sortWithinPartitions(*keys, "t").mapInPandas(run, f"{kinds}, n_calls int, n_bursts int")
 
 
 def count_bursts(times: list[float], width: float = 900.0, least: int = 3) -> int:
@@ -80,6 +97,20 @@ def count_bursts(times: list[float], width: float = 900.0, least: int = 3) -> in
     return n
 
 
+def numbered(findings: DataFrame, group: str, by: str) -> DataFrame:
+    """Findings with their number ``n`` within the group, from 0 in the order of ``by``.
+
+    Rows are sorted over all tasks by range; each is numbered within its range, and the counts of the ranges before,
+    one row a range and group, are added. No group is brought into one task.
+    """
+    x = checkpoint(findings.repartitionByRange(F.col(group), F.col(by)).withColumn("_part", F.spark_partition_id()))
+    c = x.groupBy(group, "_part").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.select(group, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_part").orderBy(by)) - 1
+    return x.withColumn("_k", inside).join(c, [group, "_part"]).withColumn("n", F.col("_k") + F.col("_before")).drop("_k", "_part", "_before")
+
+
 def present(findings: DataFrame) -> DataFrame:
     """Findings (kind, subject) with title, severity and tags; other kinds get a title made of their name."""
     spark = findings.sparkSession

@@ -8,6 +8,7 @@ documented pivots or levels where a case is large.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -90,13 +91,18 @@ def connected_components(pairs: DataFrame, every: int = 1) -> DataFrame:
             if tuple(now) == last:
                 break
             last = tuple(now)
+    else:
+        raise RuntimeError("components did not settle within 200 rounds")
     comp = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     return loops.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, rounds: int = 10, every: int = 1) -> DataFrame:
+def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, rounds: int = 10, every: int = 1, tolerance: float | None = None) -> DataFrame:
     """(id, rank) of the simple directed graph after ``rounds`` power iterations; dangling mass is spread evenly.
 
+    With a ``tolerance`` it ends once the ranks change by less than that a vertex, all in all, and raises if they do not
+    within ``rounds``.
+
     A round reads the ranks twice, so they are checkpointed every round; that keeps the plan from doubling.
     """
     e = edges.filter("src <> dst").select("src", "dst").distinct()
@@ -104,13 +110,20 @@ def pagerank(edges: DataFrame, vertices: DataFrame, damping: float = 0.85, round
     e = checkpoint(e.join(out, "src").repartition("src"))
     v = checkpoint(vertices.select("id").join(out.withColumnRenamed("src", "id"), "id", "left"))
     n = v.count()
-    r = v.withColumn("rank", F.lit(1.0 / max(1, n)))
+    r, last = v.withColumn("rank", F.lit(1.0 / max(1, n))), None
     for k in range(rounds):
         flow = e.join(r.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
         lost = r.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         r = v.join(flow, "id", "left").join(F.broadcast(lost)).select("id", "out", (F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % every == every - 1 and k + 1 < rounds:
-            r = checkpoint(r)
+        if k % every == every - 1 and k + 1 < rounds or tolerance is not None:
+            before, r = last, checkpoint(r)
+            last = r
+            if tolerance is not None and before is not None:
+                moved = r.join(before.select("id", F.col("rank").alias("was")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+                if (moved or 0.0) < tolerance * max(1, n):
+                    return r.select("id", "rank")
+    if tolerance is not None:
+        raise RuntimeError(f"ranks did not settle within {rounds} rounds")
     return r.select("id", "rank")
 
 
@@ -123,12 +136,9 @@ def _adjacency(g: pd.DataFrame) -> dict:
     return adj
 
 
-def brandes(adj: dict, pivots: int = 256) -> dict:
-    """Normalised betweenness of an undirected graph; beyond ``pivots`` vertices from as many evenly drawn sources."""
-    nodes = sorted(adj)
-    n = len(nodes)
-    score = dict.fromkeys(nodes, 0.0)
-    sources = nodes if n <= pivots else [nodes[int(i * n / pivots)] for i in range(pivots)]
+def dependencies(adj: dict, sources: list) -> dict:
+    """Brandes' sums of the dependencies of all vertices on the paths from ``sources``; the sums of parts add up."""
+    score = dict.fromkeys(sorted(adj), 0.0)
     for s in sources:
         stack, pred, sigma, dist = [], defaultdict(list), {s: 1.0}, {s: 0}
         q = deque([s])
@@ -148,18 +158,43 @@ def brandes(adj: dict, pivots: int = 256) -> dict:
                 delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
             if w != s:
                 score[w] += delta[w]
+    return score
+
+
+def brandes(adj: dict, pivots: int | None = None) -> dict:
+    """Normalised betweenness of an undirected graph; beyond ``pivots`` vertices from as many evenly drawn sources."""
+    nodes = sorted(adj)
+    n = len(nodes)
+    sources = nodes if pivots is None or n <= pivots else [nodes[int(i * n / pivots)] for i in range(pivots)]
     scale = n / len(sources) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return {v: x * scale for v, x in score.items()}
+    return {v: x * scale for v, x in dependencies(adj, sources).items()}
 
 
-def betweenness(edges: DataFrame, case: str = "case_id", pivots: int = 256) -> DataFrame:
-    """Betweenness per case; exact up to ``pivots`` vertices, estimated beyond."""
+def betweenness(edges: DataFrame, case: str = "case_id", pivots: int | None = 256, chunk: int = 32) -> DataFrame:
+    """(case_id, id, betweenness, estimated) of the undirected graph of each case, normalised.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        b = brandes(_adjacency(g), pivots)
-        return pd.DataFrame({"case_id": g[case].iloc[0], "id": list(b), "betweenness": list(b.values())})
+    Exact with ``pivots`` None, and for cases of up to ``pivots`` vertices; larger ones are estimated from as many evenly
+    drawn sources, and say so. Sources are worked on in chunks that any task may take, as their sums add up; a task
+    holds the edges of one case.
+    """
 
-    return edges.groupBy(case).applyInPandas(run, "case_id string, id string, betweenness double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for c, es, part, k in zip(d["c"], d["es"], d["part"], d["k"]):
+                adj = _adjacency(pd.DataFrame(list(map(tuple, ((e["src"], e["dst"]) for e in es))), columns=["src", "dst"]))
+                nodes = sorted(adj)
+                n = len(nodes)
+                sources = nodes if k >= n else [nodes[int(i * n / k)] for i in range(k)]
+                score = dependencies(adj, sources[part * chunk : (part + 1) * chunk])
+                scale = n / len(sources) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+                yield pd.DataFrame({"case_id": c, "id": nodes, "b": [score[v] * scale for v in nodes], "estimated": k < n})
+
+    g = edges.filter("src <> dst").groupBy(F.col(case).alias("c")).agg(F.collect_set(F.struct("src", "dst")).alias("es"))
+    n = F.size(F.array_distinct(F.flatten(F.transform("es", lambda e: F.array(e["src"], e["dst"])))))
+    g = g.withColumn("k", n if pivots is None else F.least(n, F.lit(pivots)))
+    parts = g.select("c", "es", F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / chunk).cast("int"))).alias("part"), "k")
+    out = parts.repartition("c", "part").mapInPandas(run, "case_id string, id string, b double, estimated boolean")
+    return out.groupBy("case_id", "id").agg(F.sum("b").alias("betweenness"), F.bool_or("estimated").alias("estimated"))
 
 
 def louvain_levels(adj: dict) -> dict:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import entry_hash
@@ -13,19 +17,28 @@ GENESIS_PREVIOUS = "0" * 64
 def build_chains(entries: DataFrame, chain: str = "chain", order: str = "ordinal", kind: str = "event_type", payload: str = "payload") -> DataFrame:
     """(chain, sequence_number, event_type, payload, prev_hash, entry_hash), one chain per key.
 
-    An entry's hash needs that of the entry before, so a chain is a fold over its ordered entries; chains are parallel.
+    An entry's hash needs that of the entry before, so a chain is one pass over its ordered entries; chains are
+    parallel. A partition is a sorted stream, of which a task holds one batch and the last hash.
     """
-    rows = entries.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kind).alias("k"), F.col(payload).alias("p")))).alias("r"))
-    item = "array<struct<sequence_number:int,event_type:string,payload:string,prev_hash:string,entry_hash:string>>"
-    zero = F.array().cast(item)
-
-    def step(a: Column, x: Column) -> Column:
-        n = F.size(a)
-        previous = F.when(n == 0, F.lit(GENESIS_PREVIOUS)).otherwise(F.try_element_at(a, n)["entry_hash"])
-        h = entry_hash(n, x["k"], x["p"], previous)
-        return F.array_append(a, F.struct(n.alias("sequence_number"), x["k"].alias("event_type"), x["p"].alias("payload"), previous.alias("prev_hash"), h.alias("entry_hash")))
 
-    return rows.select(chain, F.inline(F.aggregate("r", zero, step)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, last = object(), 0, GENESIS_PREVIOUS
+        for b in batches:
+            numbers, before, hashes = [], [], []
+            for c, k, p in zip(b["chain"], b["event_type"], b["payload"]):
+                if c != now:
+                    now, n, last = c, 0, GENESIS_PREVIOUS
+                before.append(last)
+                last = sha256("|".join(str(x) for x in (n, k, p, last) if x is not None).encode()).hexdigest()
+                numbers.append(n)
+                hashes.append(last)
+                n += 1
+            yield pd.DataFrame({chain: b["chain"], "sequence_number": numbers, "event_type": b["event_type"], "payload": b["payload"], "prev_hash": before, "entry_hash": hashes})
+
+    src = entries.select(F.col(chain).alias("chain"), F.col(order).alias("o"), F.col(kind).alias("event_type"), F.col(payload).alias("payload"))
+    rows = src.repartition("chain").sortWithinPartitions("chain", "o", "event_type", "payload").select("chain", "event_type", "payload")
+    kt = entries.schema[chain].dataType.simpleString()
+    return rows.mapInPandas(run, f"{chain} {kt}, sequence_number int, event_type string, payload string, prev_hash string, entry_hash string")
 
 
 def verify_chains(ledger: DataFrame, chain: str = "chain") -> DataFrame:

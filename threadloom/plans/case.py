@@ -318,20 +318,40 @@ def close_part_names(spark, d):
 
 @query()
 def extraction_quality(spark, d):
-    """Extracted spans against the mentions of an earlier run, by type."""
+    """Extracted spans of all documents against the mentions of an earlier run, by type and over all of them (null type)."""
     ship(spark)
     gold = _spans(spark, d).select("doc_id", "entity_type", F.col("start_char").alias("s"), F.col("end_char").alias("e")).distinct()
     found = extract_mentions(docs(spark, d, "raw_text").filter("raw_text IS NOT NULL")).select("doc_id", "entity_type", F.col("start_char").alias("s"), F.col("end_char").alias("e"))
-    found = found.join(gold.select("doc_id").distinct(), "doc_id", "left_semi")
-    m = match_spans(gold, found).groupBy("entity_type").agg(F.sum("n_gold").alias("n_gold"), F.sum("n_found").alias("n_found"), F.sum("n_hit").alias("n_hit"))
+    m = match_spans(gold, found).rollup("entity_type").agg(F.sum("n_gold").alias("n_gold"), F.sum("n_found").alias("n_found"), F.sum("n_hit").alias("n_hit"))
     return m.select("*", *quality(F.col("n_hit"), F.col("n_found"), F.col("n_gold")))
 
 
+_LABELS = f"(SELECT e.intake_id || ':' || lower(e.normalized_text) AS gold, r.entity_id AS found FROM {_ENTS} e JOIN (SELECT m, min(entity_id) AS entity_id FROM (SELECT entity_id, unnest(mention_ids) AS m FROM resolved_entities WHERE deleted_at IS NULL) GROUP BY m) r ON r.m = e.id WHERE trim(e.normalized_text) <> '' AND e.intake_id IS NOT NULL)"
+
+
+def _labels(spark, d) -> DataFrame:
+    """(gold, found): normalised spelling within the intake, and the entity an earlier run gave the mention."""
+    r = table(spark, d, "resolved_entities").filter("deleted_at IS NULL").select("entity_id", F.explode("mention_ids").alias("id")).groupBy("id").agg(F.min("entity_id").alias("found"))
+    e = ents(spark, d, "intake_id", "normalized_text").filter("trim(normalized_text) <> '' AND intake_id IS NOT NULL")
+    return e.join(r, "id").select(F.concat_ws(":", "intake_id", F.lower("normalized_text")).alias("gold"), "found")
+
+
 @query(
-    "WITH l AS (SELECT l_suppkey % 7 AS gold, l_partkey % 5 AS found FROM lineitem), a AS (SELECT sum(n * (n - 1) / 2) AS hit FROM (SELECT count(*) AS n FROM l GROUP BY gold, found)), g AS (SELECT sum(n * (n - 1) / 2) AS in_gold FROM (SELECT count(*) AS n FROM l GROUP BY gold)), f AS (SELECT sum(n * (n - 1) / 2) AS in_found FROM (SELECT count(*) AS n FROM l GROUP BY found)) SELECT hit, in_gold, in_found, round(hit / in_found, 3) AS precision, round(hit / in_gold, 3) AS recall, round(2 * (hit / in_found) * (hit / in_gold) / (hit / in_found + hit / in_gold), 3) AS f1 FROM a, g, f"
+    f"WITH l AS (SELECT * FROM {_LABELS}), a AS (SELECT sum(n * (n - 1) / 2) AS hit FROM (SELECT count(*) AS n FROM l GROUP BY gold, found)), g AS (SELECT sum(n * (n - 1) / 2) AS in_gold FROM (SELECT count(*) AS n FROM l GROUP BY gold)), f AS (SELECT sum(n * (n - 1) / 2) AS in_found FROM (SELECT count(*) AS n FROM l GROUP BY found)) SELECT hit, in_gold, in_found, round(hit / in_found, 3) AS precision, round(hit / in_gold, 3) AS recall, round(2 * (hit / in_found) * (hit / in_gold) / (hit / in_found + hit / in_gold), 3) AS f1 FROM a, g, f"
 )
 def clustering_quality(spark, d):
-    return pairwise_quality(table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("gold"), (F.col("l_partkey") % 5).alias("found")))
+    """Pairs of mentions that an earlier run joined against those of one normalised spelling."""
+    return pairwise_quality(_labels(spark, d))
+
+
+@query(f"WITH l AS (SELECT DISTINCT * FROM {_LABELS}) SELECT (SELECT count(*) FROM (SELECT found FROM l GROUP BY found HAVING count(*) > 1)) AS n_false_merges, (SELECT count(*) FROM (SELECT gold FROM l GROUP BY gold HAVING count(*) > 1)) AS n_fragmented, (SELECT count(DISTINCT gold) FROM l) AS n_gold, (SELECT count(DISTINCT found) FROM l) AS n_found")
+def clustering_errors(spark, d):
+    """Entities that mix several spellings, and spellings in several entities."""
+    x = _labels(spark, d).distinct()
+    f, g = x.groupBy("found").agg(F.count("*").alias("n")), x.groupBy("gold").agg(F.count("*").alias("n"))
+    a = f.agg(F.count_if(F.col("n") > 1).alias("n_false_merges"), F.count("*").alias("n_found"))
+    b = g.agg(F.count_if(F.col("n") > 1).alias("n_fragmented"), F.count("*").alias("n_gold"))
+    return a.join(F.broadcast(b)).select("n_false_merges", "n_fragmented", "n_gold", "n_found")  # one row each
 
 
 @query(f"SELECT case_id, count(*) AS n_mentions, count(DISTINCT lower(trim(source_document_id))) AS n_documents, count(*) FILTER (confidence < 0.6) AS n_unsure, count(DISTINCT entity_type) AS n_types FROM {_ENTS} WHERE case_id IS NOT NULL AND trim(source_document_id) <> '' GROUP BY case_id")

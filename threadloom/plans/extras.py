@@ -10,6 +10,10 @@ from threadloom.operators import findings, graph
 from threadloom.plans.case import _SPANS, _spans
 from threadloom.plans.network import _E, _V, payments, trade, traders
 from threadloom.plans.relational import _ENTS, _LINKS, _REQS, ents, links, requests
+from threadloom.operators.evaluate import match_spans, quality
+from threadloom.operators.extract import extract_mentions
+from threadloom.session import ship
+from threadloom.sources.planted import gold_spans, planted_recall, rings
 from threadloom.sources.generate import call_records, payment_records, reports
 from threadloom.sources.tables import clean_key, table
 
@@ -133,16 +137,15 @@ _BAND = "l_extendedprice >= 40000 AND l_extendedprice < 50000"
 f AS (SELECT 'hub_and_spoke' AS kind, id AS subject FROM d WHERE degree > (SELECT avg(degree) + 2 * stddev_pop(degree) FROM d) UNION ALL
 SELECT 'financial_structuring', 'D' || l_orderkey FROM lineitem WHERE {_BAND} GROUP BY l_orderkey HAVING count(*) >= 3 UNION ALL
 SELECT 'financial_structuring', 'S' || l_suppkey FROM lineitem WHERE {_BAND} GROUP BY l_suppkey HAVING count(*) >= 3 AND count(DISTINCT l_partkey) >= 2 UNION ALL
-SELECT DISTINCT 'communication_burst', event_type FROM (SELECT event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTES PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n >= 3)
+SELECT DISTINCT 'communication_burst', 'U' || user_id FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTES PRECEDING AND CURRENT ROW) AS n FROM events) WHERE n >= 3)
 SELECT 'alert-' || (row_number() OVER (PARTITION BY kind ORDER BY subject) - 1) || '-' || subject || '-' || kind AS alert_id, kind, subject FROM f""")
 def all_findings(spark, d):
     """Findings of the four detectors with numbered ids."""
     f = graph.hubs(trade(spark, d), traders(spark, d)).select(F.lit("hub_and_spoke").alias("kind"), F.col("id").alias("subject"))
     f = f.unionByName(findings.structuring_by_document(payments(spark, d)).select(F.lit("financial_structuring").alias("kind"), F.concat(F.lit("D"), "document_id").alias("subject")))
     f = f.unionByName(findings.structuring_by_sender(payments(spark, d)).select(F.lit("financial_structuring").alias("kind"), F.concat(F.lit("S"), "sender").alias("subject")))
-    b = findings.burst_members(table(spark, d, "events").select("event_type", "ts"), ["event_type"], "ts").select(F.lit("communication_burst").alias("kind"), F.col("event_type").alias("subject")).distinct()
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("subject")) - 1
-    return f.unionByName(b).select(F.concat_ws("-", F.lit("alert"), n, "subject", "kind").alias("alert_id"), "kind", "subject")
+    b = findings.burst_members(table(spark, d, "events").select("user_id", "ts"), ["user_id"], "ts").select(F.lit("communication_burst").alias("kind"), F.concat(F.lit("U"), "user_id").alias("subject")).distinct()
+    return findings.numbered(f.unionByName(b), "kind", "subject").select(F.concat_ws("-", F.lit("alert"), "n", "subject", "kind").alias("alert_id"), "kind", "subject")
 
 
 _RULES = [("calls", "PERSON", "PHONE"), ("owns", "PERSON", "VEHICLE"), ("present-at", "PERSON", "LOCATION"), ("associated-with", "PERSON", "ORGANIZATION"), ("transacts-with", "ACCOUNT", "ACCOUNT")]
@@ -161,6 +164,25 @@ def endpoint_validity(spark, d):
     return p.join(F.broadcast(rules), ["relation_type", "ta", "tb"], "left").select("relation_type", "ta", "tb", F.coalesce("ok", F.lit(False)).alias("valid"), "n")
 
 
+@query()
+def planted_quality(spark, d):
+    """Recall over the planted mentions of as many generated reports as there are documents, by type."""
+    ship(spark)
+    r = rings(spark, table(spark, d, "source_documents").count())
+    return planted_recall(gold_spans(r), extract_mentions(r))
+
+
+@query()
+def planted_f1(spark, d):
+    """Precision, recall and F1 of extracted spans on generated reports, by type and over all of them (null type)."""
+    ship(spark)
+    r = rings(spark, table(spark, d, "source_documents").count())
+    gold = gold_spans(r).filter("s IS NOT NULL").select("doc_id", "entity_type", "s", "e")
+    found = extract_mentions(r).select("doc_id", "entity_type", F.col("start_char").alias("s"), F.col("end_char").alias("e"))
+    m = match_spans(gold, found).rollup("entity_type").agg(F.sum("n_gold").alias("n_gold"), F.sum("n_found").alias("n_found"), F.sum("n_hit").alias("n_hit"))
+    return m.select("*", *quality(F.col("n_hit"), F.col("n_found"), F.col("n_gold")))
+
+
 @query()
 def generated_records(spark, d):
     """Generated reports, calls and payments, as many as there are documents, by kind and planted flag."""

@@ -98,7 +98,7 @@ def components_of_evidence(spark, d):
 
 @query()
 def influencers(spark, d):
-    """The five most central vertices of each case by betweenness."""
+    """The five most central vertices of each case by betweenness; large cases are estimated and say so."""
     ship(spark)
     return graph.ranked(graph.betweenness(evidence_edges(spark, d)), "betweenness", 5, "case_id").withColumn("betweenness", F.round("betweenness", 6))
 
@@ -137,14 +137,15 @@ def structuring_senders(spark, d):
     return findings.structuring_by_sender(payments(spark, d))
 
 
-@query("SELECT event_id, event_type, n_in_window FROM (SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTES PRECEDING AND CURRENT ROW) AS n_in_window FROM events) WHERE n_in_window >= 3")
+@query("SELECT event_id, user_id, n_in_window FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTES PRECEDING AND CURRENT ROW) AS n_in_window FROM events) WHERE n_in_window >= 3")
 def burst_calls(spark, d):
-    return findings.burst_members(table(spark, d, "events").select("event_id", "event_type", "ts"), ["event_type"], "ts").select("event_id", "event_type", "n_in_window")
+    return findings.burst_members(table(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts").select("event_id", "user_id", "n_in_window")
 
 
 @query()
 def burst_counts(spark, d):
     """Bursts per user, 6 hours long."""
+    ship(spark)
     return findings.burst_segments(table(spark, d, "events").select("user_id", "ts"), ["user_id"], "ts", minutes=360)
 
 
@@ -162,6 +163,7 @@ UNION ALL SELECT x.chain, x.sequence_number, x.event_type, x.payload, c.entry_ha
 
 
 def _chains(spark, d) -> DataFrame:
+    ship(spark)
     n = table(spark, d, "nation").select(F.col("n_regionkey").alias("chain"), F.col("n_nationkey").alias("ordinal"), F.lit("case_created").alias("event_type"), F.col("n_name").alias("payload"))
     return ledger.build_chains(n)
 

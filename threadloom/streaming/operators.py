@@ -116,3 +116,48 @@ def lockouts(events: DataFrame, key: str = "user_id", ts: str = "ts", kind: str
     kt = events.schema[key].dataType.simpleString()
     src = events.withWatermark(ts, late).select(key, ts, (F.unix_micros(F.col(ts)) / 1e6).alias("t"), F.col(kind).alias("k"))
     return src.groupBy(key).applyInPandasWithState(step, f"{key} {kt}, locked_at double", "recent array<double>, locked double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: How long a request may stay open, in seconds; a fixed value.
+OPEN_S = 48 * 3600
+
+
+def escalations(events: DataFrame, key: str = "id", ts: str = "ts", what: str = "what", late: str = "0 seconds") -> DataFrame:
+    """(key, escalated_at) of keys that were created and not resolved within the time: an event-time timer per key.
+
+    State is the time of creation; a timer fires once the watermark is past the term. A resolution that comes at the
+    term or later finds it escalated. Events of a key in one micro-batch are taken in order of time.
+    """
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        created = state.get[0] if state.exists else None
+        out = lambda t: pd.DataFrame({key: [k[0]], "escalated_at": [pd.Timestamp(t + OPEN_S, unit="s", tz="UTC")]})
+        if state.hasTimedOut:
+            state.remove()
+            yield out(created)
+            return
+        d = pd.concat(list(parts))
+        done = False
+        for t, w in sorted(zip(d["t"].tolist(), d["w"].tolist())):
+            if w == "created" and created is None and not done:
+                created = t
+            elif w == "resolved" and created is not None:
+                if t >= created + OPEN_S:
+                    yield out(created)
+                created, done = None, True
+        if created is None:
+            if state.exists:
+                state.remove()
+            return
+        due = int((created + OPEN_S) * 1000)
+        if due < state.getCurrentWatermarkMs():
+            yield out(created)
+            if state.exists:
+                state.remove()
+            return
+        state.update((created,))
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    kt = events.schema[key].dataType.simpleString()
+    src = events.withWatermark(ts, late).select(key, ts, (F.unix_micros(F.col(ts)) / 1e6).alias("t"), F.col(what).alias("w"))
+    return src.groupBy(key).applyInPandasWithState(step, f"{key} {kt}, escalated_at timestamp", "created double", "append", GroupStateTimeout.EventTimeTimeout)
