@@ -141,3 +141,15 @@ def test_statistics(spark):
     assert rows[2].kind == rows[3].kind == "blank" and rows[4].kind == "junk" and rows[1].n_words == 2
     assert q.text_statistics(df.limit(0), COMMON).count() == 0
     assert q.autocorrelation([1, 2, 1, 2, 1, 2], 2) > 0.5 and q.autocorrelation([1, 1], 1) == 0
+
+
+def test_families_of_the_samples(samples):
+    """Languages and families come from the labelled rows: a new one is learnt, one without rows is not guessed."""
+    from threadloom.llm.languages import families_of
+
+    fam = families_of(samples[0] + samples[1])
+    assert fam == {"latin": ["en", "es", "fr", "hi-latn"], "devanagari": ["hi", "mr"], "arabic": ["ur"], "bengali": ["bn"], "thai": ["th"], "han": ["zh"]}
+    ru = [("ru", "Автобус прибыл в город до рассвета."), ("uk", "Автобус прибув до міста ще до світанку, і він пішов.")] * 3
+    model = LanguageModel.fit(samples[0] + ru)
+    assert model.families["cyrillic"] == ["ru", "uk"] and label_units(model, ["Автобус прибыл в город."])[0][0] == "ru"
+    assert label_units(LanguageModel.fit(samples[0]), ["Автобус прибыл в город."])[0][0] == "und"

@@ -8,7 +8,10 @@ scores of a word are kept and each word is scored once per worker.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, groupby
 from math import exp
 from zlib import crc32
@@ -23,8 +26,6 @@ from threadloom.llm.chars import ZERO_WIDTH
 from threadloom.llm.chars import plain as tidy
 from threadloom.llm.sentences import unit_offsets
 
-#: Languages of each family; a family of one needs no classifier.
-FAMILIES = {"latin": ["en", "es", "fr", "hi-latn"], "devanagari": ["hi", "mr"], "arabic": ["ur"], "bengali": ["bn"], "thai": ["th"], "han": ["zh"]}
 N_FEATURES = 1 << 15
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_SAMPLES = 5000
@@ -38,7 +39,9 @@ _ASCII_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
 _ZERO = re.compile(f"[{ZERO_WIDTH}]")
 
 
+@lru_cache(100_000)
 def family_of(ch: str) -> str | None:
+    """Family that a letter's script belongs to: its place in the code charts, else the script in its name."""
     c = ord(ch)
     if c < 0x250:
         return "latin"
@@ -52,9 +55,19 @@ def family_of(ch: str) -> str | None:
         return "thai"
     if 0x3400 <= c < 0xA000 or 0x20000 <= c < 0x32000 or 0x3040 <= c < 0x3100:
         return "han"
-    return None
-
-
+    return unicodedata.name(ch, "other").split()[0].lower() if ch.isalpha() else None
+
+
+def families_of(samples: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """Family to its languages, sorted: a language is of the family that most letters of its samples have."""
+    letters: dict[str, Counter] = {}
+    for lang, text in samples:
+        letters.setdefault(lang, Counter()).update(f for ch in text or "" if ch.isalpha() and (f := family_of(ch)))
+    out: dict[str, list[str]] = {}
+    for lang in sorted(letters):
+        if letters[lang]:
+            out.setdefault(max(sorted(letters[lang]), key=letters[lang].get), []).append(lang)
+    return out
 
 
 def words_of(text: str) -> list[str]:
@@ -96,21 +109,21 @@ def _fit_pair(x: np.ndarray, y: np.ndarray, rounds: int = 40, cost: float = 1.0)
 class LanguageModel:
     """Family by script, then one-versus-one machines. ``pairs``: (first, second) to weights, positive for the first."""
 
-    def __init__(self, pairs: dict[tuple[str, str], np.ndarray]):
-        self.pairs = {k: v.astype(np.float32) for k, v in pairs.items()}
+    def __init__(self, pairs: dict[tuple[str, str], np.ndarray], families: dict[str, list[str]]):
+        self.pairs, self.families = {k: v.astype(np.float32) for k, v in pairs.items()}, families
         self._cache: dict[str, tuple] = {}
         self._units: dict[str, tuple] = {}  # of short units, many of which come again
-        self._stack = {f: np.stack([self.pairs[p] for p in combinations(ls, 2)]) for f, ls in FAMILIES.items() if len(ls) > 1}
+        self._stack = {f: np.stack([self.pairs[p] for p in combinations(ls, 2)]) for f, ls in families.items() if len(ls) > 1}
 
     def __getstate__(self):
-        return {"pairs": self.pairs}
+        return {"pairs": self.pairs, "families": self.families}
 
     def __setstate__(self, state):
-        self.__init__(state["pairs"])
+        self.__init__(**state)
 
     @classmethod
     def fit(cls, samples: list[tuple[str, str]]) -> LanguageModel:
-        """From (language, text) rows; languages outside FAMILIES are left out."""
+        """From (language, text) rows; families and their languages are those of the rows."""
         by: dict[str, list[np.ndarray]] = {}
         for lang, text in samples:
             v = np.zeros(N_FEATURES)
@@ -120,7 +133,8 @@ class LanguageModel:
             if n := np.linalg.norm(v):
                 by.setdefault(lang, []).append(v / n)
         pairs = {}
-        for ls in FAMILIES.values():
+        families = families_of(samples)
+        for ls in families.values():
             for a, b in combinations(ls, 2):
                 xa, xb = by.get(a, []), by.get(b, [])
                 if xa and xb:
@@ -132,11 +146,13 @@ class LanguageModel:
                     pairs[a, b] = w
                 else:
                     pairs[a, b] = np.zeros(N_FEATURES)
-        return cls(pairs)
+        return cls(pairs, families)
 
     def word(self, w: str) -> tuple:
         """(family, weight of the word in the choice of the family, scores of the family's pairs)."""
         fam = family_of(w[0])
+        if fam not in self.families:  # a script that no labelled language has
+            return None, 1.0, None
         weight = 0.5 * len(w) if fam == "han" else len(w) / 4 if fam == "thai" else 0.25 if fam == "latin" and w[0].isupper() else 1.0
         score = self._stack[fam][:, features(w)].sum(1).tolist() if fam in self._stack else None
         if score is not None and len(self._cache) < _KEPT_WORDS:
@@ -179,22 +195,25 @@ class LanguageModel:
 
     def decide(self, fam: str, scores: list[float] | None) -> tuple[str, float]:
         """Language of a family by the votes of its machines, with a confidence between 0.5 and 1."""
-        ls = FAMILIES[fam]
+        ls = self.families[fam]
         if len(ls) == 1 or scores is None:
             return ls[0], 1.0
         wins, n = [0] * len(ls), len(ls)
-        for (i, j), s in zip(_PAIRS[n], scores):
+        for (i, j), s in zip(_pairs(n), scores):
             wins[i if s >= 0 else j] += 1
         best = wins.index(max(wins))
         if wins.count(wins[best]) > 1:  # a circle of votes: the larger margin
-            margin = [sum(s if i == k else -s for (i, j), s in zip(_PAIRS[n], scores) if k in (i, j)) for k in range(n)]
+            margin = [sum(s if i == k else -s for (i, j), s in zip(_pairs(n), scores) if k in (i, j)) for k in range(n)]
             best = max((k for k in range(n) if wins[k] == max(wins)), key=margin.__getitem__)
-        low = min(abs(scores[k]) for k in _OWN_PAIRS[n][best])
+        low = min(abs(scores[k]) for k, pair in enumerate(_pairs(n)) if best in pair)
         return ls[best], 1 / (1 + exp(-low))
 
 
-_PAIRS = {n: list(combinations(range(n), 2)) for n in (2, 3, 4)}
-_OWN_PAIRS = {n: [[k for k, p in enumerate(ps) if i in p] for i in range(n)] for n, ps in _PAIRS.items()}
+@lru_cache(None)
+def _pairs(n: int) -> list[tuple[int, int]]:
+    return list(combinations(range(n), 2))
+
+
 #: A unit whose machines are less sure takes part in the choice of a neighbour of its family. Short ones need more.
 SHORT_WORDS = 4
 SURE, SURE_SHORT = 0.975, 0.975
@@ -230,10 +249,11 @@ def label_units(model: LanguageModel, units: list[str]) -> list[tuple[str, float
 
 
 def fit_model(samples: DataFrame, words: DataFrame | None = None, limit: int = MAX_SAMPLES) -> LanguageModel:
-    """Fit on at most ``limit`` labelled rows of (lang, sample_text) and of (lang, word); only these reach the driver."""
-    rows = samples.select("lang", F.col("sample_text").alias("t")).filter("lang IS NOT NULL").limit(limit)
+    """Fit on at most ``limit`` labelled rows of (lang, sample_text) and (lang, word), those of least hash; only these reach the driver."""
+    rows = samples.select("lang", F.col("sample_text").alias("t"))
     if words is not None:
-        rows = rows.unionByName(words.select("lang", F.col("word").alias("t")).filter("lang IS NOT NULL").limit(limit))
+        rows = rows.unionByName(words.select("lang", F.col("word").alias("t")))
+    rows = rows.filter("lang IS NOT NULL").orderBy(F.xxhash64("lang", "t"), "lang", "t").limit(limit)
     return LanguageModel.fit(sorted((r[0], r[1] or "") for r in rows.collect()))
 
 

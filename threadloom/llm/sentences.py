@@ -54,18 +54,22 @@ def _after(words: list[str], tail: str = "") -> str:
 
 
 def _masks() -> str:
-    """Full stops that end no sentence; the pattern looks at full stops only."""
+    """Full stops that end no sentence; the pattern looks at full stops only.
+
+    What it looks back or ahead over is bounded by what the sign can be part of: 64 signs before an at-sign and 253 behind
+    it are the limits of mail addresses, 40 letters those of a name before an initial.
+    """
     word = r"(?<![\p{L}\p{M}&&[^\p{IsHan}]])"
     letter = rf"\p{{L}}\p{{M}}{{0,2}}{_Z}"
     capital = rf"(?=[ ]*[\"‘({OPEN}-{OPEN_FIRST}]?[{_UP}])(?![ ]*(?:{'|'.join(GOES_ON)})\b)"
     end = r"[ ]*+(?:\n|$)"
-    surname = rf"(?:(?<![{_UP}][{_LOW}]{{2,20}} \p{{L}}\.)|(?<=(?:{'|'.join(ROLES)}) \p{{L}}\.))"  # or the initial of one: no end
+    surname = rf"(?:(?<![{_UP}][{_LOW}]{{2,40}} \p{{L}}\.)|(?<=(?:{'|'.join(ROLES)}) \p{{L}}\.))"  # or the initial of one: no end
     return r"\.(?<![a-z]{8}\.(?=[ \n]|$))(?:" + "|".join(
         [
             rf"(?={_Z}[{_DIGIT}])(?<=[{_DIGIT}]{_Z}\.)",
             rf"(?={_Z}[a-z0-9])(?<=[a-zA-Z0-9_+\-]{_Z}\.)",
             r"(?=[A-Z0-9._+\-]{1,64} ?(?:@|[\[(](?i:at)[\])]))",
-            r"(?=[A-Z]{2})(?<=[@)\]] ?[A-Z0-9.\-]{1,40}\.)",
+            r"(?=[A-Z]{2})(?<=[@)\]] ?[A-Z0-9.\-]{1,253}\.)",
             # Initials: more of them, or a name, or more of the sentence follows.
             rf"(?<={word}{letter}\.)(?:(?={letter}\.)|(?<=\p{{L}}{_Z}\.{letter}\.)(?!{end})|(?<!\p{{L}}\.{letter}\.)(?:(?![ ]++[{_UP}]|{end})|(?=[ ]++[{_UP}]){surname}))",
             rf"(?<={word}(?i:[ap]{_Z}\.{_Z}m)\.)(?!{capital})(?!{end})",
