@@ -65,14 +65,18 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def token_counts(mentions: DataFrame) -> DataFrame:
-    """(token, first, last, alone, alias, org, place) over ``mentions``: kind, text, role. One aggregation, partial first."""
+    """(token, first, last, alone, alias, org, place) over ``mentions``: kind, text, role.
+
+    Mentions are counted by their text first, so a text is cut into tokens once; both aggregations are partial first.
+    """
+    texts = mentions.filter("text IS NOT NULL").groupBy("kind", "text", F.coalesce(F.col("role") == "alias", F.lit(False)).alias("is_alias")).agg(F.count("*").alias("rows"))
     t = F.lower(F.translate(F.translate("text", ZERO_WIDTH, ""), PLAIN_FROM, PLAIN_TO))
     words = F.filter(F.split(F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\-]+", " ")), " "), lambda w: F.length(w) > 1)
-    m = mentions.filter("text IS NOT NULL").select("kind", (F.col("role") == "alias").alias("is_alias"), words.alias("w"), t.contains(", ").alias("turned"))
-    m = m.filter(F.size("w").between(1, WORDS)).select("kind", "is_alias", "turned", F.size("w").alias("n"), F.posexplode("w").alias("at", "token"))
-    person = (F.col("kind") == "PERSON") & ~F.coalesce("is_alias", F.lit(False))
-    head = (F.col("at") == 0) != F.coalesce("turned", F.lit(False))
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    m = texts.select("kind", "is_alias", "rows", words.alias("w"), t.contains(", ").alias("turned"))
+    m = m.filter(F.size("w").between(1, WORDS)).select("kind", "is_alias", "rows", "turned", F.size("w").alias("n"), F.posexplode("w").alias("at", "token"))
+    person = (F.col("kind") == "PERSON") & ~F.col("is_alias")
+    head = (F.col("at") == 0) != F.col("turned")
+    one = lambda c: F.sum(F.when(c, F.col("rows")).otherwise(0))
     return m.groupBy("token").agg(
         one(person & (F.col("n") > 1) & head).alias("first"), one(person & (F.col("n") > 1) & ~head).alias("last"), one(person & (F.col("n") == 1)).alias("alone"),
         one((F.col("kind") == "PERSON") & ~person).alias("alias"), one(F.col("kind") == "ORGANIZATION").alias("org"), one(F.col("kind") == "LOCATION").alias("place"),
@@ -182,9 +186,8 @@ def learn_variants(mentions: DataFrame, gazetteer: Gazetteer) -> dict[str, str]:
     known = [(w, k) for w, k in gazetteer.kinds.items() if k in "GS" and script_of(w) == "latin"]
     if not known:
         return {}
-    t = F.lower(F.translate(F.translate("text", ZERO_WIDTH, ""), PLAIN_FROM, PLAIN_TO))
-    words = F.filter(F.split(F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\-]+", " ")), " "), lambda w: F.length(w) > 1)
-    two = mentions.filter("kind = 'PERSON' AND scope IS NOT NULL AND text IS NOT NULL").select("scope", words.alias("w")).filter(F.size("w") == 2)
+    # Names of two plain words; those with odd signs only take no part in the counts.
+    two = mentions.filter("kind = 'PERSON' AND scope IS NOT NULL AND text IS NOT NULL").select("scope", F.split(F.lower("text"), ",? ").alias("w")).filter(F.size("w") == 2)
     kinds = F.broadcast(spark.createDataFrame(known, "token string, k string"))
     two = two.select("scope", F.col("w")[0].alias("x"), F.col("w")[1].alias("y"))
     pairs = two.join(kinds.toDF("x", "kx"), "x").join(kinds.toDF("y", "ky"), "y").filter("kx <> ky")
@@ -206,4 +209,5 @@ def learn_variants(mentions: DataFrame, gazetteer: Gazetteer) -> dict[str, str]:
 
 def entity_rows(entities: DataFrame) -> DataFrame:
     """(scope, kind, text, role) of the entities table."""
-    return entities.select(F.col("intake_id").alias("scope"), F.col("entity_type").alias("kind"), F.col("raw_text").alias("text"), F.get_json_object("metadata_json", "$.alias_role").alias("role"))
+    role = F.when(F.contains("metadata_json", F.lit("alias_role")), F.get_json_object("metadata_json", "$.alias_role"))
+    return entities.select(F.col("intake_id").alias("scope"), F.col("entity_type").alias("kind"), F.col("raw_text").alias("text"), role.alias("role"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -571,8 +571,8 @@ def link_firms(texts: list[str]) -> list[int]:
     return [comp.find(i) for i in range(len(firms))]
 
 
-def _link_group(kind: str, rows: list[tuple], lexicon: Lexicon) -> list[tuple[int, str]]:
-    """(hash, entity) of the distinct spellings (hash, text, phones, [(alias group, role)], first id) of one scope and kind."""
+def _link_group(kind: str, rows: list[tuple], lexicon: Lexicon) -> list[tuple[int, str, bool]]:
+    """(hash, entity, whether that has several spellings) of the distinct spellings (hash, text, phones, [(alias group, role)], first id) of one scope and kind."""
     keys: dict[str, int] = {}
     phones: list[set] = []
     groups: list[set] = []
@@ -595,14 +595,16 @@ def _link_group(kind: str, rows: list[tuple], lexicon: Lexicon) -> list[tuple[in
     for r, k in zip(rows, at):
         if comp[k] not in first or r[4] < first[comp[k]]:
             first[comp[k]] = r[4]
-    return [(r[0], first[comp[k]]) for r, k in zip(rows, at)]
+    n = Counter(comp[k] for k in at)
+    return [(r[0], first[comp[k]], n[comp[k]] > 1) for r, k in zip(rows, at)]
 
 
-SPELLING_SCHEMA = T.StructType([T.StructField("scope", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("h", T.LongType()), T.StructField("entity", T.StringType())])
+SPELLING_SCHEMA = T.StructType([T.StructField("scope", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("h", T.LongType()), T.StructField("entity", T.StringType()), T.StructField("several", T.BooleanType())])
 
 
 def link_names(rows: DataFrame, lexicon: Lexicon = PLAIN_LEXICON) -> DataFrame:
-    """(scope, kind, id, entity, h) of each named row: ``entity`` is the smallest id of its component, ``h`` tells its text.
+    """(scope, kind, id, entity, h, several) of each named row: ``entity`` is the smallest id of its component, ``h`` tells
+    its text, ``several`` whether the component has more than one.
 
     ``rows``: scope, kind (PERSON or ORGANIZATION), id, text, near array<string>, alias_group, alias_role; blank texts
     and null scopes are left out, a row delivered twice counts once. Rows are first reduced to the distinct spellings of
@@ -616,12 +618,12 @@ def link_names(rows: DataFrame, lexicon: Lexicon = PLAIN_LEXICON) -> DataFrame:
 
         def close() -> None:
             if held:
-                out.extend((now[0], now[1], h, entity) for h, entity in _link_group(now[1], held, lexicon))
+                out.extend((now[0], now[1], *linked) for linked in _link_group(now[1], held, lexicon))
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [[]] * 4
+            cols = list(zip(*out)) or [[]] * 5
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=SPELLING_SCHEMA.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()))], names=SPELLING_SCHEMA.names)
 
         for b in batches:
             for scope, kind, *rest in zip(*(c.to_pylist() for c in b.columns)):
@@ -645,7 +647,7 @@ def link_names(rows: DataFrame, lexicon: Lexicon = PLAIN_LEXICON) -> DataFrame:
     spellings = spellings.select("scope", "kind", "h", "text", "near", "declared", "first_id").repartition("scope").sortWithinPartitions("scope", "kind", "h")
     linked = spellings.mapInArrow(run, SPELLING_SCHEMA)
     once = src.groupBy("scope", "kind", "id").agg(F.min("h").alias("h"))
-    return once.join(linked, ["scope", "kind", "h"]).select("scope", "kind", "id", "entity", "h")
+    return once.join(linked, ["scope", "kind", "h"]).select("scope", "kind", "id", "entity", "h", "several")
 
 
 def entity_mentions(entities: DataFrame) -> DataFrame:
@@ -661,7 +663,6 @@ def variant_pairs(links: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 
     The text of a row is told by the hash that ``link_names`` gives with it; only entities with several spellings are joined.
     """
-    several = links.groupBy("scope", "kind", "entity").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("scope", "kind", "entity")
-    d = links.join(several, ["scope", "kind", "entity"], "left_semi").select("entity", "kind", "id", "h")
+    d = links.filter("several").select("entity", "kind", "id", "h")
     a, b = d.toDF("entity", "kind", "id_a", "h_a"), d.toDF("entity", "kind", "id_b", "h_b")
     return a.join(b, ["entity", "kind"]).filter("id_a < id_b AND h_a <> h_b").select("id_a", "id_b")
