@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -328,6 +329,12 @@ class CorpusEncoder:
             lo = hi
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> CorpusEncoder:
+    """The encoder of a worker, with the words that its earlier tasks met."""
+    return CorpusEncoder(path)
+
+
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER) -> DataFrame:
     """(doc_id, ids) of every document, without special tokens; strings that look like these are ordinary text.
 
@@ -336,7 +343,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = CorpusEncoder(path)
+        enc = worker_encoder(path)
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 part = b.slice(k, 2000)
@@ -353,7 +360,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = CorpusEncoder(path)
+        enc = worker_encoder(path)
         for b in batches:
             n = np.concatenate([enc.sizes(b.column(1).slice(k, 2000).to_pylist()) for k in range(0, b.num_rows, 2000)] or [np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64))], names=["doc_id", "n_tokens"])
