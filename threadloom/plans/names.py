@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.functions.similarity import canonical_json, fuzzy_name, name_evidence, name_tokens, recase_shouting, roman_devanagari
+from threadloom.functions.similarity import canonical_json, name_evidence, name_tokens, recase_shouting, roman_devanagari
 from threadloom.functions.text import combine_evidence, merge_tier
-from threadloom.plans.relational import docs, ents
+from threadloom.plans.relational import _ENTS, docs, ents
 from threadloom.session import ship
 
 QUERIES: dict = {}
@@ -45,16 +45,27 @@ def romanised_names(spark, d):
     return e.select("raw_text").distinct().select("raw_text", _string_udf(roman_devanagari)("raw_text").alias("roman"))
 
 
+_WORDS = f"(SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(raw_text), '[^a-z]+')) AS w FROM {_ENTS} WHERE entity_type = 'PERSON') WHERE length(w) > 3 GROUP BY w)"
+
+
 @query
 def corrected_words(spark, d):
-    """Rare words of names with the frequent one they are a slip of; each distinct word is looked up once."""
-    ship(spark)
+    """Words of names with the settled one they are a slip of: a tenth as frequent at most, one edit away, two in long words.
+
+    Settled words are those with a thousandth of all words at least, so there are at most a thousand at any size.
+    """
     e = ents(spark, d, "entity_type", "raw_text").filter("entity_type = 'PERSON'")
     w = e.select(F.explode(F.split(F.lower("raw_text"), "[^a-z]+")).alias("w")).filter("length(w) > 3").groupBy("w").agg(F.count("*").alias("n"))
-    # The gazetteer is the thousand most frequent words, a bound that does not grow with the data.
-    top = frozenset(r.w for r in w.orderBy(F.col("n").desc(), "w").limit(1000).filter("n >= 20").collect())
-    fix = _string_udf(lambda x: fuzzy_name(x, top))
-    return w.filter("n < 20").select("w", "n", fix("w").alias("name")).filter("name IS NOT NULL AND name <> w")
+    total = w.agg(F.sum("n")).first()[0] or 0
+    settled = w.filter(F.col("n") * 1000 >= total).select(F.substring("w", 1, 1).alias("c"), F.col("w").alias("name"), F.col("n").alias("m"))
+    j = w.withColumn("c", F.substring("w", 1, 1)).join(F.broadcast(settled), "c").filter(F.col("m") >= 10 * F.col("n"))
+    j = j.withColumn("d", F.levenshtein("w", "name")).filter((F.col("d") <= 1) | (F.length("w") >= 8) & (F.col("d") <= 2))
+    return j.groupBy("w", "n").agg(F.min_by("name", F.struct("d", -F.col("m"), "name")).alias("name"))
+
+
+ORACLES["corrected_words"] = f"""WITH w AS {_WORDS}, s AS (SELECT w AS name, n AS m FROM w WHERE n * 1000 >= (SELECT sum(n) FROM w)),
+j AS (SELECT w.w, w.n, s.name, s.m, levenshtein(w.w, s.name) AS d FROM w JOIN s ON substr(w.w, 1, 1) = substr(s.name, 1, 1) AND s.m >= 10 * w.n)
+SELECT w, n, arg_min(name, (d, -m, name)) AS name FROM j WHERE d <= 1 OR (length(w) >= 8 AND d <= 2) GROUP BY w, n"""
 
 
 @query

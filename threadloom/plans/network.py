@@ -88,10 +88,12 @@ def pagerank_traders(spark, d):
     return graph.pagerank(t.select("src", "dst").unionByName(back), traders(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT lower(trim(entity_id)) AS a, document_id AS b FROM {_LINKS} WHERE case_id IS NOT NULL AND trim(entity_id) <> '' AND document_id IS NOT NULL), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+cc(id, comp) USING KEY (id) AS (SELECT DISTINCT a, a FROM e UNION (SELECT e.b, min(x.comp) FROM cc x JOIN e ON e.a = x.id JOIN recurring.cc y ON y.id = e.b WHERE x.comp < y.comp GROUP BY e.b))
+SELECT comp AS component, count(*) AS n_vertices FROM cc GROUP BY comp""")
 def components_of_evidence(spark, d):
     """Components of entities and documents that evidence links connect, by size."""
-    e = evidence_edges(spark, d)
+    e = evidence_edges(spark, d).filter("src IS NOT NULL AND dst IS NOT NULL")
     c = graph.connected_components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return c.groupBy("component").agg(F.count("*").alias("n_vertices"))
 

@@ -100,26 +100,26 @@ SELECT u.id AS user_id, c.id AS case_id FROM users u JOIN cases c ON u.role = 's
 OR (u.role = 'investigator' AND u.id = c.created_by_user_id)"""
 
 
-def visible(spark, d) -> DataFrame:
-    """(user_id, case_id) by role: three equi-joined branches, so no nested-loop join over the cases."""
-    u, c = table(spark, d, "users").select(F.col("id").alias("user_id"), "role", "agency_id"), table(spark, d, "cases").select(F.col("id").alias("case_id"), "agency_id", "created_by_user_id")
-    every = u.filter("role = 'super_admin'").withColumn("k", F.lit(1)).join(c.withColumn("k", F.lit(1)), "k").select("user_id", "case_id")
-    agency = u.filter("role IN ('admin', 'analyst')").join(c, "agency_id").select("user_id", "case_id")
-    own = u.filter("role = 'investigator'").join(c, u.user_id == c.created_by_user_id).select("user_id", "case_id")
-    return every.unionByName(agency).unionByName(own)
+def visible_counts(spark, d) -> DataFrame:
+    """(user_id, role, n_cases): visible cases by role, from counts per agency and per creator; no pair is made."""
+    u, c = table(spark, d, "users").select(F.col("id").alias("user_id"), "role", "agency_id"), table(spark, d, "cases").select("agency_id", "created_by_user_id")
+    of_agency = c.groupBy("agency_id").agg(F.count("*").alias("n_agency"))
+    own = c.groupBy(F.col("created_by_user_id").alias("user_id")).agg(F.count("*").alias("n_own"))
+    every = c.agg(F.count("*").alias("n_all"))
+    j = u.join(of_agency, "agency_id", "left").join(own, "user_id", "left").join(F.broadcast(every))  # one row
+    n = F.when(F.col("role") == "super_admin", F.col("n_all")).when(F.col("role").isin("admin", "analyst"), F.col("n_agency")).when(F.col("role") == "investigator", F.col("n_own"))
+    return j.select("user_id", "role", F.coalesce(n, F.lit(0)).alias("n_cases"), "n_all")
 
 
 @query(f"SELECT user_id, count(*) AS n_cases FROM ({_VISIBLE}) GROUP BY user_id")
 def visible_cases(spark, d):
-    return visible(spark, d).groupBy("user_id").agg(F.count("*").alias("n_cases"))
+    return visible_counts(spark, d).filter("n_cases > 0").select("user_id", "n_cases")
 
 
-@query(f"SELECT u.id AS user_id, c.id AS case_id FROM users u CROSS JOIN cases c WHERE u.role = 'analyst' AND NOT EXISTS (SELECT 1 FROM ({_VISIBLE}) v WHERE v.user_id = u.id AND v.case_id = c.id)")
+@query(f"SELECT u.id AS user_id, count(*) AS n_hidden FROM users u CROSS JOIN cases c WHERE u.role = 'analyst' AND NOT EXISTS (SELECT 1 FROM ({_VISIBLE}) v WHERE v.user_id = u.id AND v.case_id = c.id) GROUP BY u.id")
 def hidden_cases(spark, d):
-    """Complement of the visible cases of analysts."""
-    u = table(spark, d, "users").filter("role = 'analyst'").select(F.col("id").alias("user_id"), F.lit(1).alias("k"))
-    c = table(spark, d, "cases").select(F.col("id").alias("case_id"), F.lit(1).alias("k"))
-    return u.join(c, "k").drop("k").join(visible(spark, d), ["user_id", "case_id"], "left_anti")
+    """How many cases each analyst can't see: the complement of the visible ones."""
+    return visible_counts(spark, d).filter("role = 'analyst' AND n_all > n_cases").select("user_id", (F.col("n_all") - F.col("n_cases")).alias("n_hidden"))
 
 
 @query("SELECT id AS case_id, confidentiality, agency_id, CASE WHEN confidentiality = 'restricted' THEN NULL ELSE title END AS title, CASE WHEN confidentiality = 'restricted' THEN NULL ELSE status END AS status FROM cases")
