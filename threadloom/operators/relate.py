@@ -45,15 +45,22 @@ def _middle() -> Column:
 
 
 def nearest_person(m: DataFrame, most: int | None = NEAR) -> DataFrame:
-    """For each other mention the nearest person of its sentence; the first person wins a tie."""
-    p, o = m.filter("entity_type = 'PERSON'").alias("p"), m.filter("entity_type <> 'PERSON'").alias("o")
-    j = p.join(o, (F.col("p.doc_id") == F.col("o.doc_id")) & (F.col("p.sentence") == F.col("o.sentence")))
-    gap = F.greatest(F.col("p.start_char"), F.col("o.start_char")) - F.least(F.col("p.end_char"), F.col("o.end_char"))
-    j = j.withColumn("gap", F.greatest(gap, F.lit(0)))
-    if most is not None:
-        j = j.filter(F.col("gap") <= most)
-    g = j.groupBy(F.col("o.doc_id").alias("doc_id"), F.col("o.mention_id").alias("other_id"), F.col("o.entity_type").alias("entity_type"))
-    return g.agg(F.min_by(F.col("p.mention_id"), F.struct("gap", "p.start_char", "p.mention_id")).alias("person_id"), F.min("gap").alias("gap"))
+    """For each other mention the nearest person of its sentence; the first person wins a tie.
+
+    One shuffle: the mentions of a sentence come together and are compared there, so the spans are made once.
+    """
+    g = m.groupBy("doc_id", "sentence").agg(F.collect_list(F.struct("mention_id", "entity_type", "start_char", "end_char")).alias("all"))
+    person = lambda x: x["entity_type"] == "PERSON"
+    g = g.select("doc_id", F.filter("all", person).alias("persons"), F.filter("all", lambda x: x["entity_type"] != "PERSON").alias("others")).filter("size(persons) > 0")
+    o = g.select("doc_id", "persons", F.explode("others").alias("o"))
+
+    def gap(p: Column) -> Column:
+        return F.greatest(F.greatest(p["start_char"], F.col("o.start_char")) - F.least(p["end_char"], F.col("o.end_char")), F.lit(0))
+
+    near = F.array_min(F.transform("persons", lambda p: F.struct(gap(p).alias("gap"), p["start_char"].alias("s"), p["mention_id"].alias("person_id"))))
+    out = o.select("doc_id", F.col("o.mention_id").alias("other_id"), F.col("o.entity_type").alias("entity_type"), near.alias("n"))
+    out = out.select("doc_id", "other_id", "entity_type", "n.person_id", "n.gap")
+    return out if most is None else out.filter(F.col("gap") <= most)
 
 
 def carried_person(m: DataFrame) -> DataFrame:

@@ -209,9 +209,10 @@ def repaired_mentions(spark, d):
 
 def _spans(spark, d) -> DataFrame:
     """Mentions of the entities table that lie in their document."""
-    e = ents(spark, d, "entity_type", "raw_text", "source_document_id", "metadata_json", "confidence")
+    # Parsed before the deliveries are told apart, so that each JSON text is parsed once and only its fields are shuffled.
     m = F.from_json("metadata_json", "start_char int, end_char int, nearby_ids array<string>, alias_group string, alias_role string")
-    x = e.select(F.col("id").alias("mention_id"), "entity_type", F.col("raw_text").alias("text"), clean_key(F.col("source_document_id")).alias("doc_id"), "confidence", m.alias("m")).select("*", "m.*").drop("m")
+    t = table(spark, d, "entities").select("id", "ingested_at", "entity_type", "raw_text", "source_document_id", "confidence", m.alias("m"))
+    x = latest_delivery(t).select(F.col("id").alias("mention_id"), "entity_type", F.col("raw_text").alias("text"), clean_key(F.col("source_document_id")).alias("doc_id"), "confidence", "m").select("*", "m.*").drop("m")
     x = x.filter("start_char IS NOT NULL AND end_char > start_char AND doc_id IS NOT NULL")
     return with_sentences(x, docs(spark, d, "raw_text").filter("raw_text IS NOT NULL"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.sources.tables import clean_key, latest_delivery, latest_wide, table
+from threadloom.sources.tables import clean_key, latest_delivery, latest_wide, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,7 @@ _REQS = "(SELECT * FROM access_requests QUALIFY row_number() OVER (PARTITION BY
 
 def docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     rows = table(spark, d, "source_documents").select("id", "ingested_at", *cols)
-    return (latest_wide(rows) if {"raw_text", "structured"} & set(cols) else latest_delivery(rows)).drop("ingested_at")
+    return (spread(latest_wide(rows), rows) if {"raw_text", "structured"} & set(cols) else latest_delivery(rows)).drop("ingested_at")
 
 
 def ents(spark: SparkSession, d: str, *cols: str) -> DataFrame:
