@@ -10,8 +10,9 @@ from threadloom.operators import findings, graph
 from threadloom.plans.case import _SPANS, _spans
 from threadloom.plans.network import _E, _V, payments, trade, traders
 from threadloom.plans.relational import _ENTS, _LINKS, _REQS, ents, links, requests
-from threadloom.operators.evaluate import match_spans, quality
+from threadloom.operators.evaluate import match_spans, pairwise_quality, quality
 from threadloom.operators.extract import extract_mentions
+from threadloom.operators.resolve import resolve_names
 from threadloom.session import ship
 from threadloom.sources.planted import gold_spans, planted_recall, rings
 from threadloom.sources.generate import call_records, payment_records, reports
@@ -183,6 +184,23 @@ def planted_f1(spark, d):
     return m.select("*", *quality(F.col("n_hit"), F.col("n_found"), F.col("n_gold")))
 
 
+@query()
+def planted_resolution(spark, d):
+    """Pairwise precision and recall of resolved persons against the members planted in generated rings."""
+    ship(spark)
+    r = rings(spark, table(spark, d, "source_documents").count())
+    found = extract_mentions(r).select("mention_id", "doc_id", "entity_type", "text", "start_char", "end_char", "confidence")
+    phone = found.filter("entity_type = 'PHONE'").select("doc_id", F.col("start_char").alias("at"), F.concat(F.lit("PHONE:"), tx.phone_key(F.col("text"))).alias("phone"))
+    p = found.filter("entity_type = 'PERSON'").join(phone, "doc_id", "left")
+    p = p.withColumn("phone", F.when((F.col("at") - F.col("end_char")).between(0, 60), F.col("phone"))).groupBy("doc_id", "mention_id", "text", "start_char", "end_char", "confidence").agg(F.collect_set("phone").alias("nearby"))
+    none = F.lit(None).cast("string")
+    m = p.join(r.select(F.col("id").alias("doc_id"), F.col("case_id").alias("scope")), "doc_id")
+    rows = m.select("scope", F.col("mention_id").alias("id"), F.lit("PERSON").alias("entity_type"), "text", F.col("doc_id").alias("doc"), "confidence", none.alias("alias_group"), none.alias("alias_role"), "nearby")
+    c = resolve_names(rows).select(F.explode("mention_ids").alias("mention_id"), F.col("entity_id").alias("found"))
+    gold = gold_spans(r).filter("entity_type = 'PERSON'").select("doc_id", F.col("s").alias("start_char"), F.col("e").alias("end_char"), F.col("cluster").alias("gold"))
+    return pairwise_quality(m.select("mention_id", "doc_id", "start_char", "end_char").join(gold, ["doc_id", "start_char", "end_char"]).join(c, "mention_id").select("gold", "found"))
+
+
 @query()
 def generated_records(spark, d):
     """Generated reports, calls and payments, as many as there are documents, by kind and planted flag."""
