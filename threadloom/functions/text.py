@@ -92,7 +92,8 @@ def combine_evidence(scores: Column, digits: int | None = 4) -> Column:
     """Noisy-or of independent evidence, rounded to ``digits`` if these are given."""
     clamped = F.transform(scores, lambda s: F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
     score = F.lit(1.0) - F.aggregate(clamped, F.lit(1.0), lambda a, s: a * (F.lit(1.0) - s))
-    return score if digits is None else F.round(score, digits)
+    # As a decimal, so that a tie is one of the written number and not of its binary fraction.
+    return score if digits is None else F.round(score.cast("decimal(20,12)"), digits).cast("double")
 
 
 def merge_tier(score: Column) -> Column:

@@ -105,13 +105,12 @@ def resolved_ids(spark, d):
     return table(spark, d, "resolved_entities").select("entity_id", "created_at", tx.resolved_id(F.col("mention_ids")).alias("resolved_id"))
 
 
-@query("""WITH s AS (SELECT l_orderkey, floor((1 - list_reduce(list_prepend(1.0::DOUBLE, list(1 - l_discount ORDER BY l_linenumber)), lambda a, b: a * b)) * 10000 + 1.2345678e-6) / 10000 AS score FROM lineitem GROUP BY l_orderkey)
+@query("""WITH s AS (SELECT l_orderkey, round((1 - list_reduce(list_prepend(1.0::DOUBLE, list(1 - l_discount ORDER BY l_linenumber)), lambda a, b: a * b))::DECIMAL(20, 12), 4)::DOUBLE AS score FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, score, CASE WHEN score >= 0.8 THEN 'auto' WHEN score >= 0.6 THEN 'review' ELSE 'reject' END AS tier FROM s""")
 def evidence_scores(spark, d):
-    """Noisy-or of the evidence of each order, cut to four digits, and the tier it falls in."""
+    """Noisy-or of the evidence of each order, to four digits, and the tier it falls in."""
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount"))).alias("e"))
-    # Cut, not rounded: engines round ties of binary fractions differently.
-    s = g.withColumn("score", F.floor(tx.combine_evidence(F.transform("e", lambda x: x["l_discount"]), None) * 10000 + 1.2345678e-6) / 10000)
+    s = g.withColumn("score", tx.combine_evidence(F.transform("e", lambda x: x["l_discount"])))
     return s.select("l_orderkey", "score", tx.merge_tier(F.col("score")).alias("tier"))
 
 
@@ -132,7 +131,7 @@ def _nodes(spark, d) -> DataFrame:
 _CALLS = f"(SELECT id, i, {_mobile('e->>{}')} AS a, {_mobile('e->>[]')} AS b, try_cast(e->>'$.duration_seconds' AS INT) AS s, try_cast(e->>'$.timestamp' AS TIMESTAMP) AS t FROM {elements('calls')})".replace("e->>{}", "(e->>'$.caller')").replace("e->>[]", "(e->>'$.callee')")
 
 
-@query(f"SELECT id AS document_id, a, b, count(*) AS n_calls, sum(s) AS seconds, min(t) AS first_call, max(t) AS last_call, 0.99::DOUBLE AS confidence FROM {_CALLS} WHERE a <> b GROUP BY ALL")
+@query(f"SELECT id AS document_id, a, b, count(*) AS n_calls, CAST(sum(s) AS BIGINT) AS seconds, min(t) AS first_call, max(t) AS last_call, 0.99::DOUBLE AS confidence FROM {_CALLS} WHERE a <> b GROUP BY ALL")
 def call_pairs(spark, d):
     """Calls, seconds and period of each directed pair of valid numbers in a document; calls to oneself are left out."""
     c = flat_table(_nodes(spark, d), "calls", {"caller": "string", "callee": "string", "timestamp": "string", "duration_seconds": "int"})

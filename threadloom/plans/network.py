@@ -144,7 +144,11 @@ def burst_calls(spark, d):
     return findings.burst_members(table(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts").select("event_id", "user_id", "n_in_window")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS j FROM events WHERE ts IS NOT NULL),
+w AS (SELECT *, min(t) OVER v AS first, j - min(j) OVER v + 1 AS inside FROM e WINDOW v AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW)),
+s(user_id, j, claimed, n) AS (SELECT DISTINCT user_id, 0::BIGINT, -1.0::DOUBLE, 0 FROM e UNION ALL
+SELECT s.user_id, w.j, CASE WHEN w.inside >= 3 AND w.t > s.claimed THEN w.first + 21600 ELSE s.claimed END, s.n + CASE WHEN w.inside >= 3 AND w.t > s.claimed THEN 1 ELSE 0 END FROM s JOIN w ON w.user_id = s.user_id AND w.j = s.j + 1)
+SELECT user_id, max(j)::INT AS n_calls, max(n) AS n_bursts FROM s GROUP BY user_id HAVING max(n) > 0""")
 def burst_counts(spark, d):
     """Bursts per user, 6 hours long."""
     ship(spark)
