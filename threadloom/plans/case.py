@@ -68,6 +68,22 @@ def account_keys(spark, d):
     return e.select("id", tx.account_key(F.col("raw_text")).alias("account"), tx.valid_account(F.col("raw_text")).alias("valid"))
 
 
+_HON = ", ".join(repr(h) for h in tx.HONORIFICS)
+
+
+@query(f"SELECT id, array_to_string(list_filter(string_split(trim(regexp_replace(lower(raw_text), '[.,\\s]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({_HON})), ' ') AS person FROM {_ENTS} WHERE entity_type = 'PERSON'")
+def person_keys(spark, d):
+    return ents(spark, d, "entity_type", "raw_text").filter("entity_type = 'PERSON'").select("id", tx.person_key(F.col("raw_text")).alias("person"))
+
+
+_PLACE = "regexp_replace(regexp_replace(lower(raw_text), '\\b([a-z])\\.([a-z])\\.', '\\1\\2', 'g'), '\\brd\\b\\.?', 'road', 'g')"
+
+
+@query(f"SELECT id, trim(regexp_replace(regexp_replace({_PLACE}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS place FROM {_ENTS} WHERE entity_type IN ('LOCATION', 'ORGANIZATION')")
+def place_keys(spark, d):
+    return ents(spark, d, "entity_type", "raw_text").filter("entity_type IN ('LOCATION', 'ORGANIZATION')").select("id", tx.place_key(F.col("raw_text")).alias("place"))
+
+
 @query("""SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')), ' ') AS sorted_name,
 lower(p_name) AS lowered FROM part""")
 def token_sorted_names(spark, d):
@@ -181,6 +197,13 @@ def payment_prose(spark, d):
     return t.select("document_id", F.format_string("%d payments with a total of %s", F.col("n"), F.format_number("s", 2)).alias("prose"))
 
 
+@query(f"SELECT id AS document_id, format('{{}} calls between {{}} pairs, {{}} seconds', count(*), count(DISTINCT (a, b)), coalesce(CAST(sum(s) AS BIGINT), 0)) AS prose FROM {_CALLS} WHERE a <> b GROUP BY id")
+def call_prose(spark, d):
+    """Call records rendered as a sentence."""
+    c = call_pairs(spark, d).groupBy("document_id").agg(F.sum("n_calls").alias("n"), F.count("*").alias("p"), F.coalesce(F.sum("seconds"), F.lit(0)).alias("s"))
+    return c.select("document_id", F.format_string("%d calls between %d pairs, %d seconds", "n", "p", "s").alias("prose"))
+
+
 # Mentions and relations ----------------------------------------------------------------------------------------------
 
 

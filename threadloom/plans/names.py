@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.functions.similarity import canonical_json, name_evidence, name_tokens, recase_shouting, roman_devanagari
+from threadloom.functions.similarity import canonical_json, canonical_place, name_evidence, name_tokens, recase_shouting, roman_devanagari
 from threadloom.functions.text import combine_evidence, merge_tier
 from threadloom.plans.relational import _ENTS, docs, ents
 from threadloom.session import ship
@@ -37,6 +37,14 @@ def recased_texts(spark, d):
     return x.filter("recased <> raw_text").select("id", F.length("raw_text").alias("n_before"), F.length("recased").alias("n_after"))
 
 
+@query
+def canonical_places(spark, d):
+    """Distinct places written in Devanagari with their English names."""
+    ship(spark)
+    e = ents(spark, d, "entity_type", "raw_text").filter("entity_type = 'LOCATION'").filter(F.col("raw_text").rlike("[\\u0900-\\u097F]"))
+    return e.select("raw_text").distinct().select("raw_text", _string_udf(canonical_place)("raw_text").alias("place"))
+
+
 @query
 def romanised_names(spark, d):
     """Distinct Devanagari names in Latin letters."""

@@ -179,6 +179,12 @@ def ledger_chains(spark, d):
     return _chains(spark, d)
 
 
+@query(_CHAIN + " SELECT chain, sequence_number, entry_hash FROM c ORDER BY chain, sequence_number")
+def ledger_scan(spark, d):
+    """All entries in the order of their chains: one sort by range."""
+    return _chains(spark, d).select("chain", "sequence_number", "entry_hash").orderBy("chain", "sequence_number")
+
+
 @query(_CHAIN + " SELECT chain, chain <> 2 AS intact, CASE WHEN chain = 2 THEN 3 ELSE -1 END AS first_broken, CASE WHEN chain = 2 THEN 4 ELSE count(*) END AS entries_checked FROM c GROUP BY chain")
 def ledger_verification(spark, d):
     """Chains of which one was tampered with: its fourth payload differs from what was hashed."""
