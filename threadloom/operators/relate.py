@@ -19,10 +19,22 @@ PRONOUN_START = r"(?iU)^\s*(he|she|they|his|her|their|the[^\S\n]+(accused|suspec
 
 
 def with_sentences(mentions: DataFrame, docs: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Mentions with their sentence's number and the text: sentences end at . ? ! danda and line breaks before a span."""
+    """Mentions with their sentence's number and the words that rules look at: sentences end at . ? ! danda and line breaks before a span.
+
+    ``around`` is the mention with 60 signs on both sides, ``behind`` what follows it, ``begin`` where its sentence
+    begins and ``opening`` the first words of that. The rules need nothing else of the text, which stays behind.
+    """
     m = mentions.join(docs.select(F.col("id").alias("doc_id"), F.col(text).alias("doc_text")), "doc_id")
     before = F.expr("substring(doc_text, 1, start_char)")
-    return m.withColumn("sentence", F.length(F.regexp_replace(before, "[^.?!।\\n]", "")))
+    head = F.expr("length(substring_index(translate(substring(doc_text, 1, start_char), '.?!।', '\n\n\n\n'), '\n', -1))")
+    m = m.withColumn("sentence", F.length(F.regexp_replace(before, "[^.?!।\n]", ""))).withColumn("begin", F.col("start_char") - head)
+    return m.withColumns(
+        {
+            "around": F.expr("substring(doc_text, greatest(1, start_char - 60), end_char - start_char + 120)"),
+            "behind": F.expr(f"substring(doc_text, end_char + 1, {max(PERSON_CUE_GAP, CHAIN_GAP)})"),
+            "opening": F.expr("substring(doc_text, begin + 1, 60)"),
+        }
+    ).drop("doc_text")
 
 
 def cue_pattern(cues: list[str]) -> str:
@@ -65,9 +77,8 @@ def nearest_person(m: DataFrame, most: int | None = NEAR) -> DataFrame:
 
 def carried_person(m: DataFrame) -> DataFrame:
     """For each other mention of a sentence without persons that begins with a pronoun, the last person before that sentence."""
-    head = F.expr("length(substring_index(translate(substring(doc_text, 1, start_char), '.?!।', '\\n\\n\\n\\n'), '\\n', -1))")
-    x = m.withColumn("is_person", F.col("entity_type") == "PERSON").withColumn("begin", F.col("start_char") - head)
-    x = x.withColumn("pronoun", ~F.col("is_person") & F.expr("substring(doc_text, begin + 1)").rlike(PRONOUN_START)).drop("doc_text")
+    x = m.withColumn("is_person", F.col("entity_type") == "PERSON")
+    x = x.withColumn("pronoun", ~F.col("is_person") & F.col("opening").rlike(PRONOUN_START)).select("doc_id", "sentence", "mention_id", "entity_type", "start_char", "end_char", "begin", "is_person", "pronoun")
     x = x.withColumn("alone", ~F.max("is_person").over(Window.partitionBy("doc_id", "sentence"))).withColumn("pos", F.when(F.col("is_person"), _middle()).otherwise(F.col("begin")))
     # A mention stands at the begin of its sentence, before persons of the same position.
     w = Window.partitionBy("doc_id").orderBy("pos", "is_person", "start_char", "mention_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -79,7 +90,7 @@ def person_relations(m: DataFrame) -> DataFrame:
     """(doc_id, a, b, relation_type, confidence) of persons with the other mentions of their sentence, or of one that a pronoun carries on."""
     near = nearest_person(m, None).drop("gap").unionByName(carried_person(m))
     # Only the words around a mention are shuffled, not the whole text.
-    spans = m.filter("entity_type <> 'PERSON'").select(F.col("mention_id").alias("other_id"), F.expr("substring(doc_text, greatest(1, start_char - 60), end_char - start_char + 120)").alias("around"))
+    spans = m.filter("entity_type <> 'PERSON'").select(F.col("mention_id").alias("other_id"), "around")
     x = near.join(spans, "other_id")
     kind, conf = F.lit(None).cast("string"), F.lit(None).cast("double")
     for t, (name, cues, strong, weak) in RULES.items():
@@ -93,7 +104,7 @@ def person_relations(m: DataFrame) -> DataFrame:
 def person_pairs(m: DataFrame) -> DataFrame:
     """All pairs of persons of a sentence but those of one alias group: transacts-with or associated-with by a cue in the words behind the first, else by nearness."""
     p = m.filter("entity_type = 'PERSON'").withColumn("at", F.struct(_middle(), "start_char", "mention_id"))
-    p = p.select("doc_id", "sentence", "mention_id", "at", "start_char", "end_char", F.expr("nullif(alias_group, '')").alias("alias"), F.expr(f"substring(doc_text, end_char + 1, {PERSON_CUE_GAP})").alias("behind"))
+    p = p.select("doc_id", "sentence", "mention_id", "at", "start_char", "end_char", F.expr("nullif(alias_group, '')").alias("alias"), F.substring("behind", 1, PERSON_CUE_GAP).alias("behind"))
     x, y = p.alias("x"), p.drop("behind", "end_char").alias("y")
     j = x.join(y, (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.sentence") == F.col("y.sentence")) & (F.col("x.at") < F.col("y.at")) & ~F.coalesce(F.col("x.alias") == F.col("y.alias"), F.lit(False)))
     gap = F.greatest(F.col("y.start_char") - F.col("x.end_char"), F.lit(0))
@@ -107,7 +118,7 @@ def person_pairs(m: DataFrame) -> DataFrame:
 def identifier_chains(m: DataFrame) -> DataFrame:
     """Successive phones or accounts of a sentence with a cue between them and at most CHAIN_GAP characters."""
     w = Window.partitionBy("doc_id", "sentence", "entity_type").orderBy("start_char", "mention_id")
-    x = m.filter("entity_type IN ('PHONE', 'ACCOUNT')").withColumn("behind", F.expr(f"substring(doc_text, end_char + 1, {CHAIN_GAP})")).drop("doc_text")
+    x = m.filter("entity_type IN ('PHONE', 'ACCOUNT')").withColumn("behind", F.substring("behind", 1, CHAIN_GAP))
     x = x.withColumn("b", F.lead("mention_id").over(w)).withColumn("to", F.lead("start_char").over(w)).filter("b IS NOT NULL")
     x = x.withColumn("between", F.expr("substring(behind, 1, greatest(0, to - end_char))")).filter(F.col("to") - F.col("end_char") <= CHAIN_GAP)
     cue = F.when(F.col("entity_type") == "PHONE", has_cue(F.col("between"), [*CALL_CUES, "and", "again"])).otherwise(has_cue(F.col("between"), [*MONEY_CUES, "to"]))

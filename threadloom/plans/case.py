@@ -15,7 +15,7 @@ from threadloom.operators.repair import known_words
 from threadloom.operators.resolve import close_pairs, resolve_exact, resolve_names
 from threadloom.plans.jsonsql import elements
 from threadloom.plans.relational import _DOCS, _ENTS, docs, ents
-from threadloom.session import ship
+from threadloom.session import checkpoint, ship
 from threadloom.sources.tables import clean_key, latest_delivery, table
 
 QUERIES: dict = {}
@@ -281,8 +281,8 @@ UNION ALL SELECT doc_id, mention_id, b, CASE entity_type WHEN 'PHONE' THEN 'call
 
 @query(_RELATIONS)
 def relations(spark, d):
-    """Relations of all rules, with confidence."""
-    m = _spans(spark, d)
+    """Relations of all rules, with confidence; the spans with the words beside them are written once and read by each rule."""
+    m = checkpoint(_spans(spark, d).drop("text", "confidence", "nearby_ids", "alias_role"))
     return person_relations(m).unionByName(person_pairs(m)).unionByName(identifier_chains(m))
 
 

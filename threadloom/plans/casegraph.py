@@ -42,7 +42,7 @@ _DEG = f"(SELECT v.*, count(e.id) AS degree FROM {_VERT} v LEFT JOIN (SELECT src
 
 def _relations(spark, d) -> DataFrame:
     """Each other mention with the nearest person of its sentence."""
-    n = nearest_person(_spans(spark, d).drop("doc_text"))
+    n = nearest_person(_spans(spark, d))
     kind = F.coalesce(*[F.when(F.col("entity_type") == k, v) for k, v in KINDS.items()])
     return n.select("doc_id", F.col("person_id").alias("a"), F.col("other_id").alias("b"), kind.alias("relation_type"), F.when(F.col("gap") <= 20, 0.8).otherwise(0.6).alias("confidence"))
 
