@@ -22,7 +22,7 @@ def with_sentences(mentions: DataFrame, docs: DataFrame, text: str = "raw_text")
     """Mentions with their sentence's number and the words that rules look at: sentences end at . ? ! danda and line breaks before a span.
 
     ``around`` is the mention with 60 signs on both sides, ``behind`` what follows it, ``begin`` where its sentence
-    begins and ``opening`` the first words of that. The rules need nothing else of the text, which stays behind.
+    begins and ``opening`` the first words of that; each for the types whose rules read it. The text itself stays behind.
     """
     m = mentions.join(docs.select(F.col("id").alias("doc_id"), F.col(text).alias("doc_text")), "doc_id")
     before = F.expr("substring(doc_text, 1, start_char)")
@@ -30,9 +30,9 @@ def with_sentences(mentions: DataFrame, docs: DataFrame, text: str = "raw_text")
     m = m.withColumn("sentence", F.length(F.regexp_replace(before, "[^.?!।\n]", ""))).withColumn("begin", F.col("start_char") - head)
     return m.withColumns(
         {
-            "around": F.expr("substring(doc_text, greatest(1, start_char - 60), end_char - start_char + 120)"),
-            "behind": F.expr(f"substring(doc_text, end_char + 1, {max(PERSON_CUE_GAP, CHAIN_GAP)})"),
-            "opening": F.expr("substring(doc_text, begin + 1, 60)"),
+            "around": F.expr("if(entity_type <> 'PERSON', substring(doc_text, greatest(1, start_char - 60), end_char - start_char + 120), null)"),
+            "behind": F.expr(f"if(entity_type IN ('PERSON', 'PHONE', 'ACCOUNT'), substring(doc_text, end_char + 1, {max(PERSON_CUE_GAP, CHAIN_GAP)}), null)"),
+            "opening": F.expr("if(entity_type <> 'PERSON', substring(doc_text, begin + 1, 60), null)"),
         }
     ).drop("doc_text")
 
